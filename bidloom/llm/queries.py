@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import decontaminate, quality, simhash, toxicity
+from bidloom.llm import decontaminate, packing, quality, simhash, sstable, toxicity
+from bidloom.llm.common import new_path
 from bidloom.session import table
 
 Q = {}
@@ -54,3 +55,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality.risk_controlled(docs, table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")
+
+
+def tokenizer_path(name: str) -> str:
+    """The tokenizer files lie with a package that is installed on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), carry=["doc_id"])
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sstable.roundtrip(docs, tokenizer_path("byte_bpe_50k.json"), spark, new_path(spark, "sstable"))
