@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import decontaminate, packing, quality, simhash, sstable, toxicity
+from bidloom.llm import decontaminate, html, packing, pii, quality, simhash, sstable, toxicity
 from bidloom.llm.common import new_path
 from bidloom.session import table
 
@@ -75,3 +75,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sstable.roundtrip(docs, tokenizer_path("byte_bpe_50k.json"), spark, new_path(spark, "sstable"))
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.visible_text(table(spark, sf_dir, "pages").select("page_id", "html"), carry=["page_id"])
+
+
+def _joined(column: str) -> Column:
+    return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
