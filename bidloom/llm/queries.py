@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import decontaminate, html, packing, pii, quality, simhash, sstable, toxicity
+from bidloom.llm import decontaminate, html, linededup, packing, pii, quality, simhash, sstable, toxicity
 from bidloom.llm.common import new_path
 from bidloom.session import table
 
@@ -91,3 +91,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL["op6_line_dedup"] = linededup.SQL
