@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import decontaminate, html, linededup, packing, pii, quality, simhash, sstable, toxicity
+from bidloom.llm import decontaminate, html, linededup, packing, paragraphs, pii, quality, simhash, sstable, toxicity
 from bidloom.llm.common import new_path
 from bidloom.session import table
 
@@ -34,7 +34,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_fingerprint")
 
 
 @query
@@ -100,3 +100,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op6_line_dedup"] = linededup.SQL
+
+
+@query
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.llm import scan
-from bidloom.llm.common import components, keep, map_documents
+from bidloom.llm.common import components, keep, map_documents, without
 from bidloom.session import ship
 
 SEED = 42
+RESULTS = ("fingerprint", "component_id", "n_copies", "class_fingerprint")
 FINGERPRINT = T.StructType([T.StructField("fingerprint", T.LongType())])
 
 
@@ -171,18 +172,19 @@ def link(prints: DataFrame, column: str = "fingerprint", segments: int = 32, mos
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, segments: int = 32, most: int = 3, carry: list[str] | None = None) -> DataFrame:
-    """docs (id and the columns in carry) with fingerprint (16 hex digits), component_id (the smallest id that can be reached) and n_copies (rows with this fingerprint)."""
-    named = without_results(docs, id)
-    found = keep(fingerprints(named, text, width, [id, *(carry or [])]), "fingerprints")
+    """docs (id and the columns in carry) with fingerprint (16 hex digits), component_id (the smallest id that can be reached), n_copies (rows with this fingerprint) and class_fingerprint (the smallest of the component, as a signed long)."""
+    named = without(docs, *[c for c in RESULTS if c != id])
+    found = keep(fingerprints(named, text, width, list(dict.fromkeys([id, *(carry or [])]))), "fingerprints")
     nodes = found.groupBy("fingerprint").agg(F.min(id).alias("component_id"), F.count("*").alias("n_copies"))
-    edges = link(found, "fingerprint", segments, most)
-    roots = components(edges)
+    roots = components(link(found, "fingerprint", segments, most))
     joined = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    joined = keep(joined, "nodes")
-    least = joined.where("root is not null").groupBy("root").agg(F.min("component_id").alias("least"))
-    classes = joined.join(least, "root", "left").select("fingerprint", F.coalesce("least", "component_id").alias("component_id"), "n_copies")
-    return found.join(classes, "fingerprint").withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+    joined = keep(joined.withColumn("class_fingerprint", F.coalesce("root", "fingerprint")).drop("root"), "nodes")
+    least = joined.groupBy("class_fingerprint").agg(F.min("component_id").alias("component_id"))
+    classes = joined.drop("component_id").join(least, "class_fingerprint")
+    return found.join(classes, "fingerprint").select(*found.drop("fingerprint").columns, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "n_copies", "class_fingerprint")
 
 
-def without_results(docs: DataFrame, id: str) -> DataFrame:
-    return docs.drop(*[c for c in ("fingerprint", "component_id", "n_copies") if c != id])
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs less all but one document of each component: the one with the smallest id, of repeated rows any one."""
+    found = near_duplicates(docs, id, text, carry=docs.columns, **how)
+    return found.where(F.col(id).eqNullSafe(F.col("component_id"))).dropDuplicates(["class_fingerprint"]).select(*docs.columns)
