@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -40,3 +41,8 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows; at most one more is counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
