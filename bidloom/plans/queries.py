@@ -427,11 +427,11 @@ def cluster_texts(spark, d):
 
 @query("", """WITH a AS (SELECT vec_id AS anchor_id, embedding AS anchor FROM embeddings WHERE vec_id % 100 = 0),
   s AS (SELECT anchor_id, vec_id AS other, round(list_cosine_similarity(CAST(anchor AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 4) AS similarity FROM embeddings JOIN a ON vec_id <> anchor_id),
-  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, other) AS INTEGER) AS place FROM s WHERE similarity >= 0.55)
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, other) AS INTEGER) AS place FROM s WHERE similarity >= 0.25)
   SELECT anchor_id, place, other, similarity FROM r WHERE place <= 3""")
 def cosine_top3(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return V.nearest(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding")
+    return V.nearest(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", least=0.25)
 
 
 @query("", None)
