@@ -57,7 +57,7 @@ class BidModel:
     @cached_property
     def named(self) -> DataFrame:
         """Items with part attributes."""
-        return self.lines.join(self.parts, F.col("l_partkey") == F.col("part_id")).withColumn("seq", F.struct("submission_id", "l_orderkey", "l_partkey", "l_linenumber"))
+        return self.lines.join(self.parts, F.col("l_partkey") == F.col("part_id")).withColumn("seq", F.struct("submission_id", "l_orderkey", "l_partkey", "l_linenumber", "amount", "quantity"))
 
     @cached_property
     def items(self) -> DataFrame:

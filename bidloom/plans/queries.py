@@ -209,7 +209,7 @@ def compare_units(spark, d):
 
 # Comparison
 
-_LIVE = "live AS (SELECT *, l_suppkey AS vendor_id, (submission_id, l_orderkey, l_partkey, l_linenumber) AS seq FROM named WHERE NOT is_header AND extraction_status = 'done' AND NOT is_deleted)"
+_LIVE = "live AS (SELECT *, l_suppkey AS vendor_id, (submission_id, l_orderkey, l_partkey, l_linenumber, amount, quantity) AS seq FROM named WHERE NOT is_header AND extraction_status = 'done' AND NOT is_deleted)"
 _PIVOT = """split AS (SELECT bid_id, category, name, count(DISTINCT path) > 1 AS conflict FROM live GROUP BY 1, 2, 3),
   keyed AS (SELECT l.*, CASE WHEN conflict THEN path ELSE l.name END AS row_key FROM live l JOIN split s ON l.bid_id = s.bid_id AND l.category = s.category AND l.name = s.name),
   heads AS (SELECT bid_id, category, row_key, arg_min(brand, seq) AS spec, arg_min(path, seq) AS path FROM keyed GROUP BY 1, 2, 3),
@@ -337,7 +337,7 @@ def cluster_vendor_totals(spark, d):
     return C.vendor_totals(_members(spark, d))
 
 
-@query("clusters", f"""--with {_MEMBERS}, n AS (SELECT cluster_id, category, count(*) AS n, min((submission_id, l_orderkey, l_partkey, l_linenumber)) AS seen FROM members GROUP BY 1, 2)
+@query("clusters", f"""--with {_MEMBERS}, n AS (SELECT cluster_id, category, count(*) AS n, min((submission_id, l_orderkey, l_partkey, l_linenumber, amount, quantity)) AS seen FROM members GROUP BY 1, 2)
   SELECT cluster_id, arg_min(category, (-n, seen)) AS category FROM n GROUP BY 1""")
 def cluster_category(spark, d):
     return P.majority(_members(spark, d), ["cluster_id"], "category", "seq")
@@ -401,7 +401,7 @@ def validation_removals(spark, d):
     return left.groupBy("cluster_id").agg(F.count("*").alias("n_left"))
 
 
-@query("named", """--with p AS (SELECT bid_id, replace(lower(name), ' ', '') AS key, count(*) AS n_items, count(DISTINCT l_suppkey) AS n_vendors, arg_min(item_id, (submission_id, l_orderkey, l_partkey, l_linenumber)) AS rep_item_id FROM named WHERE NOT is_header GROUP BY 1, 2)
+@query("named", """--with p AS (SELECT bid_id, replace(lower(name), ' ', '') AS key, count(*) AS n_items, count(DISTINCT l_suppkey) AS n_vendors, arg_min(item_id, (submission_id, l_orderkey, l_partkey, l_linenumber, amount, quantity)) AS rep_item_id FROM named WHERE NOT is_header GROUP BY 1, 2)
   SELECT concat_ws(':', bid_id, key) AS cluster_id, n_items, n_vendors, rep_item_id FROM p WHERE n_items >= 2 AND n_vendors >= 2""")
 def cluster_proposals(spark, d):
     rows = BidModel(spark, d).members_all.withColumn("vendor_id", F.col("l_suppkey"))
