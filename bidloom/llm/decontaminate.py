@@ -109,7 +109,7 @@ def suffix_order(text: np.ndarray, top: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(span):
         key <<= bits
-        key[: n - j] |= rank[j:]
+        key[: max(0, n - j)] |= rank[j:]
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.ones(n, bool)

@@ -11,7 +11,7 @@ Search. Each token scores its log-odds less a drift, so that text has a negative
 maximal segments in one pass. By extreme-value theory the best segment of a harmless text of n tokens exceeds x with probability
 1 - exp(-K n exp(-lambda x)); lambda and K are the maximum-likelihood ones of the harmless rows of fold 4. A segment's evidence is
 lambda x - ln(K n); those with positive evidence above `significant` are passages. The score of a document is a logistic function,
-fitted on fold 4, of the best segment's evidence, the summed evidence of its passages, and the log of n. That fit uses at most
+fitted on fold 4, of the best segment's evidence and the log of the summed evidence of its passages. That fit uses at most
 `fit_rows` labelled rows, chosen by a hash of the id; fold 0 is never learned from.
 
 Null or empty texts have no tokens and get the logistic function's value without evidence. Repeated rows score alike. Labels that are
@@ -34,6 +34,8 @@ from bidloom.session import ship
 
 WORD_BITS, HEAD_BITS, HEAD_BYTES = 20, 18, 6
 BLOCK = 1 << 20
+#: Evidence beyond these bounds counts as the bound.
+LEAST, MOST = -5.0, 40.0
 PASSAGE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("evidence", T.DoubleType())]))
 EVIDENCE = T.StructType([T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType())])
 ADDED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("passages", PASSAGE)])
@@ -61,7 +63,7 @@ class Model:
     odds: Odds | None = None
     rate: float = 1.0
     size: float = 1.0
-    weights: np.ndarray = field(default_factory=lambda: np.array([-50.0, 0, 0, 0]))
+    weights: np.ndarray = field(default_factory=lambda: np.array([-50.0, 0, 0]))
     significant: float = 3.0
 
 
@@ -139,12 +141,12 @@ def _best(odds: Odds, text: str):
 
 
 def _features(model: Model, n: int, found: list[tuple[int, int, float]]) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
-    if not found or not n:
-        return np.array([1.0, 0.0, 0.0, np.log1p(n)]), []
+    if not found:
+        return np.array([1.0, LEAST, 0.0]), []
     floor = np.log(model.size * n)
     evidence = [(a, b, model.rate * s - floor) for a, b, s in found]
     passages = [e for e in evidence if e[2] > model.significant]
-    return np.array([1.0, np.clip(max(e[2] for e in evidence), -5, 40), np.log1p(sum(e[2] for e in passages)), np.log1p(n)]), passages
+    return np.array([1.0, np.clip(max(e[2] for e in evidence), LEAST, MOST), np.log1p(sum(e[2] for e in passages))]), passages
 
 
 def _score(model: Model, text: str):
@@ -204,10 +206,12 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     learned = texts.join(F.broadcast(once) if is_small(once, 1_000_000) else once, id)
     model = Model()
     counts = learned.where("fold < 4").select(text, "toxic").mapInArrow(lambda b: _count(b, text), "place long, other long, toxic long")
-    rows = counts.groupBy("place").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
+    rows = counts.groupBy("place").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
     size = (1 << WORD_BITS) + (1 << HEAD_BITS) + 1
     table = np.zeros((2, size))
-    table[0, rows["place"]], table[1, rows["place"]] = rows["other"], rows["toxic"]
+    place = rows["place"].to_numpy()
+    table[0, place], table[1, place] = rows["other"].to_numpy(), rows["toxic"].to_numpy()
+    del rows
     if not table[0, -1] or not table[1, -1]:
         return model
     base = table[1, -1] / table[:, -1].sum()
@@ -224,8 +228,8 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     calm = (y == 0) & (best > 0)
     model.rate, model.size = _extreme_value(best[calm], n[calm])
     sent = spark.sparkContext.broadcast(model)
-    feats = held.mapInArrow(lambda b: _fit_rows(b, sent.value, text), "toxic int, a double, b double, c double, d double").toPandas()
-    x = feats[["a", "b", "c", "d"]].to_numpy(float)
+    feats = held.mapInArrow(lambda b: _fit_rows(b, sent.value, text), "toxic int, a double, b double, c double").toPandas()
+    x = feats[["a", "b", "c"]].to_numpy(float)
     if len(x) and 0 < feats["toxic"].sum() < len(x):
         model.weights = _logistic(x, feats["toxic"].to_numpy(float))
     return model
@@ -237,8 +241,8 @@ def _fit_rows(batches, model: Model, text: str):
         for _, words, first in _batches(batch.column(text)):
             score = model.odds.scores(*places(words))
             rows += [_features(model, q - p, segments(score[p:q]))[0] for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        x = np.array(rows).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), *(pa.array(x[:, k]) for k in range(4))], names=["toxic", "a", "b", "c", "d"])
+        x = np.array(rows).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "a", "b", "c"])
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
