@@ -17,6 +17,7 @@ from bidloom.operators import lifecycle as L
 from bidloom.operators import listing as G
 from bidloom.operators import similarity as V
 from bidloom.session import table
+from bidloom.sources import report as R
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -566,3 +567,152 @@ def bid_totals(spark, d):
 def first_items(spark, d):
     w = Window.partitionBy("submission_id").orderBy("l_orderkey", "l_partkey", "l_linenumber")
     return BidModel(spark, d).lines.withColumn("sort_order", (F.row_number().over(w) - 1).cast("bigint")).where("sort_order < 3").select("submission_id", "sort_order", "item_id")
+
+
+# Sheets
+
+
+def _cells(spark, d) -> DataFrame:
+    return _sheet(spark, d).select("file", F.lit("s").alias("sheet"), "row", F.posexplode(F.array("cat1", "cat2", "name", F.floor(F.col("price") * 100).cast("long").cast("string"))).alias("col", "value"))
+
+
+_LABEL = "'R' || CASE WHEN length(CAST(row AS VARCHAR)) < 3 THEN lpad(CAST(row AS VARCHAR), 3, '0') ELSE CAST(row AS VARCHAR) END"
+_CENTS = "CAST(CAST(floor(price * 100) AS BIGINT) AS VARCHAR)"
+
+
+@query("", f"WITH {_SHEET} SELECT file, row, concat_ws(' | ', {_LABEL}, coalesce(cat1, ''), coalesce(cat2, ''), name, {_CENTS}) AS line FROM sheet")
+def sheet_text(spark, d):
+    return X.sheet_lines(_cells(spark, d)).select("file", "row", "line")
+
+
+@query("", f"WITH {_SHEET} SELECT file, min(row) AS row, CAST(2 AS INTEGER) AS col FROM sheet WHERE row <= 500 AND contains(name, 'ring') GROUP BY 1")
+def keyword_cell(spark, d):
+    return X.find_keyword(_cells(spark, d).where("col = 2"), "ring", top=500).select("file", "row", "col")
+
+
+_HEADS = ["품명", "규격", "수량", "단위", "단가", "금액", "비고", "x", "Total price"]
+_ROLE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(h, {w!r})' for w in words)} THEN {role!r}" for role, words in X.ROLE_WORDS) + " END"
+
+
+@query("", f"""WITH c AS (SELECT user_id AS file, event_id % 8 + 1 AS row, event_id % 5 AS col, lower({_HEADS}[event_id % 9 + 1]) AS h FROM events),
+  r AS (SELECT file, row, {_ROLE} AS role, min(col) AS col FROM c WHERE {_ROLE} IS NOT NULL GROUP BY 1, 2, 3), n AS (SELECT file, row, count(*) AS hits FROM r GROUP BY 1, 2),
+  b AS (SELECT file, arg_min(row, (-hits, row)) AS row, max(hits) AS hits FROM n GROUP BY 1) SELECT file, row, hits, CASE WHEN hits >= 4 THEN 'high' WHEN hits >= 2 THEN 'low' ELSE 'none' END AS confidence FROM b""")
+def role_suggestion(spark, d):
+    heads = F.array(*map(F.lit, _HEADS))
+    cells = table(spark, d, "events").select(F.col("user_id").alias("file"), F.lit("s").alias("sheet"), (F.col("event_id") % 8 + 1).alias("row"), (F.col("event_id") % 5).alias("col"), F.element_at(heads, (F.col("event_id") % 9 + 1).cast("int")).alias("value"))
+    return X.suggest_roles(cells).select("file", "row", "hits", "confidence")
+
+
+@query("", f"""WITH {_SHEET}, one AS (SELECT file, row, name, price, cat2 AS own, last_value(cat1 IGNORE NULLS) OVER w AS cat1 FROM sheet WHERE row > 0 WINDOW w AS (PARTITION BY file ORDER BY row ROWS UNBOUNDED PRECEDING)),
+  two AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER w, first_value(cat1 IGNORE NULLS) OVER w) AS cat2 FROM one WINDOW w AS (PARTITION BY file ORDER BY row ROWS UNBOUNDED PRECEDING)),
+  x AS (SELECT *, CAST({_CENTS} AS DOUBLE) AS cents FROM two)
+  SELECT file, row, coalesce(nullif(concat_ws(' > ', cat1, cat2), ''), name) AS path, coalesce(cat1, cat2, '기타') AS category, 'R' || row AS line_no, name, CASE WHEN row % 50 = 0 AND row < 500 THEN -cents ELSE cents END AS amount FROM x""")
+def extract_items(spark, d):
+    items = X.extract_by_mapping(_cells(spark, d), {0: "cat1", 1: "cat2", 2: "name", 3: "amount"}, 0, nego=list(range(50, 500, 50)))
+    return items.select("file", "row", "path", "category", "line_no", "name", "amount")
+
+
+@query("", f"""WITH {_LINES}, k AS (SELECT doc_id, line_no, line_no % 10 <> 0 AS is_data FROM split), n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1) // 20 AS chunk FROM k WHERE is_data),
+  s AS (SELECT doc_id, count(*) AS shared FROM k WHERE NOT is_data GROUP BY 1) SELECT n.doc_id, chunk, count(*) + any_value(shared) AS n_lines FROM n JOIN s ON n.doc_id = s.doc_id GROUP BY 1, 2""")
+def text_chunks(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    lines = rows.select("doc_id", "line_no", F.when(F.col("line_no") % 10 != 0, S.row_label(F.col("line_no"))).otherwise("# head").alias("line"))
+    return X.text_chunks(lines, "doc_id", "line_no", 20).select("doc_id", "chunk", "n_lines")
+
+
+# Review of clusters
+
+
+@query("clusters", f"""--with {_MEMBERS}, mv AS (SELECT item_id, concat_ws(':', bid_id, 'kept') AS cluster_id FROM members WHERE l_linenumber = 2),
+  now AS (SELECT cluster_id, item_id FROM members WHERE l_linenumber <> 2 UNION ALL SELECT cluster_id, item_id FROM mv) SELECT cluster_id, count(*) AS n FROM now GROUP BY 1""")
+def move_items(spark, d):
+    rows = _members(spark, d)
+    now, _ = C.move_items(rows.select("cluster_id", "item_id"), rows.where("l_linenumber = 2").select("item_id", F.concat_ws(":", "bid_id", F.lit("kept")).alias("cluster_id")))
+    return now.groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+@query("clusters", f"""--with {_MEMBERS}, a AS (SELECT n.item_id, c.cluster_id, n.l_linenumber % 3 AS place FROM named n JOIN clusters c ON c.bid_id = n.bid_id AND (c.name = n.name OR c.name < 'c') WHERE NOT is_header AND c.status = 'held'),
+  f AS (SELECT * FROM a WHERE item_id NOT IN (SELECT item_id FROM members WHERE status <> 'rejected')) SELECT item_id, min(cluster_id) AS cluster_id FROM f GROUP BY 1""")
+def unmatched_additions(spark, d):
+    m = BidModel(spark, d)
+    held = m.clusters.where("status = 'held'").select("bid_id", F.col("name").alias("cluster_name"), "cluster_id")
+    asked = m.members_all.join(held, "bid_id").where("cluster_name = name OR cluster_name < 'c'").select("item_id", "cluster_id", F.lit(None).cast("double").alias("confidence"), F.col("cluster_id").alias("place"))
+    return C.assign_unmatched(asked, m.clusters, m.members_all, _members(spark, d).where(F.col("status").isin(C.OPEN))).select("item_id", "cluster_id")
+
+
+@query("clusters", f"--with {_MEMBERS} SELECT cluster_id, count(*) AS n FROM members WHERE status IN ('accepted', 'rejected') GROUP BY 1")
+def reset_clusters(spark, d):
+    _, rows = C.reset(BidModel(spark, d).clusters, _members(spark, d))
+    return rows.groupBy("cluster_id").agg(F.count("*").alias("n"))
+
+
+@query("named", "SELECT bid_id, item_id, (row_number() OVER (PARTITION BY bid_id ORDER BY lower(name), item_id) - 1) // 90 AS \"window\" FROM named WHERE NOT is_header")
+def cluster_windows(spark, d):
+    rows = BidModel(spark, d).members_all.withColumn("folded", F.lower("name"))
+    return C.carry_forward(rows, "bid_id", ["folded", "item_id"]).select("bid_id", "item_id", "window")
+
+
+@query("clusters", "SELECT bid_id, bool_and(bid_id % 2 = 0) AS is_owner FROM clusters GROUP BY 1")
+def merge_ownership(spark, d):
+    found = BidModel(spark, d).clusters
+    wanted = found.select("bid_id", F.when(F.col("bid_id") % 2 == 0, F.col("cluster_id")).otherwise(F.concat(F.lit("x"), "cluster_id")).alias("cluster_id"))
+    return C.same_bid(found, wanted)
+
+
+@query("clusters", "SELECT cluster_id, CASE WHEN status = 'held' THEN 'pending' ELSE status END AS status FROM clusters")
+def reopen_held(spark, d):
+    return C.set_status(BidModel(spark, d).clusters, F.col("status") == "held", "pending").select("cluster_id", "status")
+
+
+# Reports and views
+
+
+@query("named", f"""--with {_LIVE}, {_PIVOT} SELECT bid_id, category, row_key, count(*) AS n_vendors, min(unit_price) AS low, max(unit_price) AS high, arg_min(vendor_id, (unit_price, vendor_id)) AS low_vendor,
+  CAST(floor(CAST(max(unit_price) * 100 AS DOUBLE) / min(unit_price)) AS BIGINT) AS ratio FROM rows_ WHERE unit_price > 0 GROUP BY 1, 2, 3""")
+def report_rows(spark, d):
+    return R.report_rows(P.compare_pivot(_live(spark, d)))
+
+
+@query("named", f"""--with {_LIVE}, t AS (SELECT bid_id, vendor_id, CAST(coalesce(sum(amount) FILTER (list_contains({CANONICAL}, category)), 0) AS BIGINT) AS total FROM live GROUP BY 1, 2),
+  b AS (SELECT bid_id, arg_min(vendor_id, (total, vendor_id)) AS v FROM t WHERE total > 0 GROUP BY 1) SELECT t.bid_id, vendor_id, total, coalesce(vendor_id = v, false) AS is_lowest FROM t LEFT JOIN b ON t.bid_id = b.bid_id""")
+def report_summary(spark, d):
+    return R.report_summary(P.category_totals(_live(spark, d), CANONICAL))
+
+
+@query("named", "SELECT submission_id, category, CAST(sum(amount) AS BIGINT) AS amount, count(*) AS n_items FROM named GROUP BY 1, 2")
+def summary_view(spark, d):
+    return G.summary_view(BidModel(spark, d).named, "viewer-summary")
+
+
+@query("named", f"""--with u AS (SELECT submission_id, {_UNIT} AS unit, name, amount, (submission_id, l_orderkey, l_partkey, l_linenumber, amount, quantity) AS seq FROM named WHERE NOT is_header)
+  SELECT submission_id, unit AS group_key, array_to_string(list_slice(list(name ORDER BY seq, name), 1, 5), ', ') AS names, count(*) AS n_items FROM u WHERE unit IS NOT NULL GROUP BY 1, 2""")
+def unit_names(spark, d):
+    rows = BidModel(spark, d).named
+    return H.group_by_unit(rows, _units(rows), True, "path", "passthrough", sample=5).where("is_unit").select("submission_id", "group_key", "names", "n_items")
+
+
+# Further changes
+
+
+@query("", "SELECT n_nationkey AS nation FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20)")
+def guarded_delete(spark, d):
+    children = table(spark, d, "supplier").where("s_suppkey < 20").select(F.col("s_nationkey").alias("nation"))
+    return L.guard_empty(table(spark, d, "nation").select(F.col("n_nationkey").alias("nation")), children, "nation")
+
+
+@query("", "SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 AND p_partkey < 500 THEN p_retailprice * 2 ELSE p_retailprice END AS v FROM part")
+def upsert_rows(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"), "p_size")
+    return L.upsert(rows.drop("p_size"), rows.where("p_size % 2 = 0 AND k < 500").select("k", (F.col("v") * 2).alias("v")), ["k"], True)
+
+
+@query("lines", "SELECT item_id, submission_id FROM lines WHERE submission_id NOT IN (SELECT submission_id FROM lines WHERE is_deleted)")
+def cascade_delete(spark, d):
+    m = BidModel(spark, d)
+    return L.cascade(m.lines, m.with_status(m.lines).where("is_deleted"), "submission_id").select("item_id", "submission_id")
+
+
+@query("", "SELECT 'n' || l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey AS item_id, -abs(CAST(round(l_extendedprice * 100) AS BIGINT)) AS amount, '조정' AS category, 99999 AS sort_order FROM lineitem WHERE l_discount > 0.09")
+def nego_requests(spark, d):
+    asked = table(spark, d, "lineitem").where("l_discount > 0.09").select(F.concat(F.lit("n"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")).alias("item_id"), F.lit("s").alias("submission_id"), F.lit("discount").alias("label"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount"))
+    return L.nego_items(asked).select("item_id", "amount", "category", "sort_order")
