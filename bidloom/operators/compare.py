@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.session import bounded
@@ -30,17 +30,19 @@ def name_conflicts(items: DataFrame, by: list[str]) -> DataFrame:
 def compare_pivot(items: DataFrame) -> DataFrame:
     """One row for each row of the comparison and vendor. A row is a name within a category, or a path where the name stands under several.
 
-    Specification and path come from the first item of the row, price, quantity and amount from the vendor's last one. Nothing is
-    joined on a name that has no conflict: whether a name has one is an attribute of its group.
+    Specification and path come from the first item of the row, price, quantity and amount from the vendor's last one. Items are read
+    once: they are summed by path and vendor in the map tasks, and what a name or a row has in common is a window over those sums.
     """
-    rows = items.where("name <> ''")
     key = ["bid_id", "category", "name"]
-    split = rows.groupBy(*key).agg((F.min("path") != F.max("path")).alias("conflict"))
-    per_path = rows.groupBy(*key, "path", "vendor_id").agg(F.max_by(F.struct("unit_price", "quantity", "amount"), "seq").alias("last"), F.max("seq").alias("last_seq"), F.min("seq").alias("first_seq"), F.min_by("brand", "seq").alias("spec"))
-    joined = per_path.join(split, key).withColumn("row_key", F.when(F.col("conflict"), F.col("path")).otherwise(F.col("name")))
-    vendor = joined.groupBy("bid_id", "category", "row_key", "vendor_id").agg(F.max_by("last", "last_seq").alias("last"), F.min("first_seq").alias("first_seq"), F.min_by(F.struct("spec", "path"), "first_seq").alias("first"))
-    heads = vendor.groupBy("bid_id", "category", "row_key").agg(F.min_by("first", "first_seq").alias("head"))
-    return vendor.join(heads, ["bid_id", "category", "row_key"]).select("bid_id", "category", "row_key", "vendor_id", "last.unit_price", "last.quantity", "last.amount", F.col("head.spec").alias("spec"), F.col("head.path").alias("path"))
+    per_path = items.where("name <> ''").groupBy(*key, "path", "vendor_id").agg(
+        F.max(F.struct("seq", "unit_price", "quantity", "amount")).alias("last"), F.min(F.struct("seq", F.col("brand").alias("spec"), F.col("path").alias("p"))).alias("first")
+    )
+    name = Window.partitionBy(*key)
+    keyed = per_path.withColumn("row_key", F.when(F.min("path").over(name) != F.max("path").over(name), F.col("path")).otherwise(F.col("name")))
+    row = ["bid_id", "category", "row_key"]
+    vendor = keyed.repartition(*row).groupBy(*row, "vendor_id").agg(F.max("last").alias("last"), F.min("first").alias("first"))
+    whole = vendor.withColumn("head", F.min("first").over(Window.partitionBy(*row)))
+    return whole.select(*row, "vendor_id", "last.unit_price", "last.quantity", "last.amount", F.col("head.spec").alias("spec"), F.col("head.p").alias("path"))
 
 
 def row_extremes(pivot: DataFrame) -> DataFrame:
