@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         folder = sc.getCheckpointDir()

@@ -16,6 +16,8 @@ count. An empty benchmark contaminates nothing. Null item ids count as the empty
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -266,8 +268,9 @@ def decontaminate(
     """docs with n_words, n_hit, word_spans (in words), spans (in code points) and items (sorted ids of the items with occurring windows)."""
     spark = docs.sparkSession
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ADDED.names]
-    out, blocks = docs, list(_item_blocks(benchmark, item_id, item_text, block_bytes)) or [[]]
-    for k, block in enumerate(blocks):
+    blocks = _item_blocks(benchmark, item_id, item_text, block_bytes)
+    out = docs
+    for k, block in enumerate(chain([next(blocks, [])], blocks)):
         sent = spark.sparkContext.broadcast(Windows(block, width))
         out = map_documents(out, lambda sent=sent, k=k: _work(sent.value, text, shard_bytes, k > 0), ADDED, list(dict.fromkeys([*carry, text])))
     return out.select(*carry, *ADDED.names)

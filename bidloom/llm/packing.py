@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences, hierarchically.
 
 Each partition packs its own pieces by best fit, longest first. Bins that are nearly full are final; an underfull bin goes on as one
-item of the size of its content, so from then on a piece moves only with its bin. Rounds deal the underfull bins to a `fan_in`-th of the
-partitions and pack them by best fit again, until one task has packed them all. A task never holds more than `task_items` items: where
+item of the size of its content, so from then on a piece moves only with its bin. Rounds deal the underfull bins to tasks, each round
+to a `fan_in`-th of the tasks of the one before, and pack them by best fit again, until one task has packed them all. A task never holds more than `task_items` items: where
 more bins stay underfull (all pieces just over half the capacity, say), rounds go on only while they save bins. Every round is kept in
 the shared folder.
 
@@ -101,18 +101,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, near: float = 0.97, fan_in
     members = T.ArrayType(T.StructType([*pieces.schema.fields, T.StructField("offset", T.LongType())]))
     schema = T.StructType([T.StructField("fill", T.LongType()), T.StructField("members", members)])
     now = pieces.select(F.col("length").cast("long").alias("fill"), F.array(F.struct(*pieces.columns, F.lit(0).cast("long").alias("offset"))).alias("members"))
-    done, width, left = [], 0, -1
+    done, width, left = [], None, 0
     while True:
         packed = keep(now.mapInArrow(lambda b: _round(b, capacity, full, task_items), schema), "bins")
         under = packed.where(F.col("fill") < full)
         n = under.count()
-        width = width or max(1, packed.rdd.getNumPartitions(), n // 1000)
         least = max(1, math.ceil(n / task_items))
-        if n <= 1 or width == 1 or (width <= least and left >= 0 and n > 0.99 * left):
+        if n <= 1 or width == 1 or (width is not None and width <= least and n > 0.99 * left):
             done.append(packed)
             break
         done.append(packed.where(F.col("fill") >= full))
-        width, left = max(least, width // fan_in), n
+        width, left = max(least, width // fan_in if width else math.ceil(n / 1000)), n
         now = under.repartition(width)
     out = done[0]
     for d in done[1:]:
