@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.llm import scan
-from bidloom.llm.common import components, is_small, keep
+from bidloom.llm.common import components, keep
 from bidloom.session import ship
 
 SHINGLE, MIN_WORDS, MAX_WORDS, RADIUS = 5, 16, 48, 12
@@ -157,11 +157,22 @@ def _places(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets of the wanted paragraphs of each text."""
     for batch in batches:
-        for _, p in _blocks(batch, text):
-            sets = [np.unique(p.shingle[a : b - SHINGLE + 1]).tobytes() for a, b in zip(p.first.tolist(), p.last.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(p.keys(), pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+        wanted = batch.column("wanted")
+        for a, p in _blocks(batch, "t"):
+            sets: tuple[list, list] = ([], [])
+            mine, doc = set(), -1
+            for key, d, lo, hi in zip(p.keys(), p.doc.tolist(), p.first.tolist(), p.last.tolist(), strict=True):
+                if d != doc:
+                    mine, doc = set(wanted[a + d].as_py()), d
+                if key in mine:
+                    mine.remove(key)
+                    sets[0].append(key)
+                    sets[1].append(np.unique(p.shingle[lo : hi - SHINGLE + 1]).tobytes())
+            if sets[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(sets[0], pa.binary()), pa.array(sets[1], pa.binary())], names=["key", "shingles"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -245,15 +256,16 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
     distinct = keep(units.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "paragraphs")
     collided = distinct.select("key", F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band")
     buckets = keep(collided.mapInArrow(_buckets, "bucket long, key binary").distinct(), "buckets")
-    wanted = keep(buckets.select("key").distinct(), "wanted")
-    sets = base.mapInArrow(lambda b: _sets(b, "t"), "key binary, shingles binary")
-    sets = sets.join(F.broadcast(wanted) if is_small(wanted, 200_000) else wanted, "key", "left_semi").groupBy("key").agg(F.any_value("shingles").alias("shingles"))
+    # Each paragraph's shingles come from the document of its first occurrence, so only texts move, whatever the number of paragraphs.
+    wanted = distinct.select("key", "first.id").join(buckets.select("key").distinct(), "key", "left_semi").groupBy("id").agg(F.collect_list("key").alias("wanted"))
+    texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"])).select("t", "wanted")
+    sets = texts.mapInArrow(_sets, "key binary, shingles binary").groupBy("key").agg(F.any_value("shingles").alias("shingles"))
     filled = buckets.join(sets, "key").repartition("bucket").sortWithinPartitions("bucket")
     edges = keep(filled.mapInArrow(lambda b: _links(b, threshold), "a binary, b binary"), "links")
     roots = keep(components(edges), "roots")
     classes = _classes(distinct, roots)
     where = base.mapInArrow(lambda b: _places(b, "t"), schema(("n_words", T.LongType()), ("start", T.LongType()), ("end", T.LongType())))
-    found = where.join(F.broadcast(classes) if is_small(classes, 100_000) else classes, "key")
+    found = where.join(classes, "key")
     return found.select(
         F.col("id").alias(id), "place", "n_words", "start", "end",
         F.col("least.id").alias("class_id"), F.col("least.place").alias("class_place"), "n_occurrences",
