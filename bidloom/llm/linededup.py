@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line is what \\n parts. It is compared in normal form: A-Z lower-cased, runs of space and 0x09 to 0x0D made one space, trimmed. Lines
+A line is what \\n parts. It is compared in normal form: lower-cased, runs of space and 0x09 to 0x0D made one space, trimmed. Lines
 whose normal form has fewer than `min_chars` code points are never removed. Of equal lines the earliest occurrence stays (by document
 id, then row, then line number). Of two lines within one edit (a code point replaced, inserted or removed) the one with the earlier
 first occurrence stays: the other, and all its copies, go.
@@ -19,6 +19,8 @@ document can lose all its lines; its text is then empty. Hashes of lines have 12
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,14 @@ from bidloom.llm.common import is_small, keep, semi_join, without
 
 ADDED = ["n_lines", "n_removed", "n_near"]
 MIN_CHARS = 20
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WHITE = ("  ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
+    """The normal form. Only lines with white space other than single spaces need the pattern."""
+    low = F.lower(line)
+    odd = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in WHITE])
+    return F.trim(F.when(odd, F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")).otherwise(low))
 
 
 def _two(prefix: str, *columns: Column) -> list[Column]:
@@ -152,7 +157,7 @@ SQL = f"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
 lines AS (
-  SELECT doc_id, line, raw, trim(regexp_replace(translate(raw, '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS s FROM split),
+  SELECT doc_id, line, raw, trim(regexp_replace(lower(raw), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS s FROM split),
 kinds AS (
   SELECT s, length(s) AS n, min(doc_id * 1000000 + line) AS first FROM lines WHERE length(s) >= {MIN_CHARS} GROUP BY s),
 close AS (
