@@ -1,27 +1,29 @@
 """Token ids of whole texts by a tokenizer file, with what repeats encoded once.
 
-A text is cut where the tokenizer never joins anything: at spaces between two visible characters. The ids of each cut are kept in a
-cache of bounded size, in the bytes that checksums and files take, so a text costs one look-up for each word. What is new is encoded
-by the library's own model after the file's own splitting rule; characters beyond Latin-1 and anything that might be a special
-token go through the whole tokenizer. The ids equal those of the whole text; tests compare them.
+A tokenizer file first splits a text by a rule, then encodes each unit by itself. Texts of Latin-1 characters are split here by the
+file's own rule and the units' ids, in the bytes that checksums and files take, are kept in a cache of bounded size: two generations,
+of which the older is dropped when the younger is full, so that frequent units stay. A new unit goes to the library's own model. In
+texts with other characters, only cuts at a space between visible characters, where no rule joins anything, are handled so; a cut with
+other characters, or with what might be a special token, goes through the whole tokenizer. The ids equal those of the whole text; tests
+compare them.
 """
 
 from __future__ import annotations
 
 import os
-
-import numpy as np
-import regex
+import re
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: The splitting rules of the two tokenizer files.
-WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BYTE_RULE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The splitting rules of the two tokenizer files, with the letters, digits and white space of Latin-1.
+_L, _N, _S = "a-zA-Zªµºß-öø-ÿÀ-ÖØ-Þ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+WORD_RULE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+BYTE_RULE = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
-_WHITE = regex.compile(r" \s|\s ")
-_CUT = regex.compile(r"(?<=\S) (?=\S)")
-_SIMPLE = regex.compile(r"[\x00-\xFF]*\Z")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space beside a space, or other than a space or a line's end: a space is then no safe cut.
+_UNSAFE = ("  ", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0")
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 
 
@@ -34,60 +36,93 @@ def _byte_letters() -> dict[int, int]:
 _LETTERS = _byte_letters()
 
 
+def _is_plain(text: str) -> bool:
+    """Latin-1 characters only, and nothing that might be a special token."""
+    return _is_latin(text) and "<|" not in text
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Cache:
+    """At most 2 * most entries; those looked up since the last turn survive it."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= 64:
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+
+
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = self.tokenizer.normalizer is not None
-        self.rule = regex.compile(WORD_RULE if self.words else BYTE_RULE)
+        self.rule = WORD_RULE if self.words else BYTE_RULE
         self.model = self.tokenizer.model
-        self.most = most
-        self.chunks: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.units, self.chunks = Cache(most), Cache(most)
         self.size = self.tokenizer.get_vocab_size()
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _chunk(self, text: str) -> bytes:
-        if "<|" in text or not _SIMPLE.match(text):
-            return self._whole(text)
-        if self.words:
-            text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
-            if not _SIMPLE.match(text):
-                return self._whole(text)
-        out = []
+    def _split(self, text: str) -> bytes:
+        """A text of Latin-1 characters (lower case, if the file asks for that) by the file's rule."""
+        young, old, out = self.units.young, self.units.old, []
         for unit in self.rule.findall(text):
-            ids = self.units.get(unit)
+            ids = young.get(unit)
             if ids is None:
-                letters = unit.encode().decode("latin-1").translate(_LETTERS)
-                ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-                if len(self.units) >= self.most:
-                    self.units.clear()
-                self.units[unit] = ids
+                ids = old.get(unit)
+                if ids is None:
+                    ids = array("I", [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+                self.units.put(unit, ids)
+                young, old = self.units.young, self.units.old
             out.append(ids)
         return b"".join(out)
 
-    def encode(self, text: str) -> bytes:
+    def _chunk(self, chunk: str) -> bytes:
+        ids = self.chunks.old.get(chunk)
+        if ids is None:
+            ids = self._split(chunk if self.words else " " + chunk)
+        self.chunks.put(chunk, ids)
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        """A text of Latin-1 characters without special tokens."""
         if self.words:
-            parts = text.replace("\n", " ").split(" ")
+            first, chunks = b"", text.lower().replace("\n", " ").split(" ")
         else:
-            parts = (_CUT.split(text) if _WHITE.search(text) else text.split(" ")) if text else [""]
-            parts = [parts[0], *(" " + p for p in parts[1:])]
-        known, out = self.chunks, []
-        for p in parts:
-            ids = known.get(p)
-            if ids is None:
-                ids = self._chunk(p)
-                if len(known) >= self.most:
-                    known.clear()
-                if len(p) <= 64:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+            if any(w in text for w in _UNSAFE):
+                return self._split(text)
+            head, *chunks = text.split(" ")
+            first = self._split(head)
+        ids = list(map(self.chunks.young.get, chunks))
+        if None in ids:
+            ids = [self._chunk(chunks[k]) if x is None else x for k, x in enumerate(ids)]
+        return first + b"".join(ids)
+
+    def encode(self, text: str) -> bytes:
+        if _is_plain(text):
+            return self._plain(text)
+        parts, at = [], 0
+        for m in _CUT.finditer(text):
+            parts.append(text[at : m.start()])
+            at = m.start()
+        return b"".join(self._plain(p) if _is_plain(p) else self._whole(p) for p in [*parts, text[at:]])
 
 
 _ENCODERS: dict[str, Encoder] = {}
