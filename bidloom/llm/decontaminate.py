@@ -262,7 +262,7 @@ def decontaminate(
     item_text: str = "text",
     width: int = 10,
     carry: list[str] | None = None,
-    shard_bytes: int = 4 << 20,
+    shard_bytes: int = 2 << 20,
     block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """docs with n_words, n_hit, word_spans (in words), spans (in code points) and items (sorted ids of the items with occurring windows)."""
