@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 1, ca
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in added[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, stop = encoder(tokenizer).encode, np.array([end], "<u4").tobytes()
+        encode, stop = encoder(tokenizer, 100_000).encode, np.array([end], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for k, t in enumerate(batch.column(text)):

@@ -128,8 +128,8 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 150_000) -> Encoder:
     """One encoder for each file and process, so that tasks share its cache."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, most)
     return _ENCODERS[path]
