@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.llm.common import keep
-from bidloom.llm.tokens import encoder
+from bidloom.llm.tokens import Encoder
 from bidloom.session import ship
 
 CAPACITY = 4096
@@ -128,7 +128,8 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 1, ca
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in added[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, stop = encoder(tokenizer, 100_000).encode, np.array([end], "<u4").tobytes()
+        # One cache for each task, which goes with it: a worker that later stages use keeps no memory of this one.
+        encode, stop = Encoder(tokenizer, 100_000).encode, np.array([end], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for k, t in enumerate(batch.column(text)):
