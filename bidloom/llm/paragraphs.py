@@ -11,6 +11,14 @@ exact Jaccard similarity of their shingle sets. A bucket, with its paragraphs' s
 has been reached is not compared again, so a bucket of near copies costs little more than one comparison each. Buckets with equal
 members are solved once. Components of the links are classes; the earliest occurrence of a class (by document id, then place) stays.
 
+Runs. Cuts need context, so a passage that is little longer than `max_words`, or lies over short lines, may hold no paragraph. A second
+search finds equal runs of words wherever they begin, across lines: of any `WINDOW` 16-word grams in a row the one of the least hash is
+an anchor, so equal runs of `RUN` (25) words share one. Around anchors that repeat all grams are counted, and a run reaches as far
+as its grams repeat, to the word. Two passages of over 50 words with the threshold's similarity differ in so few words that 25 in a
+row are equal. Runs with up to 5 other words between them, there and in the earliest occurrence alike, are one; of its parts only one
+needs 25 words. Words of a gram that occurs earlier (not overlapping) are removed. A removed run's class is the earliest occurrence of its first gram,
+a kept one's is itself. Rows of the two searches may overlap.
+
 Null and empty texts have no paragraphs. Repeated rows are occurrences of their own. Occurrences with null ids come first.
 """
 
@@ -29,6 +37,8 @@ from bidloom.llm.common import components, keep
 from bidloom.session import ship
 
 SHINGLE, MIN_WORDS, MAX_WORDS, RADIUS = 5, 16, 48, 12
+GRAM, WINDOW = 16, 10
+RUN = GRAM + WINDOW - 1
 BLOCK = 1 << 20
 
 
@@ -241,8 +251,173 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(a_, pa.binary()), pa.array(b_, pa.binary())], names=["a", "b"])
 
 
+class Grams:
+    """Words of a block of texts, the hash of the gram that begins at each, and whether the gram ends in the same text."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        self.words = w = scan.find_words(raw, offsets, scan.SPACED)
+        n = len(w.start)
+        g = scan.mix(scan.hash_spans(w.data, w.start, w.end) + np.uint64(0x2545F491))
+        up, down = scan._powers(n + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * up[:n], dtype=np.uint64)])
+        last = max(0, n - GRAM + 1)
+        self.gram, self.valid = np.zeros(n, np.uint64), np.zeros(n, bool)
+        self.gram[:last] = scan.mix((sums[GRAM:] - sums[:last]) * down[:last]) if last else 0
+        self.valid[:last] = w.doc[:last] == w.doc[n - last :]
+        self.base = np.concatenate([[0], np.cumsum(w.counts())])
+
+    def anchors(self) -> np.ndarray:
+        """The least gram of each window that lies in one text."""
+        n = len(self.gram) - RUN + 1
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        inside = np.flatnonzero(self.words.doc[:n] == self.words.doc[RUN - 1 :])
+        windows = np.lib.stride_tricks.sliding_window_view(self.gram, WINDOW)
+        return np.unique(inside + windows[inside].argmin(axis=1))
+
+    def tagged(self, at: np.ndarray) -> np.ndarray:
+        return _tag(self.gram[at], self.words.doc[at])
+
+
+def _tag(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes of grams with the number of their text in the block."""
+    return scan.mix(gram + scan.mix(doc.astype(np.uint64) + np.uint64(1)))
+
+
+def _flat(lists: pa.Array, a: int, b: int) -> tuple[pa.Array, np.ndarray]:
+    """The elements of lists[a:b] and for each the number of its list, from 0."""
+    part = lists.slice(a, b - a)
+    sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return part.flatten(), np.repeat(np.arange(b - a), sizes)
+
+
+def _painted(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of n words lie in one of the spans."""
+    edge = np.bincount(first, minlength=n + 1) - np.bincount(last, minlength=n + 1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def _gram_blocks(batch: pa.RecordBatch):
+    raw, offsets = scan.strings(batch.column("t"))
+    for a, b in scan.blocks(offsets, BLOCK):
+        g = Grams(raw, offsets[a : b + 1])
+        if g.valid.any():
+            yield a, b, g
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, _, g in _gram_blocks(batch):
+            at = g.anchors()
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(a + g.words.doc[at])), pa.array(g.gram[at].view(np.int64))], names=["id", "gram"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different grams of each text that begin within a window of its wanted anchors, the first place of each, and how often it occurs (copies that overlap count once)."""
+    for batch in batches:
+        for a, b, g in _gram_blocks(batch):
+            wanted, doc = _flat(batch.column("wanted"), a, b)
+            at = g.anchors()
+            at = at[np.isin(g.tagged(at), _tag(wanted.to_numpy(zero_copy_only=False).view(np.uint64), doc))]
+            d, n = g.words.doc[at], len(g.gram)
+            found = _painted(n, np.maximum(at - WINDOW + 1, g.base[d]), np.minimum(at + WINDOW, g.base[d + 1]))
+            at = np.flatnonzero(found & g.valid)
+            if not len(at):
+                continue
+            tag = g.tagged(at)
+            order = np.argsort(tag, kind="stable")
+            head = np.flatnonzero(np.concatenate([[True], np.diff(tag[order]) != 0]))
+            size = np.diff(np.concatenate([head, [len(at)]]))
+            first, last = at[order[head]], at[order[head + size - 1]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(a + g.words.doc[first])), pa.array(first - g.base[g.words.doc[first]]), pa.array(g.gram[first].view(np.int64)), pa.array(np.minimum(size, 1 + (last - first) // GRAM))],
+                names=["id", "place", "gram", "times"],
+            )
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the grams that repeat, in the columns of repeated_paragraphs."""
+    for batch in batches:
+        for a, b, g in _gram_blocks(batch):
+            flat, of = _flat(batch.column("hits"), a, b)
+            if not len(flat):
+                continue
+            hit_gram, hit_place, hit_n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "place", "n"))
+            own = flat.field("own").to_numpy(zero_copy_only=False).astype(bool)
+            tags = _tag(hit_gram.view(np.uint64), of)
+            order = np.argsort(tags)
+            at = np.flatnonzero(g.valid)
+            tag = g.tagged(at)
+            k = np.minimum(np.searchsorted(tags[order], tag), len(order) - 1)
+            same = tags[order][k] == tag
+            at, hit = at[same], order[k[same]]  # grams that repeat, and their entries
+            if not len(at):
+                continue
+            n, doc = len(g.gram), g.words.doc
+            place = at - g.base[doc[at]]
+            # An occurrence that overlaps the earliest one is no copy of it.
+            copied = ~own[hit] | (place - hit_place[hit] >= GRAM)
+            gone = _painted(n, at[copied], at[copied] + GRAM)
+            new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(doc[at]) > 0)])
+            s = np.flatnonzero(new)
+            e = np.concatenate([s[1:], [len(at)]]) - 1
+            lo, hi = at[s], at[e] + GRAM
+            gap = lo[1:] - hi[:-1]
+            there = hit_place[hit[s[1:]]] - hit_place[hit[e[:-1]]] - GRAM
+            source = np.where(own, -1, np.asarray(flat.field("class_id").dictionary_encode().indices.fill_null(-2)))
+            bridged = (source[hit[s[1:]]] == source[hit[e[:-1]]]) & (gap >= 0) & (gap <= SHINGLE) & (np.abs(there) <= SHINGLE)
+            joined = (doc[lo[1:]] == doc[lo[:-1]]) & (bridged | (gap < 0))
+            over = np.flatnonzero(joined & (gap > 0) & gone[hi[:-1] - 1] & gone[lo[1:]])
+            gone |= _painted(n, hi[over], lo[over + 1])
+            group = np.concatenate([[0], np.cumsum(~joined)])
+            head = np.flatnonzero(np.concatenate([[True], ~joined]))
+            good = np.flatnonzero(np.maximum.reduceat(hi - lo, head) >= RUN)
+            low, high = lo[head][good], np.maximum.reduceat(hi, head)[good]
+            if not len(low):
+                continue
+            size = high - low
+            word = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+            whose = np.repeat(good, size)
+            cut = np.flatnonzero(np.concatenate([[True], (np.diff(whose) > 0) | (gone[word[1:]] != gone[word[:-1]])]))
+            first, last = word[cut], word[np.concatenate([cut[1:], [len(word)]]) - 1] + 1
+            removed, d = gone[first], doc[first]
+            i = hit[np.searchsorted(at, first, "right") - 1]
+            ids = pa.concat_arrays([batch.column("id"), flat.field("class_id")])
+            chars = np.empty((2, len(first)), np.int64)
+            for x in np.unique(d):
+                mine = d == x
+                chars[:, mine] = g.words.char(x, np.stack([g.words.start[first[mine]], g.words.end[last[mine] - 1]]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").take(pa.array(a + d)), pa.array(first - g.base[d]), pa.array(last - first), pa.array(chars[0]), pa.array(chars[1]),
+                    ids.take(pa.array(np.where(removed, batch.num_rows + i, a + d))), pa.array(np.where(removed, hit_place[i], first - g.base[d])), pa.array(hit_n[i]), pa.array(removed),
+                ],
+                names=["id", "place", "n_words", "start", "end", "class_id", "class_place", "n_occurrences", "removed"],
+            )
+
+
+def repeated_runs(base: DataFrame) -> DataFrame:
+    """The runs of words in base (id, t) that repeat, in the columns of repeated_paragraphs."""
+    kind = base.schema["id"].dataType
+    long = T.LongType()
+
+    def schema(*more: tuple[str, T.DataType]) -> T.StructType:
+        return T.StructType([T.StructField("id", kind), *(T.StructField(n, t) for n, t in more)])
+
+    anchors = base.mapInArrow(_anchors, schema(("gram", long)))
+    again = keep(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "anchors")
+    wanted = anchors.join(again, "gram").groupBy("id").agg(F.collect_set("gram").alias("wanted"))
+    texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"])).select(base["id"], "t", "wanted")
+    near = keep(texts.mapInArrow(_near, schema(("place", long), ("gram", long), ("times", long))), "grams")
+    first = near.groupBy("gram").agg(F.min(F.struct("id", "place")).alias("first"), F.sum("times").alias("n")).where("n > 1")
+    hit = F.struct("gram", F.col("first.id").alias("class_id"), F.col("first.place").alias("place"), "n", F.col("id").eqNullSafe(F.col("first.id")).alias("own"))
+    hits = near.join(first, "gram").select("id", hit.alias("hit")).groupBy("id").agg(F.collect_list("hit").alias("hits"))
+    texts = base.join(hits, base["id"].eqNullSafe(hits["id"])).select(base["id"], "t", "hits")
+    return texts.mapInArrow(_runs, schema(("place", long), ("n_words", long), ("start", long), ("end", long), ("class_id", kind), ("class_place", long), ("n_occurrences", long), ("removed", T.BooleanType())))
+
+
 def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """One row for each paragraph that has an equal or near-equal one elsewhere: id, place (its first word), n_words, start, end (code
+    """One row for each paragraph or run that has an equal or near-equal one elsewhere: id, place (its first word), n_words, start, end (code
     points), class_id and class_place (the earliest occurrence of its class), n_occurrences, and removed (all but the earliest)."""
     ship(docs.sparkSession)
     bands, rows = tune_bands(threshold, recall)
@@ -266,11 +441,12 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
     classes = _classes(distinct, roots)
     where = base.mapInArrow(lambda b: _places(b, "t"), schema(("n_words", T.LongType()), ("start", T.LongType()), ("end", T.LongType())))
     found = where.join(classes, "key")
-    return found.select(
-        F.col("id").alias(id), "place", "n_words", "start", "end",
+    found = found.select(
+        "id", "place", "n_words", "start", "end",
         F.col("least.id").alias("class_id"), F.col("least.place").alias("class_place"), "n_occurrences",
         (~(F.col("id").eqNullSafe(F.col("least.id")) & (F.col("place") == F.col("least.place")))).alias("removed"),
     )
+    return found.unionByName(repeated_runs(base)).withColumnRenamed("id", id)
 
 
 def _classes(distinct: DataFrame, roots: DataFrame) -> DataFrame:
@@ -284,7 +460,16 @@ def _classes(distinct: DataFrame, roots: DataFrame) -> DataFrame:
 
 def cut_paragraphs(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, whose ids are unique, with the removed paragraphs cut out of the text."""
-    gone = found.where("removed").groupBy(id).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("~gone"))
+    spans = F.array_sort(F.collect_list(F.struct("start", "end")))
+    merged = F.aggregate(  # spans that overlap become one
+        spans,
+        F.array().cast("array<struct<start:bigint,end:bigint>>"),
+        lambda out, x: F.when(
+            (F.size(out) > 0) & (F.element_at(out, -1)["end"] >= x["start"]),
+            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end")))),
+        ).otherwise(F.concat(out, F.array(x))),
+    )
+    gone = found.where("removed").groupBy(id).agg(merged.alias("~gone"))
     joined = docs.join(gone, id, "left")
     begin = F.concat(F.array(F.lit(0).cast("long")), F.col("`~gone`.end"))
     end = F.concat(F.col("`~gone`.start"), F.array(F.length(text).cast("long")))

@@ -428,6 +428,38 @@ def test_every_passage_of_100_words_is_cut_alike():
     assert missed <= 4
 
 
+def test_short_passages_are_marked_whole(spark):
+    rnd = random.Random(18)
+    docs, where = [], {}
+    for k in range(60):  # 51 words in mid-line, over lines of 7, and with the word in the middle changed
+        passage = words(rnd, 51, 100_000).split()
+        for copy in range(2):
+            mine = list(passage)
+            if k % 3 == 2 and copy:
+                mine[25] = "changed"
+            if k % 3 == 1:
+                mine = [w + ("\n" if i % 7 == 6 else "") for i, w in enumerate(mine)]
+            before = rnd.randrange(1, 60)
+            docs.append((2 * k + copy, f"{words(rnd, before, 100_000)} {' '.join(mine)} {words(rnd, rnd.randrange(1, 60), 100_000)}"))
+            where[2 * k + copy] = before
+    docs += [(200, "x " * 24), (201, words(rnd, 300, 100_000)), (202, None)]
+
+    def marks(rows):
+        out = {}
+        for r in rows:
+            out.setdefault(r[0], set()).update(range(r.place, r.place + r.n_words))
+        return out
+
+    want = {d: set(range(at, at + 51)) for d, at in where.items()}
+    runs = paragraphs.repeated_runs(frame(spark, docs, "id long, t string")).collect()
+    assert all(len(dict(docs)[r.id][r.start : r.end].split()) == r.n_words for r in runs)
+    assert marks(runs) == want
+    assert marks(r for r in runs if r.removed) == {d: at for d, at in want.items() if d % 2}
+    assert {(r.id - r.id % 2, where[r.id - r.id % 2], 2) for r in runs} == {(r.class_id, r.class_place, r.n_occurrences) for r in runs}
+    got = marks(paragraphs.repeated_paragraphs(frame(spark, docs)).collect())
+    assert got.keys() == want.keys() and all(got[d] >= want[d] for d in want)
+
+
 def test_bands():
     bands, rows = paragraphs.tune_bands(0.8, 0.99)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99 > 1 - (1 - 0.8**rows) ** (bands - 1)
