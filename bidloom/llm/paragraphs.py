@@ -396,6 +396,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _last(df: DataFrame, name: str) -> DataFrame:
+    """df as a kept table. What its shuffles left on disk goes once the driver's JVM has collected their handles, which is done here."""
+    df = keep(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def repeated_runs(base: DataFrame) -> DataFrame:
     """The runs of words in base (id, t) that repeat, in the columns of repeated_paragraphs."""
     kind = base.schema["id"].dataType
@@ -405,13 +412,14 @@ def repeated_runs(base: DataFrame) -> DataFrame:
         return T.StructType([T.StructField("id", kind), *(T.StructField(n, t) for n, t in more)])
 
     anchors = base.mapInArrow(_anchors, schema(("gram", long)))
-    again = keep(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "anchors")
+    again = _last(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "anchors")
     wanted = anchors.join(again, "gram").groupBy("id").agg(F.collect_set("gram").alias("wanted"))
     texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"])).select(base["id"], "t", "wanted")
-    near = keep(texts.mapInArrow(_near, schema(("place", long), ("gram", long), ("times", long))), "grams")
-    first = near.groupBy("gram").agg(F.min(F.struct("id", "place")).alias("first"), F.sum("times").alias("n")).where("n > 1")
+    near = _last(texts.mapInArrow(_near, schema(("place", long), ("gram", long), ("times", long))), "grams")
+    first = _last(near.groupBy("gram").agg(F.min(F.struct("id", "place")).alias("first"), F.sum("times").alias("n")).where("n > 1"), "first")
     hit = F.struct("gram", F.col("first.id").alias("class_id"), F.col("first.place").alias("place"), "n", F.col("id").eqNullSafe(F.col("first.id")).alias("own"))
-    hits = near.join(first, "gram").select("id", hit.alias("hit")).groupBy("id").agg(F.collect_list("hit").alias("hits"))
+    hit = _last(near.join(first, "gram").select("id", hit.alias("hit")), "hits")
+    hits = _last(hit.groupBy("id").agg(F.collect_list("hit").alias("hits")), "hits")
     texts = base.join(hits, base["id"].eqNullSafe(hits["id"])).select(base["id"], "t", "hits")
     return texts.mapInArrow(_runs, schema(("place", long), ("n_words", long), ("start", long), ("end", long), ("class_id", kind), ("class_place", long), ("n_occurrences", long), ("removed", T.BooleanType())))
 
@@ -427,6 +435,7 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def schema(*more: tuple[str, T.DataType]) -> T.StructType:
         return T.StructType([T.StructField("id", kind), T.StructField("place", T.LongType()), T.StructField("key", T.BinaryType()), *(T.StructField(n, t) for n, t in more)])
 
+    runs = _last(repeated_runs(base), "runs")
     units = base.mapInArrow(lambda b: _banded(b, "t", bands, rows), schema(("bands", T.ArrayType(T.LongType()))))
     distinct = keep(units.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "paragraphs")
     collided = distinct.select("key", F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band")
@@ -446,7 +455,7 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
         F.col("least.id").alias("class_id"), F.col("least.place").alias("class_place"), "n_occurrences",
         (~(F.col("id").eqNullSafe(F.col("least.id")) & (F.col("place") == F.col("least.place")))).alias("removed"),
     )
-    return found.unionByName(repeated_runs(base)).withColumnRenamed("id", id)
+    return found.unionByName(runs).withColumnRenamed("id", id)
 
 
 def _classes(distinct: DataFrame, roots: DataFrame) -> DataFrame:
