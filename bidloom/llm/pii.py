@@ -7,8 +7,8 @@ Disguises. Transducers rewrite a text step by step and keep for each character t
  1. homoglyphs: letters, digits and signs that look like ASCII ones become those; invisible characters vanish;
  2. spelled digits: runs of at least four digit words or digits, with plus, dot, point and dash between them, become figures;
  3. at and dot: bracketed ones anywhere, bare ones in the form `name at host dot domain`, and spaces around @ before a domain.
-The base detectors then run on the rewritten text, and their spans are mapped back. A span is added if it touches no base span and no
-added span before it. A text without a disguise's traces is not rewritten.
+The base detectors then run on the rewritten text, and their spans are mapped back. A span is added unless a base span of its kind covers
+it: one that only holds a base span's part of an identifier is whole beside it. Spans may overlap. A text without a disguise's traces is not rewritten.
 
 Null texts count as empty and have no spans. Repeated rows are searched alike. Work and memory are linear in the text: a run of
 characters is never scanned again from its middle.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -177,17 +178,17 @@ def find(t: str) -> tuple[list[Span], list[Span]]:
     m = Mapped(t)
     for transducer in (_homoglyphs, _spelled, _at_and_dot):
         transducer(m)
-    taken = sorted((a, b) for a, _, b in base)
-    starts = np.array([a for a, _ in taken])
-    tops = np.maximum.accumulate(np.array([b for _, b in taken])) if taken else np.zeros(0, int)
-    more, last = [], -1
+    taken: list[tuple[list[int], list[int]]] = [([], []) for _ in KINDS]  # starts and ends of each kind, which do not overlap
+    for a, kind, b in base:
+        taken[kind][0].append(a)
+        taken[kind][1].append(b)
+    more = []
     for a, kind, b in detect(m.text):
         lo, hi = int(m.start[a]), int(m.end[b - 1])
-        k = int(np.searchsorted(starts, hi, "left")) if taken else 0
-        if (k and tops[k - 1] > lo) or lo < last:
-            continue
-        more.append((lo, kind, hi))
-        last = hi
+        starts, ends = taken[kind]
+        k = bisect_right(starts, lo)
+        if not k or ends[k - 1] < hi:
+            more.append((lo, kind, hi))
     return base, sorted(base + more)
 
 

@@ -538,6 +538,20 @@ def test_pii_disguises(text, kind, span):
     assert set(base) <= set(spans)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "whole", "part"),
+    [
+        ("jоhn.smith@example.com", "email", "jоhn.smith@example.com", "hn.smith@example.com"),
+        ("to john​.doe@example.com now", "email", "john​.doe@example.com", ".doe@example.com"),
+        ("+1415555019 nine nine nine", "phone", "+1415555019 nine nine nine", "+1415555019"),
+    ],
+)
+def test_pii_disguised_in_part(text, kind, whole, part):
+    base, spans = pii.find(text)
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in base] == [(kind, part)]
+    assert {(pii.KINDS[k], text[a:b]) for a, k, b in spans} == {(kind, part), (kind, whole)}
+
+
 def test_pii_leaves_prose_alone():
     for t in ("the one or two at home dot", "we met at five. dot", "one two three four five, once I caught a fish", "naïve café at noon"):
         assert pii.find(t) == ([], [])
