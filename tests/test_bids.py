@@ -267,3 +267,20 @@ def test_queries_match_their_sql(spark):
         assert keys == sorted(want.columns)
         a, b = (x[keys].astype(object).where(x[keys].notna(), None).map(lambda v: str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)).sort_values(keys).reset_index(drop=True) for x in (got, want))
         assert a.equals(b), name
+
+
+def test_lexical_similarity_has_all_anchors(spark):
+    import difflib
+
+    from bidloom.plans.queries import Q
+
+    d = "/root/testdata/sf0.001"
+    names = {r[0]: f"{r[1]} {r[2]} {r[3]}" for r in spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand", "p_name", "p_type").collect()}
+    want = {}
+    for a in (k for k in names if k % 100 == 0):
+        for b in names:
+            similarity = round(difflib.SequenceMatcher(None, names[a], names[b]).ratio(), 4)
+            if a != b and similarity >= 0.55:
+                want[a, b] = similarity
+    assert len({a for a, _ in want}) > 1
+    assert {(r.anchor_id, r.part_id): r.similarity for r in Q["lexical_similarity"](spark, d).collect()} == want
