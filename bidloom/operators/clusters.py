@@ -149,7 +149,7 @@ def same_bid(clusters: DataFrame, wanted: DataFrame) -> DataFrame:
     return own.groupBy("bid_id").agg(F.bool_and(F.coalesce("owned", F.lit(False))).alias("is_owner"))
 
 
-def carry_forward(items: DataFrame, by: str, order: list[str], size: int = 90) -> DataFrame:
-    """Windows of so many items in order, for a provider that is asked window by window."""
+def number_windows(items: DataFrame, by: str, order: list[str], size: int = 90) -> DataFrame:
+    """Windows of so many items in order, for a provider that is asked window by window. Nothing is carried from one window to the next."""
     w = Window.partitionBy(by).orderBy(*order)
     return items.withColumn("window", F.floor((F.row_number().over(w) - 1) / size).cast("long"))

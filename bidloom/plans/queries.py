@@ -649,7 +649,7 @@ def reset_clusters(spark, d):
 @query("named", "SELECT bid_id, item_id, (row_number() OVER (PARTITION BY bid_id ORDER BY lower(name), item_id) - 1) // 90 AS \"window\" FROM named WHERE NOT is_header")
 def cluster_windows(spark, d):
     rows = BidModel(spark, d).members_all.withColumn("folded", F.lower("name"))
-    return C.carry_forward(rows, "bid_id", ["folded", "item_id"]).select("bid_id", "item_id", "window")
+    return C.number_windows(rows, "bid_id", ["folded", "item_id"]).select("bid_id", "item_id", "window")
 
 
 @query("clusters", "SELECT bid_id, bool_and(bid_id % 2 = 0) AS is_owner FROM clusters GROUP BY 1")
