@@ -7,15 +7,19 @@ searched backwards through the ranks of a wavelet matrix, occurrences are locate
 occurrences merge into removal spans.
 
 A shard is a run of whole documents of about `shard_bytes`; a longer document is a shard of its own. The benchmark goes to the
-executors in blocks of at most `block_bytes` of text, so its size doesn't bound the operator: each block is one pass, and the passes'
-spans merge.
-
-Null or empty texts have no words and are not contaminated. Repeated rows are searched each for itself. Items with equal texts all
-count. An empty benchmark contaminates nothing. Null item ids count as the empty string.
+executors in blocks of at most `block_bytes` of text, so its size doesn't bound the operator: each block is one pass, whose spans merge
+with those of the passes before, and whose result is kept in the shared folder before the next block is read and the last one released.
+The windows of a block, about 8 times its text, are made in the executors' processes; the driver holds one block of texts.
+
+Words are told apart by their bytes, hashes only find them. Null or empty texts have no words and are not contaminated. Very long texts
+are searched whole. Repeated rows are searched each for itself. Items with equal texts all count, in the order of their ids. An empty
+table gives an empty one, an empty benchmark contaminates nothing. Null item ids count as the empty string. Extra columns pass, and
+those that have the name of a result are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from itertools import chain
 
 import numpy as np
@@ -25,31 +29,62 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.llm import scan
-from bidloom.llm.common import map_documents
+from bidloom.llm.common import keep, map_documents
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 ADDED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("word_spans", SPAN), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
 class Windows:
-    """The windows of one block of items: `codes` numbers their words from 1 in the order of the words' hashes."""
+    """The windows of one block of items. Their words are numbered from 1 in the order of the words' hashes; a word is known by its bytes."""
 
     def __init__(self, items: list[tuple[str, str]], width: int):
         words = scan.find_words(*scan.strings(pa.array([t for _, t in items], pa.large_string())), scan.WORDS)
         hashes = scan.hash_spans(words.data, words.start, words.end)
-        self.alphabet = np.unique(hashes)
-        code = np.searchsorted(self.alphabet, hashes) + 1
-        first = np.concatenate([[0], np.cumsum(words.counts())])
-        owners: dict[tuple, set[int]] = {}
-        for k in range(len(items)):
-            own = code[first[k] : first[k + 1]].tolist()
-            for i in range(max(1, len(own) - width + 1) if own else 0):
-                owners.setdefault(tuple(own[i : i + width]), set()).add(k)
+        data = scan.LOWER[words.data]
+        code, place = scan.codes(data, words.start, words.end, hashes)
+        order = np.argsort(hashes[place], kind="stable")
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(1, len(order) + 1)
+        code, place = number[code], place[order]
+        self.alphabet, self.size = hashes[place], words.end[place] - words.start[place]
+        spans = [data[a:b] for a, b in zip(words.start[place].tolist(), words.end[place].tolist(), strict=True)]
+        self.data = np.concatenate(spans) if spans else np.zeros(0, np.uint8)
+        self.start = np.cumsum(self.size) - self.size
+        shared = np.concatenate([np.zeros(min(1, len(place)), bool), self.alphabet[1:] == self.alphabet[:-1]])
+        clash = np.flatnonzero(np.isin(self.alphabet, self.alphabet[shared]))
+        self.clash = {spans[k].tobytes(): k + 1 for k in clash.tolist()}
+        self.clashing = self.alphabet[clash]
+
         self.ids = [i for i, _ in items]
-        self.by_length: list[tuple[np.ndarray, list[list[int]]]] = []
-        for n in sorted({len(w) for w in owners}):
-            some = [w for w in owners if len(w) == n]
-            self.by_length.append((np.array(some, np.int64), [sorted(owners[w]) for w in some]))
+        counts = words.counts()
+        first = np.concatenate([[0], np.cumsum(counts)])
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in range(1, width + 1):
+            own = np.flatnonzero((counts >= n) if n == width else counts == n)
+            if not len(own):
+                continue
+            many = counts[own] - n + 1
+            item = np.repeat(own, many)
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[item]
+            windows, which = np.unique(np.lib.stride_tricks.sliding_window_view(code, n)[at], axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.reshape(-1), item], 1), axis=0)
+            self.by_length.append((windows, np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0], minlength=len(windows)))]), pairs[:, 1]))
+
+    def code(self, data: np.ndarray, words: scan.Words) -> np.ndarray:
+        """The numbers of a shard's words, 0 for those that no window holds. data: the shard's bytes in lower case."""
+        if not len(self.alphabet) or not len(words.start):
+            return np.zeros(len(words.start), np.int64)
+        hashes = scan.hash_spans(words.data, words.start, words.end)
+        at = np.minimum(np.searchsorted(self.alphabet, hashes), len(self.alphabet) - 1)
+        maybe = np.flatnonzero((self.alphabet[at] == hashes) & (self.size[at] == words.end - words.start))
+        same = scan.equal_spans(data, words.start[maybe], self.data, self.start[at[maybe]], self.size[at[maybe]])
+        out = np.zeros(len(hashes), np.int64)
+        out[maybe[same]] = at[maybe[same]] + 1
+        if self.clash:
+            for k in np.flatnonzero(np.isin(hashes, self.clashing)).tolist():
+                out[k] = self.clash.get(data[words.start[k] : words.end[k]].tobytes(), 0)
+        return out
 
 
 class Bits:
@@ -182,16 +217,14 @@ def _stretches(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def search_shard(words: scan.Words, windows: Windows) -> tuple[np.ndarray, list[set[int]]]:
     """Which words of a shard lie in occurrences, and for each document the numbers of the items that occur."""
-    hashes = scan.hash_spans(words.data, words.start, words.end)
     n_docs = len(words.bounds) - 1
-    cover, items = np.zeros(len(hashes) + 1, np.int64), [set() for _ in range(n_docs)]
-    if len(windows.alphabet) and len(hashes):
-        at = np.minimum(np.searchsorted(windows.alphabet, hashes), len(windows.alphabet) - 1)
-        code = np.where(windows.alphabet[at] == hashes, at + 1, 0)
+    cover, items = np.zeros(len(words.start) + 1, np.int64), [set() for _ in range(n_docs)]
+    code = windows.code(scan.LOWER[words.data], words)
+    if code.any():
         text, word = _stretches(code, words.doc)
         if len(text):
             index = ShardIndex(text, len(windows.alphabet))
-            for patterns, owners in windows.by_length:
+            for patterns, begin, owners in windows.by_length:
                 lo, hi = index.search(patterns)
                 found = np.flatnonzero(hi > lo)
                 many = (hi - lo)[found]
@@ -201,10 +234,22 @@ def search_shard(words: scan.Words, windows: Windows) -> tuple[np.ndarray, list[
                 np.add.at(cover, first, 1)
                 np.add.at(cover, first + patterns.shape[1], -1)
                 for d, w in np.unique(np.stack([words.doc[first], which], 1), axis=0).tolist():
-                    items[d].update(owners[w])
+                    items[d].update(owners[begin[w] : begin[w + 1]].tolist())
     return np.cumsum(cover[:-1]) > 0, items
 
 
+_BLOCK: tuple[str, Windows | None] = ("", None)
+
+
+def _windows(name: str, items: list[tuple[str, str]], width: int) -> Windows:
+    """The windows of the block that this process works on, made once; those of the block before go."""
+    global _BLOCK
+    if _BLOCK[0] != name:
+        _BLOCK = ("", None)
+        _BLOCK = (name, Windows(items, width))
+    return _BLOCK[1]
+
+
 def _work(windows: Windows, text: str, shard_bytes: int, again: bool):
     """again: the batch holds the spans and items of earlier passes, which are merged with those of this one."""
 
@@ -263,16 +308,19 @@ def decontaminate(
     width: int = 10,
     carry: list[str] | None = None,
     shard_bytes: int = 2 << 20,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """docs with n_words, n_hit, word_spans (in words), spans (in code points) and items (sorted ids of the items with occurring windows)."""
     spark = docs.sparkSession
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in ADDED.names]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ADDED.names]
+    out, sent = docs, None
     blocks = _item_blocks(benchmark, item_id, item_text, block_bytes)
-    out = docs
     for k, block in enumerate(chain([next(blocks, [])], blocks)):
-        sent = spark.sparkContext.broadcast(Windows(block, width))
-        out = map_documents(out, lambda sent=sent, k=k: _work(sent.value, text, shard_bytes, k > 0), ADDED, list(dict.fromkeys([*carry, text])))
+        if sent is not None:
+            out = keep(out, "searched")
+            sent.unpersist()
+        sent, name = spark.sparkContext.broadcast(block), f"{uuid.uuid4()}"
+        out = map_documents(out, lambda sent=sent, name=name, k=k: _work(_windows(name, sent.value, width), text, shard_bytes, k > 0), ADDED, list(dict.fromkeys([*carry, text])))
     return out.select(*carry, *ADDED.names)
 
 

@@ -13,8 +13,11 @@ The cutoff used is the strictest certified one that is no stricter than the prop
 once reject at most `risk` of their good documents beyond the base. A stratum with too few labels certifies nothing and rejects
 nothing.
 
-Null texts count as empty, and fail the base. Null strata are one stratum of their own. Repeated rows are judged alike. Null labels
-are ignored; of several labels of an id the highest counts.
+Words and windows are equal if their bytes are; hashes only bring them together. Null texts count as empty, and fail the base. Very long
+texts are measured whole, one at a time. Null strata are one stratum of their own. Repeated rows are judged alike; ties of cutoffs go to
+the more lenient one. Null ids are judged, but never learned from. Null labels are ignored; of several labels of an id the highest counts.
+Without documents or labels nothing is certified. `signals` passes extra columns, and replaces those that have the name of a signal;
+`risk_controlled` returns the id, the stratum and the columns asked for.
 """
 
 from __future__ import annotations
@@ -67,17 +70,25 @@ def _signals(text: str):
         n = len(w.start) - 4
         if n > 0:
             h = scan.hash_spans(w.data, w.start, w.end, scan.SAME)
-            gram = np.zeros(n, np.uint64)
-            for k in range(5):
-                gram = scan.mix(gram + h[k : k + n])
-            inside = w.doc[:n] == w.doc[4:]
-            at = np.flatnonzero(inside)
-            key = gram[at] ^ scan.mix(w.doc[at].astype(np.uint64) + np.uint64(0x1234567))
+            code, _ = scan.codes(w.data, w.start, w.end, h)
+            at = np.flatnonzero(w.doc[:n] == w.doc[4:])
+            columns = [w.doc[at], *(code[at + k] for k in range(5))]
+            key = np.zeros(len(at), np.uint64)
+            for c in columns:
+                key = scan.mix(key * np.uint64(3) + c.astype(np.uint64) + np.uint64(1))
             order = np.argsort(key)
             same = key[order][1:] == key[order][:-1]
+            equal = np.ones(len(same), bool)
+            for c in columns:
+                equal &= c[order][1:] == c[order][:-1]
+            if (same & ~equal).any():  # windows that share a hash: sorted by their words instead
+                order = np.lexsort(columns)
+                equal = np.ones(len(same), bool)
+                for c in columns:
+                    equal &= c[order][1:] == c[order][:-1]
             twice = np.zeros(len(at), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
+            twice[order[1:][equal]] = True
+            twice[order[:-1][equal]] = True
             cover = np.zeros(len(w.start) + 1, np.int64)
             np.add.at(cover, at[twice], 1)
             np.add.at(cover, at[twice] + 5, -1)

@@ -7,7 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
+#: Longer spans are hashed by XXH64: sums of powers repeat for certain long words.
+LONG = 64
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -120,4 +123,47 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.nd
         s, e = start[a:b] - base, end[a:b] - base
         out[a:b] = (sums[e] - sums[s]) * down[s]
         a = b
+    for k in np.flatnonzero(end - start > LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(fold[data[start[k] : end[k]]].tobytes())
     return mix(out)
+
+
+def equal_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at : at + size] and b[bt : bt + size] hold the same bytes, eight at a time."""
+
+    def eights(x: np.ndarray) -> np.ndarray:
+        padded = np.concatenate([x, np.zeros(8, np.uint8)])
+        return np.ndarray((len(x) + 1,), "<u8", padded, strides=(1,))
+
+    x, y = eights(a), eights(b)
+    same = np.ones(len(at), bool)
+    left = np.flatnonzero(size > 0)
+    step = 0
+    while len(left):
+        rest = size[left] - step
+        differ = x[at[left] + step] ^ y[bt[left] + step]
+        short = rest < 8
+        differ[short] &= (np.uint64(1) << (np.uint64(8) * rest[short].astype(np.uint64))) - np.uint64(1)
+        same[left[differ != 0]] = False
+        left = left[(differ == 0) & (rest > 8)]
+        step += 8
+    return same
+
+
+def codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of spans of data (case already folded), equal for equal bytes only, and the place of one span of each number."""
+    _, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+    size = end - start
+    other = first[code]
+    same = size == size[other]
+    at = np.flatnonzero(same)
+    same[at] = equal_spans(data, start[at], data, start[other[at]], size[at])
+    more: dict[bytes, int] = {}
+    extra = []
+    for k in np.flatnonzero(~same).tolist():  # spans that share a hash with other bytes
+        word = data[start[k] : end[k]].tobytes()
+        if word not in more:
+            more[word] = len(first) + len(extra)
+            extra.append(k)
+        code[k] = more[word]
+    return code, np.concatenate([first, np.array(extra, np.int64)])
