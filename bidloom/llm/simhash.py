@@ -8,16 +8,19 @@ Search. A fingerprint is embedded as the bit counts of `segments` equal segments
 the Manhattan distance of two embeddings is a lower bound of the fingerprints' distance. The embedding is cut in halves; one half of a
 linked pair has a Manhattan distance of most // 2 at most. So each half is a grid with unit cells, and a range join meets all pairs
 whose cells lie in that range: every fingerprint stands in its own cell and, for a range of 1, in the cells one step up. In each cell
-the bound over the whole embedding and then the exact distance decide. Equal fingerprints are one node, so a group of copies of any
-size is one row here. A cell returns a spanning forest of its links, not all of them, which keeps what is connected connected.
+the bound over the whole embedding and then the exact distance decide; a dense cell is first parted by equal blocks of bits. Equal
+fingerprints are one node, so a group of copies of any size is one row here. A cell returns a spanning forest of its links, not all of
+them, which keeps what is connected connected.
 
-Null or empty texts have fingerprint zero and link like any other. Repeated rows share a fingerprint. Null ids are never the smallest
-of a component unless all its ids are null.
+Null or empty texts have fingerprint zero and link like any other. Very long texts are hashed whole, their shingles one at a time.
+Repeated rows and ties share a fingerprint. Null ids are never the smallest of a component unless all its ids are null. An empty table
+gives an empty one. Of extra columns those in `carry` are returned; those that have the name of a result are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.llm import scan
-from bidloom.llm.common import components, keep, map_documents, without
+from bidloom.llm.common import components, join_skewed, keep, map_documents, without
 from bidloom.session import ship
 
 SEED = 42
+DENSE = 2_000
 RESULTS = ("fingerprint", "component_id", "n_copies", "class_fingerprint")
 FINGERPRINT = T.StructType([T.StructField("fingerprint", T.LongType())])
 
@@ -104,11 +108,27 @@ def embedding(f: np.ndarray, segments: int) -> np.ndarray:
     return np.stack([np.bitwise_count((f >> np.uint64(k * bits)) & np.uint64((1 << bits) - 1)) for k in range(segments)], axis=1).astype(np.int8)
 
 
-def _forest(nodes: np.ndarray, segments: int, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a cell's nodes. A node that has been reached is never compared again, so a dense cell costs little more than one comparison a node."""
+def _forest(nodes: np.ndarray, segments: int, most: int, parted: bool = False) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a cell's nodes. A node that has been reached is never compared again, so a cell of near copies costs little more than one comparison a node.
+
+    A cell of many nodes that don't link is parted further: of most + 3 blocks of bits three at least are equal in a linked pair, so
+    all choices of three are tried, and only nodes equal in these are compared.
+    """
     edges = []
     if len(nodes) == 2:
         return [(int(nodes[0]), int(nodes[1]))] if int(np.bitwise_count(nodes[0] ^ nodes[1])) <= most else []
+    if len(nodes) > DENSE and not parted:
+        cuts = np.linspace(0, 64, most + 4).astype(int)
+        masks = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for some in combinations(masks, 3):
+            key = nodes & np.uint64(sum(some))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+            first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+            for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
+                edges += _forest(nodes[order[a:b]], segments, most, True)
+        return list(set(edges))
     left, vectors = nodes, embedding(nodes, segments)
     while len(left):
         queue = [(left[0], vectors[0])]
@@ -179,12 +199,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     roots = components(link(found, "fingerprint", segments, most))
     joined = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     joined = keep(joined.withColumn("class_fingerprint", F.coalesce("root", "fingerprint")).drop("root"), "nodes")
-    least = joined.groupBy("class_fingerprint").agg(F.min("component_id").alias("component_id"))
-    classes = joined.drop("component_id").join(least, "class_fingerprint")
-    return found.join(classes, "fingerprint").select(*found.drop("fingerprint").columns, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "n_copies", "class_fingerprint")
+    least = keep(joined.groupBy("class_fingerprint").agg(F.min("component_id").alias("component_id"), F.count("*").alias("members")), "classes")
+    classes = keep(join_skewed(joined.drop("component_id"), least, ["class_fingerprint"], "members"), "members")
+    return join_skewed(found, classes, ["fingerprint"], "n_copies").select(*found.drop("fingerprint").columns, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "n_copies", "class_fingerprint")
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs less all but one document of each component: the one with the smallest id, of repeated rows any one."""
+    """docs less all but one document of each component: the one with the smallest id; of several rows with that id the one whose columns have the smallest hash."""
     found = near_duplicates(docs, id, text, carry=docs.columns, **how)
-    return found.where(F.col(id).eqNullSafe(F.col("component_id"))).dropDuplicates(["class_fingerprint"]).select(*docs.columns)
+    first = found.where(F.col(id).eqNullSafe(F.col("component_id"))).select("*", F.xxhash64(*docs.columns).alias("~row"))
+    least = first.groupBy("class_fingerprint").agg(F.min("~row").alias("~row"))
+    return first.join(least, ["class_fingerprint", "~row"], "left_semi").dropDuplicates(["class_fingerprint"]).select(*docs.columns)
