@@ -5,13 +5,15 @@ digits that pass Luhn) and telephone numbers (10 to 15 digits after a plus). A m
 
 Disguises. Transducers rewrite a text step by step and keep for each character the source characters it stands for:
  1. homoglyphs: letters, digits and signs that look like ASCII ones become those; invisible characters vanish;
- 2. spelled digits: runs of at least four digit words or digits, with plus, dot, point and dash between them, become figures;
+ 2. spelled digits (English, German, French, Spanish): runs of at least four digit words or digits, with plus, dot, point and dash
+    between them, become figures;
  3. at and dot: bracketed ones anywhere, bare ones in the form `name at host dot domain`, and spaces around @ before a domain.
 The base detectors then run on the rewritten text, and their spans are mapped back. A span is added unless a base span of its kind covers
 it: one that only holds a base span's part of an identifier is whole beside it. Spans may overlap. A text without a disguise's traces is not rewritten.
 
-Null texts count as empty and have no spans. Repeated rows are searched alike. Work and memory are linear in the text: a run of
-characters is never scanned again from its middle.
+Null texts count as empty and have no spans. Very long texts are searched whole; work and memory are linear in the text, as a run of
+characters is never scanned again from its middle. Repeated rows are searched alike; spans that tie in start come in the order of the
+kinds. An empty table gives an empty one. Extra columns pass, and those named base or spans are replaced.
 """
 
 from __future__ import annotations
@@ -81,19 +83,27 @@ def detect(t: str) -> list[Span]:
 # Characters of other scripts that look like the ASCII character before them.
 LOOKALIKES = "aаαɑ bЬ cсϲ dԁ eеҽ gɡ hһ iіıι jјϳ kκ lӏ mм nո oоοօ pрρ qԛ rг sѕ uυս vνѵ wԝ xхχ yуγ zᴢ AАΑ BВΒ CС EЕΕ HНΗ IІΙ JЈ KКΚ MМΜ NΝ OОΟ PРΡ SЅ TТΤ XХΧ YΥҮ ZΖ @﹫＠ .．。․ -‐‑‒–—−－ +＋"
 INVISIBLE = "­​‌‍⁠﻿"
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-JOINTS = {"plus": "+", "dot": ".", "point": ".", "dash": "-", "hyphen": "-"}
+_SPOKEN = (
+    "zero oh one two three four five six seven eight nine",
+    "null null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro zéro un deux trois quatre cinq six sept huit neuf",
+    "cero cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+JOINTS = {"plus": "+", "dot": ".", "point": ".", "dash": "-", "hyphen": "-", "punkt": ".", "punto": ".", "más": "+", "mas": "+", "strich": "-", "tiret": "-", "guion": "-", "guión": "-"}
+DIGIT_WORDS = {w: str(max(0, k - 1)) for names in _SPOKEN for k, w in enumerate(names.split())} | {"zwo": "2", "fuenf": "5"}
 
 _SAME = {c: group[0] for group in LOOKALIKES.split(" ") for c in group[1:]}
 _OTHER = re.compile(r"[^\x00-\xAC\xAE-\xFF]")
-_NAMED = "|".join(DIGIT_WORDS)
+_NAMED = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+_WHITE = re.compile(r"\s")
 _RUN = re.compile(rf"(?i)(?<![^\W_])(?:(?:{'|'.join(JOINTS)})[\s,(-]+|\+\s*)?(?:{_NAMED}|[0-9])(?:[\s,()-]*(?:(?<![^\W_])(?:{_NAMED}|{'|'.join(JOINTS)})(?![^\W_])|[0-9.])){{3,}}(?![^\W_])")
 _TOKEN = re.compile(rf"(?i){_NAMED}|{'|'.join(JOINTS)}|[0-9.+]")
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_NAMED})[\s,-]+(?:{_NAMED}|{'|'.join(JOINTS)}|[0-9])(?![^\W_])")
-_BRACKET = re.compile(r"(?i)\s{0,8}[\[({<]\s{0,8}(at|@|dot|\.)\s{0,8}[\])}>]\s{0,8}")
-_BARE = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])(\s{1,8}at\s{1,8})(?=[A-Za-z0-9-]{1,64}(?:\s{1,8}dot\s{1,8}|\.)[A-Za-z0-9-])")
-_BARE_DOT = re.compile(r"(?i)\s{1,8}dot\s{1,8}(?=[A-Za-z0-9-])")
-_WIDE_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:\s{1,4}@\s{0,4}|\s{0,4}@\s{1,4})(?=[A-Za-z0-9-]{1,64}\s{0,2}\.\s{0,2}[A-Za-z]{2})")
+_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_NAMED})[\s,-]+(?:{_NAMED}|{'|'.join(JOINTS)}|[0-9])(?![^\W_])|[0-9][\s.,()-]++(?:{_NAMED})(?![^\W_])")
+_BRACKET = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*+(at|@|dot|\.)\s*+[\])}>]\s*+")
+_BARE = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])(\s++at\s++)(?=[A-Za-z0-9-]++(?:\s++dot\s++|\.)[A-Za-z0-9-])")
+_WIDE_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:\s++@\s*+|@\s++)(?=[A-Za-z0-9-]++(?:\s++\.\s*+|\.)[A-Za-z]{2})")
+_HOST = re.compile(r"[A-Za-z0-9.-]+")
+_HOST_DOT = re.compile(r"(?i)\s++dot\s++(?=[A-Za-z0-9-])|\s++\.\s*+(?=[A-Za-z]{2})")
 
 
 class Mapped:
@@ -138,7 +148,9 @@ def _spelled(m: Mapped) -> None:
     changes = []
     for run in _RUN.finditer(m.text):
         tokens = list(_TOKEN.finditer(m.text, run.start(), run.end()))
-        if sum(t[0].lower() in DIGIT_WORDS for t in tokens) < 3:
+        words = sum(t[0].lower() in DIGIT_WORDS for t in tokens)
+        # One or two words among figures count in a run without white space or as long as a telephone number; elsewhere they are prose.
+        if not words or words < 3 and len(tokens) < 10 and _WHITE.search(run[0]):
             continue
         low = run.start()
         for t in tokens:
@@ -157,9 +169,9 @@ def _at_and_dot(m: Mapped) -> None:
     for x in re.finditer("@", m.text):  # bare dots count only in the host that follows an at
         at = max(low, x.end())
         while True:
-            host = re.compile(r"[A-Za-z0-9.-]{1,253}").match(m.text, at)
-            dot = host and (_BARE_DOT.match(m.text, host.end()) or re.compile(r"\s?\.\s?(?=[A-Za-z]{2,6}\b)").match(m.text, host.end()))
-            if not dot or dot[0] == ".":
+            host = _HOST.match(m.text, at)
+            dot = host and _HOST_DOT.match(m.text, host.end())
+            if not dot:
                 break
             dots.append((dot.start(), dot.end(), "."))
             at = low = dot.end()
