@@ -7,8 +7,12 @@ all they hold; visibility: hidden leaves out the text but keeps its place. What
 in pre, blocks stand on lines of their own, paragraphs, headings, tables and outer lists are parted by a blank line, list items carry
 a dash or their number and are indented by their depth, and the cells of a table are padded so that columns align.
 
-Only columns whose widest cell has at most 60 characters are padded; a table with a cell of several lines is laid out cell by cell.
-Null or empty pages give an empty text. Work is linear in the page but for the padding; nesting needs no recursion.
+A cell of several lines stands on as many, beside its neighbours; a table with one cell in each row is laid out as its cells are. So that
+a page cannot blow up with the square of its size, a table padded to more than `PADDING` times its text goes without the padding of its
+widest columns.
+Null or empty pages give an empty text. Very long pages are read whole; work is linear in the page but for the padding, and nesting needs
+no recursion. Repeated rows and ties are rendered alike, each for itself. An empty table gives an empty one. Extra columns pass, and
+those named text or n_lines are replaced.
 """
 
 from __future__ import annotations
@@ -53,13 +57,13 @@ ENDS = {
     "rt": (_set("rt rp"), _set("ruby")),
     "rp": (_set("rt rp"), _set("ruby")),
 }
+PADDING = 16
 BARRIERS = _set("table td th caption html template body")
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+(?:[\"'=][^>]*+)?)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 _DECLARED = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
-WIDEST = 60
 
 
 def tokens(page: str):
@@ -306,25 +310,34 @@ class Layout:
 
 
 def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+    """Rows with the cells of a column under each other; a cell of several lines stands on as many, beside its neighbours."""
     rows = [r for r in rows if any(lines for lines, _ in r)]
-    if any(len(lines) > 1 for r in rows for lines, _ in r):
+    if all(len(r) == 1 for r in rows):  # nothing to align: a table that only frames what it holds
         return [x for r in rows for lines, _ in r for x in lines]
     widths: dict[int, int] = {}
     for r in rows:
         at = 0
         for lines, span in r:
             if span == 1 and lines:
-                widths[at] = max(widths.get(at, 0), len(lines[0]))
+                widths[at] = max(widths.get(at, 0), *map(len, lines))
             at += span
-    widths = {k: w if w <= WIDEST else 0 for k, w in widths.items()}
+    high = sum(max(len(lines) for lines, _ in r) for r in rows)
+    bound = PADDING * (sum(len(x) for r in rows for lines, _ in r for x in lines) + 4096)
+    while widths and high * sum(widths.values()) > bound:
+        del widths[max(widths, key=widths.__getitem__)]
     out = []
     for r in rows:
-        at, parts = 0, []
-        for lines, span in r:
-            width = sum(widths.get(k, 0) for k in range(at, at + span)) + 2 * (span - 1)
-            parts.append((lines[0] if lines else "").ljust(min(width, 4 * WIDEST)))
-            at += span
-        out.append("  ".join(parts).rstrip())
+        for k in range(max(len(lines) for lines, _ in r)):
+            at, gap, parts = 0, 0, []
+            for lines, span in r:
+                width = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
+                text = lines[k] if k < len(lines) else ""
+                if text:
+                    parts += [" " * gap, text]
+                    gap = 0
+                gap += max(0, width - len(text)) + 2
+                at += span
+            out.append("".join(parts))
     return out
 
 
