@@ -129,11 +129,11 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 1, ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One cache for each task, which goes with it: a worker that later stages use keeps no memory of this one.
-        encode, stop = Encoder(tokenizer, 100_000).encode, np.array([end], "<u4").tobytes()
+        encode, stop = Encoder(tokenizer, 100_000).encode_all, np.array([end], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, t in enumerate(batch.column(text)):
-                ids = memoryview(encode(t.as_py() or "") + stop)
+            for k, found in enumerate(encode(batch.column(text).fill_null("").to_pylist())):
+                ids = memoryview(found + stop)
                 for a in range(0, len(ids), 4 * capacity):
                     part = ids[a : a + 4 * capacity]
                     row.append(k)
