@@ -12,8 +12,11 @@ A shard holds a range of keys in ascending order: data blocks, a Bloom filter, a
 A look-up prunes shards by the manifest's key ranges, asks the Bloom filter, bisects the index, and bisects the block's restarts.
 Files are written under another name and then moved, so a task that is repeated replaces its shard by an equal one.
 
-Keys: null comes first, then integers by value or strings by bytes; equal keys stand together and a look-up returns them all. A
-null text is empty. The shards are cut by key and, within equal keys, by text and row, so repeated keys never have to share a shard.
+Keys are integers or strings: null comes first, then integers by value or strings by bytes; equal keys (ties, repeated rows) stand
+together and a look-up returns them all. A null text is empty; a very long one is one entry of a block of its own size. The shards are cut
+by key and, within equal keys, by text and row, so repeated keys never have to share a shard; they hold about `SHARD_BYTES` of text, or less
+where that leaves fewer shards than shuffle partitions. An empty table makes no shard. Only key and text are read, so the names of extra
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ from bidloom.session import ship
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
+SHARD_BYTES = 256 << 20
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 16, 10, 7
 MANIFEST = "shard int, path string, first binary, last binary, entries long, ids long"
 
@@ -247,7 +251,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text:
     """Write docs' ids to shards below path. Returns the manifest: shard, path, first and last key, entries, ids."""
     spark = docs.sparkSession
     ship(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = docs.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     fs, inner = file_system(path)
     fs.create_dir(inner, recursive=True)
     order = [F.col("k").asc_nulls_first(), F.col("h"), F.col("row")]
@@ -261,11 +267,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text:
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         name = f"shard-{shard:06d}.sst"
         for batch in batches:
-            for k, t in zip(batch.column("k").to_pylist(), batch.column("t"), strict=True):
+            for k, ids in zip(batch.column("k").to_pylist(), encode.encode_all(batch.column("t").fill_null("").to_pylist()), strict=True):
                 if writer is None:
                     out = fs.open_output_stream(f"{folder}/.{name}.{attempt}")
                     writer = Writer(out, 2 if max(encode.size, end + 1) <= 1 << 16 else 4)
-                writer.add(key_bytes(k), encode.encode(t.as_py() or "") + stop)
+                writer.add(key_bytes(k), ids + stop)
         if writer is not None:
             writer.close()
             out.close()
@@ -284,7 +290,7 @@ def read(manifest: DataFrame, id: str = "doc_id", kind: T.DataType | None = None
     fields = [T.StructField(id, kind or T.LongType()), *(T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32"))]
     if ids:
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, manifest.count())
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
