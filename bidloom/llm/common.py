@@ -88,13 +88,14 @@ def semi_join(left: DataFrame, right: DataFrame, on: list[str], most: int = 200_
     return left.join(F.broadcast(right) if is_small(right, most) else right, on, "left_semi")
 
 
-def join_skewed(left: DataFrame, right: DataFrame, on: list[str], count: str) -> DataFrame:
-    """left joined to right, a kept table with one row for each key and in `count` the number of rows that left, a kept table, has of it.
+def join_skewed(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int | None = None) -> DataFrame:
+    """left joined to right, a kept table with one row for each key and in `count` the number of rows that left has of it. left is read
+    twice, and once more to count its rows if they are not given.
 
     Keys with more than a 100,000th of left's rows (100 at least), of which there are 100,000 at most, are broadcast; the others, none of
     which fills a task, are shuffled. Left's rows with other keys are dropped.
     """
-    most = max(100, left.count() // 100_000)
+    most = max(100, (left.count() if rows is None else rows) // 100_000)
     hot = F.broadcast(right.where(F.col(count) > most))
     return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(right.where(F.col(count) <= most), on))
 

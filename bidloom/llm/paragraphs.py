@@ -1,48 +1,50 @@
 """Substring dedup: near-equal paragraphs found by MinHash banding.
 
-Paragraphs. A line is a paragraph; one of more than `max_words` words is cut where its content says: before each word whose bigram
-hash is the smallest among `radius` words to either side within the line. So a passage is cut alike wherever it stands, also in the
-middle of a line. Words are runs of other characters than space and 0x09 to 0x0D, A-Z lower-cased. Paragraphs of fewer than
-`min_words` words are left alone.
+Paragraphs. A line is a paragraph; consecutive lines of fewer than `MIN_WORDS` words are one together. A paragraph of more than
+`MAX_WORDS` words is cut where its content says: before each word whose bigram hash is the smallest among `RADIUS` words to either side
+within it, so a passage is cut alike wherever it stands, also in the middle of a line. A piece of fewer than `MIN_WORDS` words is joined
+to the piece before it (the first one to the piece after it), so none is lost. Words are runs of other characters than space and 0x09
+to 0x0D, A-Z lower-cased. Only texts and lines between longer ones that have fewer than `MIN_WORDS` words in all are left alone.
 
 Search. Equal paragraphs become one row. Of each, the minima of hashed 5-word shingles fall into bands; rows and bands are tuned so
 that a pair of the threshold's Jaccard similarity collides with at least the wanted recall. Paragraphs that collide are compared by
 exact Jaccard similarity of their shingle sets. A bucket, with its paragraphs' shingles, is solved as a spanning forest: a paragraph that
-has been reached is not compared again, so a bucket of near copies costs little more than one comparison each. Buckets with equal
-members are solved once. Components of the links are classes; the earliest occurrence of a class (by document id, then place) stays.
-
-Runs. Cuts need context, so a passage that is little longer than `max_words`, or lies over short lines, may hold no paragraph. A second
-search finds equal runs of words wherever they begin, across lines: of any `WINDOW` 16-word grams in a row the one of the least hash is
-an anchor, so equal runs of `RUN` (25) words share one. Around anchors that repeat all grams are counted, and a run reaches as far
-as its grams repeat, to the word. Two passages of over 50 words with the threshold's similarity differ in so few words that 25 in a
-row are equal. Runs with up to 5 other words between them, there and in the earliest occurrence alike, are one; of its parts only one
-needs 25 words. Words of a gram that occurs earlier (not overlapping) are removed. A removed run's class is the earliest occurrence of its first gram,
-a kept one's is itself. Rows of the two searches may overlap.
-
-Null and empty texts have no paragraphs. Repeated rows are occurrences of their own. Occurrences with null ids come first.
+has been reached is not compared again, and others are only compared if they share one of the shingles, rarest first, of which similar
+sets must share one. Buckets with equal members are solved once; a bucket of more than `BUCKET` paragraphs is dealt out in blocks, each
+pair of which is solved by itself, so no task holds more than two. Components of the links are classes; the earliest occurrence of a
+class (by document id, then place) stays.
+
+Result. Found paragraphs that touch are one passage; passages of fewer than `PASSAGE` words, which are phrases rather than copies, are
+left alone.
+
+Null and empty texts have no paragraphs. Very long texts are cut as any other. Repeated rows are occurrences of their own; of those with
+equal id and place either counts as the earliest. Occurrences with null ids come first. An empty table gives an empty one. The result has
+columns of its own, so names of extra columns cannot clash.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.llm import scan
-from bidloom.llm.common import components, keep
+from bidloom.llm.common import components, join_skewed, keep
 from bidloom.session import ship
 
-SHINGLE, MIN_WORDS, MAX_WORDS, RADIUS = 5, 16, 48, 12
-GRAM, WINDOW = 16, 10
-RUN = GRAM + WINDOW - 1
+SHINGLE, MIN_WORDS, MAX_WORDS, RADIUS, PASSAGE = 5, 6, 48, 5, 16
 BLOCK = 1 << 20
+BUCKET = 50_000
 
 
-def tune_bands(threshold: float = 0.8, recall: float = 0.99, rows: int = 3) -> tuple[int, int]:
+def tune_bands(threshold: float = 0.8, recall: float = 0.98, rows: int = 2) -> tuple[int, int]:
     """(bands, rows): the fewest bands of so many rows with which a pair at the threshold collides with the wanted recall."""
     bands = 1
     while 1 - (1 - threshold**rows) ** bands < recall:
@@ -73,10 +75,14 @@ class Paragraphs:
         new = np.ones(n, bool)
         new[1:] = np.diff(line) > 0
         first = np.flatnonzero(new)
+        short = np.diff(np.concatenate([first, [n]])) < MIN_WORDS
+        if len(first) > 1:  # a short line after a short line of the same text goes on with it
+            new[first[1:][short[1:] & short[:-1] & (w.doc[first[1:]] == w.doc[first[:-1]])]] = False
+        first = np.flatnonzero(new)
         size = np.diff(np.concatenate([first, [n]]))
         long = np.flatnonzero(size > MAX_WORDS)
         if len(long):
-            new[self._cuts(first[long], size[long])] = True
+            new[self._joined(first[long], size[long], self._cuts(first[long], size[long]))] = True
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [n]]) if n else first
         wide = last - first >= MIN_WORDS
@@ -104,6 +110,14 @@ class Paragraphs:
         left, right = window[place - RADIUS], window[place + 1]
         return word[(x[place] < left) & (x[place] <= right) & (inner > 0)]
 
+    def _joined(self, first: np.ndarray, size: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The cuts but for those around pieces that are too short. Cuts lie more than RADIUS words apart, so such pieces are rare inside."""
+        part = np.searchsorted(first, cuts, "right") - 1
+        end = first[part] + size[part]
+        after = np.append(cuts[1:], 0)
+        after = np.where((after > cuts) & (after < end), after, end)
+        return cuts[(cuts - first[part] >= MIN_WORDS) & (after - cuts >= MIN_WORDS)]
+
     def keys(self) -> list[bytes]:
         """128-bit hashes of the paragraphs' words."""
         out = []
@@ -206,196 +220,74 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, key) of bands that different paragraphs share. A bucket is named by the hash of its members, so equal buckets have one name."""
+    """(bucket, n, k) of bands that n different paragraphs share. A bucket is named by the hash of its members, so equal buckets have one name."""
     for batch in _groups(batches, "band"):
         band = np.asarray(batch.column("band"))
-        keys = batch.column("key")
         cut = np.flatnonzero(np.diff(band)) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(band)]])
-        many = last - first > 1
-        names, at = [], []
-        for a, b in zip(first[many].tolist(), last[many].tolist(), strict=True):
-            members = np.frombuffer(b"".join(sorted(keys.slice(a, b - a).to_pylist())), ">u8").astype(np.uint64)
-            h = np.uint64(len(members))
-            mixed = scan.mix(members * (np.arange(len(members), dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
-            names.append(np.full(b - a, scan.mix(np.array([mixed.sum(dtype=np.uint64) + h]))[0]))
-            at.append(np.arange(a, b))
-        if at:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), keys.take(pa.array(np.concatenate(at)))], names=["bucket", "key"])
+        size = last - first
+        name = scan.mix(np.add.reduceat(scan.mix(np.asarray(batch.column("k")).view(np.uint64)), first) + size.astype(np.uint64))
+        many = np.flatnonzero(np.repeat(size > 1, size))
+        if len(many):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[many].view(np.int64)), pa.array(np.repeat(size, size)[many]), batch.column("k").take(pa.array(many))], names=["bucket", "n", "k"])
+
+
+def _similar(a: frozenset, b: frozenset, threshold: float) -> bool:
+    small, large = sorted((len(a), len(b)))
+    if small < threshold * large:
+        return False
+    both = len(a & b)
+    return both >= threshold * (small + large - both)
+
+
+def forest(sets: list[frozenset], threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets."""
+    if len(sets) == 2:
+        return [(0, 1)] if _similar(*sets, threshold) else []
+    count = Counter(x for s in sets for x in s)
+    heads, holders = [], defaultdict(list)
+    for k, s in enumerate(sets):
+        # Similar sets share one of so many elements in any order that both follow; the rarest first leave the fewest to compare.
+        head = heapq.nsmallest(len(s) - math.ceil(threshold * len(s)) + 1, s, key=lambda x: (count[x], x))
+        heads.append(head)
+        for x in head:
+            holders[x].append(k)
+    reached = [False] * len(sets)
+    edges = []
+    for root in range(len(sets)):
+        if reached[root]:
+            continue
+        reached[root] = True
+        queue = [root]
+        while queue:
+            k = queue.pop()
+            seen = set()
+            for x in heads[k]:
+                holders[x] = left = [j for j in holders[x] if not reached[j]]
+                for j in left:
+                    if j not in seen and not reached[j]:
+                        seen.add(j)
+                        if _similar(sets[k], sets[j], threshold):
+                            reached[j] = True
+                            edges.append((k, j))
+                            queue.append(j)
+    return edges
 
 
 def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in _groups(batches, "bucket"):
-        bucket = np.asarray(batch.column("bucket"))
+    for batch in _groups(batches, "part"):
+        part = np.asarray(batch.column("part"))
         keys, sets = batch.column("key").to_pylist(), batch.column("shingles").to_pylist()
-        cut = np.flatnonzero(np.diff(bucket)) + 1
+        cut = np.flatnonzero(np.diff(part)) + 1
         a_, b_ = [], []
-        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
-            left = {k: frozenset(np.frombuffer(sets[k], np.uint64).tolist()) for k in range(lo, hi)}
-            while left:
-                queue = [left.popitem()]
-                while queue and left:
-                    k, mine = queue.pop()
-                    near = []
-                    for j, other in left.items():
-                        small, large = sorted((len(mine), len(other)))
-                        if small >= threshold * large:
-                            both = len(mine & other)
-                            if both >= threshold * (small + large - both):
-                                near.append(j)
-                    for j in near:
-                        a_.append(keys[k])
-                        b_.append(keys[j])
-                        queue.append((j, left.pop(j)))
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
+            for a, b in forest([frozenset(np.frombuffer(x, np.uint64).tolist()) for x in sets[lo:hi]], threshold):
+                a_.append(keys[lo + a])
+                b_.append(keys[lo + b])
         if a_:
             yield pa.RecordBatch.from_arrays([pa.array(a_, pa.binary()), pa.array(b_, pa.binary())], names=["a", "b"])
 
 
-class Grams:
-    """Words of a block of texts, the hash of the gram that begins at each, and whether the gram ends in the same text."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        self.words = w = scan.find_words(raw, offsets, scan.SPACED)
-        n = len(w.start)
-        g = scan.mix(scan.hash_spans(w.data, w.start, w.end) + np.uint64(0x2545F491))
-        up, down = scan._powers(n + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * up[:n], dtype=np.uint64)])
-        last = max(0, n - GRAM + 1)
-        self.gram, self.valid = np.zeros(n, np.uint64), np.zeros(n, bool)
-        self.gram[:last] = scan.mix((sums[GRAM:] - sums[:last]) * down[:last]) if last else 0
-        self.valid[:last] = w.doc[:last] == w.doc[n - last :]
-        self.base = np.concatenate([[0], np.cumsum(w.counts())])
-
-    def anchors(self) -> np.ndarray:
-        """The least gram of each window that lies in one text."""
-        n = len(self.gram) - RUN + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        inside = np.flatnonzero(self.words.doc[:n] == self.words.doc[RUN - 1 :])
-        windows = np.lib.stride_tricks.sliding_window_view(self.gram, WINDOW)
-        return np.unique(inside + windows[inside].argmin(axis=1))
-
-    def tagged(self, at: np.ndarray) -> np.ndarray:
-        return _tag(self.gram[at], self.words.doc[at])
-
-
-def _tag(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Hashes of grams with the number of their text in the block."""
-    return scan.mix(gram + scan.mix(doc.astype(np.uint64) + np.uint64(1)))
-
-
-def _flat(lists: pa.Array, a: int, b: int) -> tuple[pa.Array, np.ndarray]:
-    """The elements of lists[a:b] and for each the number of its list, from 0."""
-    part = lists.slice(a, b - a)
-    sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return part.flatten(), np.repeat(np.arange(b - a), sizes)
-
-
-def _painted(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Which of n words lie in one of the spans."""
-    edge = np.bincount(first, minlength=n + 1) - np.bincount(last, minlength=n + 1)
-    return np.cumsum(edge)[:n] > 0
-
-
-def _gram_blocks(batch: pa.RecordBatch):
-    raw, offsets = scan.strings(batch.column("t"))
-    for a, b in scan.blocks(offsets, BLOCK):
-        g = Grams(raw, offsets[a : b + 1])
-        if g.valid.any():
-            yield a, b, g
-
-
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, _, g in _gram_blocks(batch):
-            at = g.anchors()
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(a + g.words.doc[at])), pa.array(g.gram[at].view(np.int64))], names=["id", "gram"])
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different grams of each text that begin within a window of its wanted anchors, the first place of each, and how often it occurs (copies that overlap count once)."""
-    for batch in batches:
-        for a, b, g in _gram_blocks(batch):
-            wanted, doc = _flat(batch.column("wanted"), a, b)
-            at = g.anchors()
-            at = at[np.isin(g.tagged(at), _tag(wanted.to_numpy(zero_copy_only=False).view(np.uint64), doc))]
-            d, n = g.words.doc[at], len(g.gram)
-            found = _painted(n, np.maximum(at - WINDOW + 1, g.base[d]), np.minimum(at + WINDOW, g.base[d + 1]))
-            at = np.flatnonzero(found & g.valid)
-            if not len(at):
-                continue
-            tag = g.tagged(at)
-            order = np.argsort(tag, kind="stable")
-            head = np.flatnonzero(np.concatenate([[True], np.diff(tag[order]) != 0]))
-            size = np.diff(np.concatenate([head, [len(at)]]))
-            first, last = at[order[head]], at[order[head + size - 1]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(a + g.words.doc[first])), pa.array(first - g.base[g.words.doc[first]]), pa.array(g.gram[first].view(np.int64)), pa.array(np.minimum(size, 1 + (last - first) // GRAM))],
-                names=["id", "place", "gram", "times"],
-            )
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of the grams that repeat, in the columns of repeated_paragraphs."""
-    for batch in batches:
-        for a, b, g in _gram_blocks(batch):
-            flat, of = _flat(batch.column("hits"), a, b)
-            if not len(flat):
-                continue
-            hit_gram, hit_place, hit_n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "place", "n"))
-            own = flat.field("own").to_numpy(zero_copy_only=False).astype(bool)
-            tags = _tag(hit_gram.view(np.uint64), of)
-            order = np.argsort(tags)
-            at = np.flatnonzero(g.valid)
-            tag = g.tagged(at)
-            k = np.minimum(np.searchsorted(tags[order], tag), len(order) - 1)
-            same = tags[order][k] == tag
-            at, hit = at[same], order[k[same]]  # grams that repeat, and their entries
-            if not len(at):
-                continue
-            n, doc = len(g.gram), g.words.doc
-            place = at - g.base[doc[at]]
-            # An occurrence that overlaps the earliest one is no copy of it.
-            copied = ~own[hit] | (place - hit_place[hit] >= GRAM)
-            gone = _painted(n, at[copied], at[copied] + GRAM)
-            new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(doc[at]) > 0)])
-            s = np.flatnonzero(new)
-            e = np.concatenate([s[1:], [len(at)]]) - 1
-            lo, hi = at[s], at[e] + GRAM
-            gap = lo[1:] - hi[:-1]
-            there = hit_place[hit[s[1:]]] - hit_place[hit[e[:-1]]] - GRAM
-            source = np.where(own, -1, np.asarray(flat.field("class_id").dictionary_encode().indices.fill_null(-2)))
-            bridged = (source[hit[s[1:]]] == source[hit[e[:-1]]]) & (gap >= 0) & (gap <= SHINGLE) & (np.abs(there) <= SHINGLE)
-            joined = (doc[lo[1:]] == doc[lo[:-1]]) & (bridged | (gap < 0))
-            over = np.flatnonzero(joined & (gap > 0) & gone[hi[:-1] - 1] & gone[lo[1:]])
-            gone |= _painted(n, hi[over], lo[over + 1])
-            group = np.concatenate([[0], np.cumsum(~joined)])
-            head = np.flatnonzero(np.concatenate([[True], ~joined]))
-            good = np.flatnonzero(np.maximum.reduceat(hi - lo, head) >= RUN)
-            low, high = lo[head][good], np.maximum.reduceat(hi, head)[good]
-            if not len(low):
-                continue
-            size = high - low
-            word = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-            whose = np.repeat(good, size)
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(whose) > 0) | (gone[word[1:]] != gone[word[:-1]])]))
-            first, last = word[cut], word[np.concatenate([cut[1:], [len(word)]]) - 1] + 1
-            removed, d = gone[first], doc[first]
-            i = hit[np.searchsorted(at, first, "right") - 1]
-            ids = pa.concat_arrays([batch.column("id"), flat.field("class_id")])
-            chars = np.empty((2, len(first)), np.int64)
-            for x in np.unique(d):
-                mine = d == x
-                chars[:, mine] = g.words.char(x, np.stack([g.words.start[first[mine]], g.words.end[last[mine] - 1]]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").take(pa.array(a + d)), pa.array(first - g.base[d]), pa.array(last - first), pa.array(chars[0]), pa.array(chars[1]),
-                    ids.take(pa.array(np.where(removed, batch.num_rows + i, a + d))), pa.array(np.where(removed, hit_place[i], first - g.base[d])), pa.array(hit_n[i]), pa.array(removed),
-                ],
-                names=["id", "place", "n_words", "start", "end", "class_id", "class_place", "n_occurrences", "removed"],
-            )
-
-
 def _last(df: DataFrame, name: str) -> DataFrame:
     """df as a kept table. What its shuffles left on disk goes once the driver's JVM has collected their handles, which is done here."""
     df = keep(df, name)
@@ -403,29 +295,16 @@ def _last(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def repeated_runs(base: DataFrame) -> DataFrame:
-    """The runs of words in base (id, t) that repeat, in the columns of repeated_paragraphs."""
-    kind = base.schema["id"].dataType
-    long = T.LongType()
+def _blocks_of(buckets: DataFrame, most: int) -> DataFrame:
+    """(part, k): each bucket of at most `most` paragraphs is a part; of a larger one each pair of its blocks is."""
+    blocks = F.ceil(F.col("n") / most)
+    mine = F.pmod(F.xxhash64("k"), blocks)
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64("bucket", F.least(mine, j), F.greatest(mine, j)))
+    return buckets.select(F.explode(F.when(F.col("n") > most, parts).otherwise(F.array(F.col("bucket")))).alias("part"), "k")
 
-    def schema(*more: tuple[str, T.DataType]) -> T.StructType:
-        return T.StructType([T.StructField("id", kind), *(T.StructField(n, t) for n, t in more)])
-
-    anchors = base.mapInArrow(_anchors, schema(("gram", long)))
-    again = _last(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "anchors")
-    wanted = anchors.join(again, "gram").groupBy("id").agg(F.collect_set("gram").alias("wanted"))
-    texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"])).select(base["id"], "t", "wanted")
-    near = _last(texts.mapInArrow(_near, schema(("place", long), ("gram", long), ("times", long))), "grams")
-    first = _last(near.groupBy("gram").agg(F.min(F.struct("id", "place")).alias("first"), F.sum("times").alias("n")).where("n > 1"), "first")
-    hit = F.struct("gram", F.col("first.id").alias("class_id"), F.col("first.place").alias("place"), "n", F.col("id").eqNullSafe(F.col("first.id")).alias("own"))
-    hit = _last(near.join(first, "gram").select("id", hit.alias("hit")), "hits")
-    hits = _last(hit.groupBy("id").agg(F.collect_list("hit").alias("hits")), "hits")
-    texts = base.join(hits, base["id"].eqNullSafe(hits["id"])).select(base["id"], "t", "hits")
-    return texts.mapInArrow(_runs, schema(("place", long), ("n_words", long), ("start", long), ("end", long), ("class_id", kind), ("class_place", long), ("n_occurrences", long), ("removed", T.BooleanType())))
-
-
-def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """One row for each paragraph or run that has an equal or near-equal one elsewhere: id, place (its first word), n_words, start, end (code
+
+def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = 0.98) -> DataFrame:
+    """One row for each paragraph that has an equal or near-equal one elsewhere: id, place (its first word), n_words, start, end (code
     points), class_id and class_place (the earliest occurrence of its class), n_occurrences, and removed (all but the earliest)."""
     ship(docs.sparkSession)
     bands, rows = tune_bands(threshold, recall)
@@ -435,35 +314,44 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def schema(*more: tuple[str, T.DataType]) -> T.StructType:
         return T.StructType([T.StructField("id", kind), T.StructField("place", T.LongType()), T.StructField("key", T.BinaryType()), *(T.StructField(n, t) for n, t in more)])
 
-    runs = _last(repeated_runs(base), "runs")
     units = base.mapInArrow(lambda b: _banded(b, "t", bands, rows), schema(("bands", T.ArrayType(T.LongType()))))
-    distinct = keep(units.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "paragraphs")
-    collided = distinct.select("key", F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band")
-    buckets = keep(collided.mapInArrow(_buckets, "bucket long, key binary").distinct(), "buckets")
+    distinct = _last(units.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "paragraphs")
+    short = F.xxhash64("key").alias("k")  # what moves in place of a key where a coincidence only means one comparison more
+    collided = distinct.select(short, F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band")
+    buckets = _last(collided.mapInArrow(_buckets, "bucket long, n long, k long").distinct(), "buckets")
     # Each paragraph's shingles come from the document of its first occurrence, so only texts move, whatever the number of paragraphs.
-    wanted = distinct.select("key", "first.id").join(buckets.select("key").distinct(), "key", "left_semi").groupBy("id").agg(F.collect_list("key").alias("wanted"))
+    wanted = distinct.select("key", "first.id", short).join(buckets.select("k").distinct(), "k", "left_semi").groupBy("id").agg(F.collect_list("key").alias("wanted"))
     texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"])).select("t", "wanted")
     sets = texts.mapInArrow(_sets, "key binary, shingles binary").groupBy("key").agg(F.any_value("shingles").alias("shingles"))
-    filled = buckets.join(sets, "key").repartition("bucket").sortWithinPartitions("bucket")
-    edges = keep(filled.mapInArrow(lambda b: _links(b, threshold), "a binary, b binary"), "links")
+    filled = _blocks_of(buckets, BUCKET).join(sets.select("*", short), "k").drop("k").repartition("part").sortWithinPartitions("part")
+    edges = _last(filled.mapInArrow(lambda b: _links(b, threshold), "a binary, b binary"), "links")
     roots = keep(components(edges), "roots")
     classes = _classes(distinct, roots)
     where = base.mapInArrow(lambda b: _places(b, "t"), schema(("n_words", T.LongType()), ("start", T.LongType()), ("end", T.LongType())))
-    found = where.join(classes, "key")
-    found = found.select(
+    found = join_skewed(where, classes, ["key"], "copies", distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n).select(
         "id", "place", "n_words", "start", "end",
         F.col("least.id").alias("class_id"), F.col("least.place").alias("class_place"), "n_occurrences",
         (~(F.col("id").eqNullSafe(F.col("least.id")) & (F.col("place") == F.col("least.place")))).alias("removed"),
     )
-    return found.unionByName(runs).withColumnRenamed("id", id)
+    return _passages(found).withColumnRenamed("id", id)
+
+
+def _passages(found: DataFrame) -> DataFrame:
+    """Rows of found whose paragraphs, with those that touch them, have PASSAGE words or more. Windows hold the rows of one document."""
+    inside = Window.partitionBy("id").orderBy("place", "n_words")
+    new = F.coalesce((F.col("place") > F.max(F.col("place") + F.col("n_words")).over(inside.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    numbered = found.withColumn("new", new).withColumn("passage", F.sum("new").over(inside))
+    whole = Window.partitionBy("id", "passage")
+    length = F.max(F.col("place") + F.col("n_words")).over(whole) - F.min("place").over(whole)
+    return numbered.withColumn("length", length).where(F.col("length") >= PASSAGE).drop("new", "passage", "length")
 
 
 def _classes(distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, least, n_occurrences) of the paragraphs in classes with two occurrences or more."""
-    linked = distinct.select("key", "first", "n").join(roots.withColumnRenamed("node", "key"), "key")
-    total = linked.groupBy("root").agg(F.min("first").alias("least"), F.sum("n").alias("n_occurrences"))
-    near = linked.select("key", "root").join(total, "root").select("key", "least", "n_occurrences")
-    alone = distinct.where("n > 1").join(roots.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.col("first").alias("least"), F.col("n").alias("n_occurrences"))
+    """(key, least, n_occurrences of the class, copies of the paragraph) of the paragraphs in classes with two occurrences or more."""
+    linked = keep(distinct.select("key", "first", F.col("n").alias("copies")).join(roots.withColumnRenamed("node", "key"), "key"), "linked")
+    total = keep(linked.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("n_occurrences"), F.count("*").alias("members")), "totals")
+    near = join_skewed(linked.select("key", "root", "copies"), total, ["root"], "members").select("key", "least", "n_occurrences", "copies")
+    alone = distinct.where("n > 1").join(roots.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.col("first").alias("least"), F.col("n").alias("n_occurrences"), F.col("n").alias("copies"))
     return keep(near.unionByName(alone), "classes")
 
 

@@ -518,8 +518,8 @@ def test_forests_connect_what_links_connect(monkeypatch, spark):
 
     got = paragraphs.forest(sets, 0.8)
     assert roots(got) == roots(want) and all((max(e), min(e)) in want for e in got)
-    keys = spark.createDataFrame([(7, 100, k.to_bytes(16, "big")) for k in range(100)], "bucket long, n long, key binary")
-    parts = paragraphs._blocks_of(keys, 30).groupBy("part").agg(F.collect_set("key").alias("k")).collect()
+    keys = spark.createDataFrame([(7, 100, k) for k in range(100)], "bucket long, n long, k long")
+    parts = paragraphs._blocks_of(keys, 30).groupBy("part").agg(F.collect_set("k").alias("k")).collect()
     assert len({(a, b) for r in parts for a in r.k for b in r.k}) == 100 * 100 and max(len(r.k) for r in parts) < 100
 
 
