@@ -17,24 +17,20 @@ from bidloom.session import ship
 
 SHEET = ["file", "sheet"]
 
-#: Words in a header and the role of their column, in order of priority.
+#: Roles in the order in which they are tried, and the words in a header that name them.
 ROLE_WORDS: list[tuple[str, tuple[str, ...]]] = [
-    ("name", ("품명", "품목", "name", "item", "description")),
-    ("spec", ("규격", "사양", "spec")),
-    ("qty", ("수량", "qty", "quantity")),
+    ("seq", ("no.", "no", "번호", "순번", "항번", "item no")),
+    ("cat1", ("대분류",)),
+    ("cat2", ("중분류",)),
+    ("cat3", ("소분류",)),
+    ("cat4", ("세분류", "세세분류")),
+    ("name", ("품명", "품목", "주요구성품", "주요부품", "name", "item")),
+    ("spec", ("규격", "사양", "spec", "remark주요")),
+    ("qty", ("수량", "q'ty", "qty", "수 량")),
     ("unit", ("단위", "unit")),
-    ("price", ("단가", "price")),
-    ("amount", ("금액", "합계", "amount", "total")),
-    ("remark", ("비고", "remark", "note")),
-    ("seq", ("순번", "번호", "no", "seq")),
-]
-#: Page kinds and the words that tell them, the first that matches wins.
-PAGE_WORDS: list[tuple[str, tuple[str, ...]]] = [
-    ("DRAWING", ("drawing", "도면")),
-    ("DIAGRAM", ("diagram", "구성도")),
-    ("TERMS", ("terms", "조건")),
-    ("SUMMARY", ("summary", "총괄")),
-    ("DETAIL", ("detail", "내역")),
+    ("price", ("단가", "unit price", "unitprice")),
+    ("amount", ("금액", "amount", "total", "공급가", "합계금액")),
+    ("remark", ("비고", "remark", "remarks")),
 ]
 TOTALS = r"total|subtotal|합계|소계|총계|grand"
 
@@ -59,18 +55,19 @@ def find_keyword(cells: DataFrame, keyword: str, top: int = 10) -> DataFrame:
 
 
 def role_of(value: Column) -> Column:
+    """The first role that a header names. With a price beside it, a unit is none."""
     text = F.lower(S.strip(value))
     out = F.lit(None).cast("string")
     for role, words in reversed(ROLE_WORDS):
-        out = F.when(reduce(lambda a, b: a | b, [text.contains(w) for w in words]), role).otherwise(out)
+        named = reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+        out = F.when(named & ~text.contains("price") if role == "unit" else named, role).otherwise(out)
     return out
 
 
 def suggest_roles(cells: DataFrame, top: int = 8) -> DataFrame:
-    """The row among the first ones whose cells name the most roles (the first of equals), its columns' roles, and how sure that is. A role's first column counts."""
+    """The row among the first ones most of whose columns name a role (the first of equals), the columns' roles, and how sure that is. Several columns may have one role."""
     named = cells.where(F.col("row") <= top).withColumn("role", role_of(F.col("value"))).where("role IS NOT NULL")
-    first = named.groupBy(*SHEET, "row", "role").agg(F.min("col").alias("col"))
-    rows = first.groupBy(*SHEET, "row").agg(F.count("*").alias("hits"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "col")))).alias("mapping"))
+    rows = named.groupBy(*SHEET, "row").agg(F.count("*").alias("hits"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "role")))).alias("mapping"))
     best = rows.groupBy(*SHEET).agg(F.min_by(F.struct("row", "hits", "mapping"), F.struct(-F.col("hits"), "row")).alias("b")).select(*SHEET, "b.*")
     return best.withColumn("confidence", F.when(F.col("hits") >= 4, "high").when(F.col("hits") >= 2, "low").otherwise("none"))
 
@@ -120,16 +117,23 @@ def rows_by_role(cells: DataFrame, mapping: dict[int, str], header: int, exclude
 
 
 def _sequence_paths(rows: DataFrame) -> DataFrame:
-    """Paths from numbers such as 2 or 2.1.3. The names of top-level numbers are remembered; a number between is itself a level."""
-    seq = F.coalesce(S.strip(F.col("seq")), F.lit(""))
-    rows = rows.where(~F.lower(F.concat_ws(" ", "seq", "name")).rlike(TOTALS)).withColumn("is_seq", seq.rlike(r"^\d+(\.\d+)*$")).withColumn("levels", F.split(seq, r"\."))
-    top = (F.size("levels") == 1) & F.col("is_seq")
-    w = Window.partitionBy(*SHEET, F.element_at("levels", 1)).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("head", F.last(F.when(top, S.truthy(F.col("name"))), ignorenulls=True).over(w))
+    """Paths from numbers such as 2 or 2.1.3. A top-level number's name is remembered for the rows below it, else the number stands for
+    it; a number between is itself a level. Top-level rows without an amount are headings; rows without a number are items of their own
+    name, unless they have an amount and are totals or have no name."""
+    seq, name = F.coalesce(S.strip(F.col("seq")), F.lit("")), S.truthy(F.col("name"))
+    is_seq = seq.rlike(r"^\d+(\.\d+)*$")
+    rows = rows.withColumn("levels", F.when(is_seq, F.split(seq, r"\.")))
+    top, own = F.coalesce(F.size("levels") == 1, F.lit(False)), F.when(name != "", name).otherwise(seq)
+    w = Window.partitionBy(*SHEET, F.try_element_at("levels", F.lit(1))).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.coalesce(F.last(F.when(top, own), ignorenulls=True).over(w), F.element_at("levels", 1))
+    rows = rows.withColumn("head", head)
     between = F.transform(F.sequence(F.lit(2), F.size("levels") - 1), lambda k: F.array_join(F.slice("levels", 1, k), "."))
     above = F.when(F.size("levels") > 2, between).otherwise(F.array().cast("array<string>"))
-    parts = F.when(F.col("is_seq") & ~top, F.concat(F.array_compact(F.array("head")), above, F.array(S.truthy(F.col("name"))))).when(top, F.array(S.truthy(F.col("name")))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("parts", parts).where(~(top & (F.coalesce(S.strict_number(F.col("amount")), F.lit(0.0)) == 0)))
+    none = F.array().cast("array<string>")
+    parts = F.when(top, F.array(own)).when(is_seq, F.concat(F.array("head"), above, F.array(own))).when(name != "", F.array(name)).otherwise(none)
+    paid = F.coalesce(S.strict_number(F.col("amount")), F.lit(0.0)) != 0
+    total = F.lower(F.concat_ws(" ", name, seq)).rlike(TOTALS) | (seq == "") & (name == "")
+    return rows.withColumn("parts", parts).where(~(top & ~paid) & ~(~is_seq & paid & total))
 
 
 def extract_by_mapping(cells: DataFrame, mapping: dict[int, str], header: int, fill: bool = True, excluded: list[int] | None = None, nego: list[int] | None = None) -> DataFrame:
@@ -169,12 +173,17 @@ def extract_by_mapping(cells: DataFrame, mapping: dict[int, str], header: int, f
 
 
 def page_type(text: Column, lines: int = 5) -> Column:
-    """The kind of a page by words in its first lines; the first kind that matches wins."""
-    head = F.lower(F.array_join(F.slice(F.split(text, "\n"), 1, lines), "\n"))
-    out = F.lit("UNKNOWN")
-    for kind, words in reversed(PAGE_WORDS):
-        out = F.when(reduce(lambda a, b: a | b, [head.contains(w) for w in words]), kind).otherwise(out)
-    return out
+    """The kind of a page by words in its first lines. The kinds, their words, and the order in which they are tried."""
+    head = F.array_join(F.slice(F.split(text, "\n"), 1, lines), "\n")
+    low = F.lower(head)
+    return (
+        F.when(head.contains("랙 배치도") | low.contains("front view"), "DRAWING")
+        .when(head.contains("구성도") & low.contains("logical"), "DIAGRAM")
+        .when(head.contains("거래조건") | head.contains("거 래 조 건"), "TERMS")
+        .when(head.contains("견적서") & ~head.contains("명세"), "SUMMARY (갑지)")
+        .when(head.contains("명세"), "DETAIL (명세)")
+        .otherwise("UNKNOWN")
+    )
 
 
 def fx_rate(items: DataFrame, by: str, order: str, low: float = 500, high: float = 2000) -> DataFrame:
@@ -213,6 +222,60 @@ def clean_json(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(S.strip(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
 
 
+#: What a provider answers for one chunk.
+DOCUMENT = (
+    "vendor_name string, proposal_no string, proposal_date string, currency string, currency_unit string, "
+    "amount_summary struct<subtotal_excl_vat:double,vat:double,grand_total:double>, "
+    "items array<struct<line_no:string,depth:int,is_category_header:boolean,category:string,parent_path:string,path:string,name_raw:string,"
+    "name_normalized:string,spec:string,quantity:double,unit:string,unit_price:double,amount:double>>"
+)
+
+
+def parse_answers(answered: DataFrame) -> DataFrame:
+    """answered (answer, error) with `doc`, the answer as a document; an answer that is no document has none and an error that says so."""
+    doc = F.from_json(clean_json(F.col("answer")), DOCUMENT, {"mode": "PERMISSIVE"})
+    out = answered.withColumn("doc", F.when(clean_json(F.col("answer")).startswith("{"), doc))
+    return out.withColumn("error", F.coalesce("error", F.when(F.col("doc").isNull(), "no document in the answer")))
+
+
+def merge_chunks(parsed: DataFrame, by: str, order: str = "chunk") -> tuple[DataFrame, DataFrame]:
+    """Heads and items of documents that came in chunks. Heads: those of the first chunk, the last chunk's currency that is not empty, how
+    many chunks failed, and status (failed if all did). Items keep the order of chunks and, in them, of the answer; a failed chunk has none."""
+    currency = F.nullif(F.col("doc.currency"), F.lit(""))
+    heads = parsed.groupBy(by).agg(
+        F.min_by("doc.vendor_name", F.when(F.col("doc").isNotNull(), F.col(order))).alias("vendor_name"),
+        F.max_by(currency, F.when(currency.isNotNull(), F.col(order))).alias("currency"),
+        F.count_if(F.col("error").isNotNull()).alias("n_failed"),
+        F.count("*").alias("n_chunks"),
+    )
+    heads = heads.withColumn("status", F.when(F.col("n_failed") == F.col("n_chunks"), "failed").otherwise("done"))
+    items = parsed.select(by, order, F.posexplode("doc.items").alias("place", "i")).select(by, order, "place", "i.*")
+    return heads, items
+
+
+def run_extraction(submissions: DataFrame, lines: DataFrame, provider: Callable[[str], str], by: str = "submission_id", order: str = "line_no", size: int = 150) -> tuple[DataFrame, DataFrame]:
+    """Submissions with extraction_status done or failed, and their items: lines in chunks, each asked of the provider, answers parsed and merged.
+    A submission without lines fails."""
+    heads, items = merge_chunks(parse_answers(ask_provider(text_chunks(lines, by, order, size), provider)), by)
+    done = submissions.drop("extraction_status").join(heads.select(by, "currency", "n_failed", F.col("status").alias("extraction_status")), by, "left")
+    return done.withColumn("extraction_status", F.coalesce("extraction_status", F.lit("failed"))), items
+
+
+def sheet_chunks(cells: DataFrame, keyword: str = "중분류", top: int = 10, most: int = 30) -> tuple[DataFrame, DataFrame]:
+    """All sheets' lines in chunks of one value of the column whose header holds the keyword (chunk, text, n_lines), the header before each,
+    and the sheets without such a column, which need a choice."""
+    head = find_keyword(cells, keyword, top).withColumnRenamed("row", "header").withColumnRenamed("col", "group_col")
+    lines = sheet_lines(cells)
+    value = cells.join(head, SHEET).where("col = group_col").select(*SHEET, "row", S.strip(F.col("value")).alias("v"))
+    body = lines.join(head, SHEET).where("row > header").join(value, [*SHEET, "row"], "left")
+    last = Window.partitionBy(*SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    body = body.withColumn("label", F.last(F.nullif("v", F.lit("")), ignorenulls=True).over(last))
+    first = lines.join(head, SHEET).where("row = header").select(*SHEET, F.col("line").alias("title"))
+    parts = runs(body, SHEET, "row", "label", most).groupBy(*SHEET, "run", "chunk").agg(F.array_join(F.array_sort(F.collect_list(F.struct("row", "line")))["line"], "\n").alias("body"), F.count("*").alias("n_lines"))
+    chunks = parts.join(first, SHEET).select(*SHEET, "run", "chunk", F.concat_ws("\n", "title", "body").alias("text"), "n_lines")
+    return chunks, cells.select(*SHEET).distinct().join(head, SHEET, "left_anti")
+
+
 def ask_provider(chunks: DataFrame, provider: Callable[[str], str], text: str = "text", retries: int = 2) -> DataFrame:
     """chunks with `answer`, from any callable; a chunk that fails after all retries has a null answer and its error."""
     ship(chunks.sparkSession)
