@@ -44,10 +44,24 @@ def tree_rollup(items: DataFrame, by: str = "submission_id") -> DataFrame:
     return nodes.groupBy(by, "node", (F.col("level") + 1).alias("depth")).agg(F.sum("amount").alias("amount"), F.sum("n").alias("n_items"), F.bool_or(F.col("deep") == F.col("level") + 1).alias("is_leaf"))
 
 
+def _raw_prefixes(path: Column) -> Column:
+    """The path, and what stands in it before each `>` and each ` > `."""
+    cuts = F.split(path, ">")
+    before = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda k: F.struct(F.array_join(F.slice(cuts, 1, k), ">").alias("head"), F.element_at(cuts, k + 1).startswith(" ").alias("spaced")))
+    spaced = F.transform(F.filter(before, lambda x: x["spaced"] & x["head"].endswith(" ")), lambda x: F.substring(x["head"], F.lit(1), F.length(x["head"]) - 1))
+    return F.array_distinct(F.when(F.size(cuts) > 1, F.concat(F.array(path), F.transform(before, lambda x: x["head"]), spaced)).otherwise(F.array(path)))
+
+
+def units_at_level(items: DataFrame, level: int) -> DataFrame:
+    """Each submission's distinct path prefixes of so many levels, as units; shorter paths give none."""
+    parts = S.split_path(F.coalesce("path", F.lit("")))
+    return items.where(F.size(parts) >= level).select("submission_id", S.join_path(F.slice(parts, 1, level)).alias("unit")).distinct()
+
+
 def match_unit(items: DataFrame, units: DataFrame, normalize: bool) -> DataFrame:
     """items with `unit`, the longest of their submission's units that their path equals or starts with; null if none does.
 
-    Normalised units meet the prefixes of normalised paths by equality. Raw ones are tested as text (`unit`, `unit > `, `unit>`).
+    Normalised units meet the prefixes of normalised paths by equality. Raw ones meet what stands before a `>` or ` > ` in the path as it is.
     units: submission_id, unit.
     """
     key = ["submission_id"]
@@ -57,9 +71,8 @@ def match_unit(items: DataFrame, units: DataFrame, normalize: bool) -> DataFrame
         paths = items.select(*key, "path").distinct().withColumn("node", F.explode(S.prefixes(S.split_path(F.coalesce("path", F.lit(""))))))
         best = paths.join(known, [*key, "node"]).groupBy(*key, "path").agg(F.max_by("given", F.length("node")).alias("unit"))
     else:
-        paths = items.select(*key, "path").distinct()
-        hit = (F.col("path") == F.col("unit")) | F.col("path").startswith(F.concat("unit", F.lit(" > "))) | F.col("path").startswith(F.concat("unit", F.lit(">")))
-        best = paths.join(units, key).where(hit).groupBy(*key, "path").agg(F.max_by("unit", F.length("unit")).alias("unit"))
+        paths = items.select(*key, "path").distinct().withColumn("unit", F.explode(_raw_prefixes(F.col("path"))))
+        best = paths.join(units.select(*key, "unit").distinct(), [*key, "unit"]).groupBy(*key, "path").agg(F.max_by("unit", F.length("unit")).alias("unit"))
     return items.join(best, [*key, "path"], "left")
 
 
@@ -77,7 +90,9 @@ def group_by_unit(items: DataFrame, units: DataFrame, normalize: bool = False, k
     if key == "label":
         place = F.element_at(S.split_path(place), -1)
     rows = leaves.withColumn("group_key", place)
-    listed = F.slice(F.array_sort(F.collect_list(F.struct("seq", "name"))), 1, sample)["name"] if sample else None
+    if sample:  # only so many names of a group are gathered
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("submission_id", "group_key").orderBy("seq", "name")))
+    listed = F.array_sort(F.collect_list(F.when(F.col("place") <= sample, F.struct("seq", "name"))))["name"] if sample else None
     grouped = rows.groupBy("submission_id", "group_key").agg(
         F.sum("amount").alias("amount"),
         F.count("*").alias("n_items"),
