@@ -51,23 +51,89 @@ def high_confidence(member_rows: DataFrame, threshold: float = 0.9) -> DataFrame
     return member_rows.groupBy("cluster_id").agg(F.coalesce(F.bool_and(F.when(duplicate, F.coalesce(F.col("similarity_score") >= threshold, F.lit(False)))), F.lit(False)).alias("is_confident"))
 
 
+def proposed(proposals: DataFrame) -> DataFrame:
+    """Proposals of a provider (cluster_id, score, item_ids) with one row for each item and its place."""
+    return proposals.select("cluster_id", "score", F.posexplode("item_ids").alias("place", "item_id"))
+
+
+def valid_members(proposals: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of proposals (cluster_id, score, place, item_id) whose item exists, each item of a cluster once, with its vendor and name."""
+    rows = (proposed(proposals) if "item_ids" in proposals.columns else proposals).join(items.select("item_id", "vendor_id", "name"), "item_id")
+    return rows.groupBy("cluster_id", "score", "item_id", "vendor_id", "name").agg(F.min("place").alias("place"))
+
+
 def valid_clusters(proposals: DataFrame, items: DataFrame) -> DataFrame:
-    """Proposed clusters (cluster_id, item_ids, score) with the ids that exist; those of two items and two vendors or more stay.
+    """Proposed clusters with the ids that exist; those of two items and two vendors or more stay.
     The representative is the first valid id; the name is the shortest one in Hangul, else the shortest."""
-    rows = proposals.select("cluster_id", "score", F.posexplode("item_ids").alias("place", "item_id")).join(items.select("item_id", "vendor_id", "name"), "item_id")
-    rows = rows.groupBy("cluster_id", "score", "item_id", "vendor_id", "name").agg(F.min("place").alias("place"))
     plain = F.struct(~S.is_hangul(F.col("name")), F.length("name"), "place")
     return (
-        rows.groupBy("cluster_id", "score")
-        .agg(F.count("*").alias("n_items"), F.count_distinct("vendor_id").alias("n_vendors"), F.min_by("item_id", "place").alias("rep_item_id"), F.min_by("name", plain).alias("name"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+        valid_members(proposals, items)
+        .groupBy("cluster_id", "score")
+        .agg(F.count("*").alias("n_items"), F.count_distinct("vendor_id").alias("n_vendors"), F.min_by("item_id", "place").alias("rep_item_id"), F.min_by("name", plain).alias("name"))
         .where("n_items >= 2 AND n_vendors >= 2")
     )
 
 
 def block_clusters(items: DataFrame, by: list[str]) -> DataFrame:
-    """The deterministic provider: items of a bid whose names fold to one key are proposed as a cluster, in order of seq."""
+    """The deterministic provider: items of a bid whose names fold to one key are proposed as a cluster, in order of seq. One row for each item, so no task holds a cluster."""
     keyed = items.withColumn("key", S.name_key(F.col("name"))).where("key <> ''")
-    return keyed.groupBy(*by, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "item_id"))), lambda x: x["item_id"]).alias("item_ids")).where(F.size("item_ids") >= 2).select(F.concat_ws(":", *by, "key").alias("cluster_id"), F.lit(1.0).alias("score"), "item_ids")
+    return keyed.select(F.concat_ws(":", *by, "key").alias("cluster_id"), F.lit(1.0).alias("score"), F.col("seq").alias("place"), "item_id")
+
+
+def save_clusters(found: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters (pending) and members to store from valid_clusters and valid_members: the representative scores 1, the others their cluster's score; each (cluster, item) once."""
+    clusters = found.select("cluster_id", F.col("rep_item_id").alias("representative_item_id"), F.col("name").alias("representative_name"), F.lit("pending").alias("status"))
+    joined = rows.join(found.select("cluster_id", "rep_item_id"), "cluster_id").dropDuplicates(["cluster_id", "item_id"])
+    is_rep = F.col("item_id") == F.col("rep_item_id")
+    return clusters, joined.select("cluster_id", "item_id", F.when(is_rep, "representative").otherwise("duplicate").alias("role"), F.when(is_rep, F.lit(1.0)).otherwise(F.col("score")).alias("similarity_score"))
+
+
+def assign_then_form(items: DataFrame, clusters: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(additions, proposals, carried) of items that belong nowhere: those whose name folds to an existing cluster's join it (of several, the
+    first by id), the others form clusters by name, and what fits nowhere is carried on. Names meet by equality of keys, so items on
+    both sides of a window's edge meet; a provider that is asked window by window can take `number_windows` of what is carried."""
+    keyed = items.withColumn("key", S.name_key(F.col("name")))
+    known = clusters.withColumn("key", S.name_key(F.col("name"))).where("key <> ''").groupBy(*by, "key").agg(F.min("cluster_id").alias("cluster_id"))
+    placed = keyed.join(known, [*by, "key"], "left")
+    additions = placed.where("cluster_id IS NOT NULL").select("item_id", "cluster_id", F.lit(1.0).alias("confidence"), F.lit(0).alias("place"))
+    rest = placed.where("cluster_id IS NULL").drop("cluster_id", "key")
+    proposals = block_clusters(rest, by)
+    stay = valid_clusters(proposals, rest).select("cluster_id")
+    proposals = proposals.join(stay, "cluster_id", "left_semi")
+    return additions, proposals, rest.join(proposals.select("item_id"), "item_id", "left_anti")
+
+
+def run_clustering(items: DataFrame, clusters: DataFrame, member_rows: DataFrame, by: list[str], keep_open: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusters, members, carried) after a run over a bid's items. A full run drops pending and held clusters and forms them anew from
+    the items that no accepted cluster holds; with keep_open all clusters stay and only unclustered items are placed."""
+    if not keep_open:
+        clusters, member_rows = reset(clusters, member_rows)
+    live = clusters.where(F.col("status") != "rejected")
+    free = items.join(member_rows.join(live.select("cluster_id"), "cluster_id", "left_semi").select("item_id"), "item_id", "left_anti")
+    additions, proposals, carried = assign_then_form(free, live, by)
+    made, rows = save_clusters(valid_clusters(proposals, free), valid_members(proposals, free))
+    owner = items.join(proposals.select("item_id", "cluster_id"), "item_id").groupBy("cluster_id").agg(*[F.first(c).alias(c) for c in by])
+    made = made.join(owner, "cluster_id").withColumnRenamed("representative_name", "name")
+    added = additions.select("cluster_id", "item_id", F.lit("duplicate").alias("role"), F.col("confidence").alias("similarity_score"))
+    return clusters.unionByName(made, allowMissingColumns=True), member_rows.unionByName(rows.unionByName(added), allowMissingColumns=True), carried
+
+
+def cluster_input(items: DataFrame, by: str, size: int = 90) -> DataFrame:
+    """What a provider is shown: each window's items, a line each, sorted by name."""
+    line = F.concat(F.lit("- item_id="), "item_id", F.lit(" | vendor="), F.col("vendor_id").cast("string"), F.lit(" | name="), "name", F.lit(" | spec="), F.coalesce("brand", F.lit("")))
+    rows = number_windows(items.withColumn("folded", F.lower("name")), by, ["folded", "item_id"], size)
+    return rows.groupBy(by, "window").agg(F.array_join(F.array_sort(F.collect_list(F.struct("folded", "item_id", line.alias("line"))))["line"], "\n").alias("text"), F.count("*").alias("n_items"))
+
+
+def cluster_order(clusters: DataFrame, canonical: list[str]) -> DataFrame:
+    """Clusters of each bid (bid_id, cluster_id, name, category) in order: canonical categories first, then names regardless of case."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, canonical)), F.col("category")), F.lit(0)), F.lit(10))
+    return clusters.withColumn("place", F.row_number().over(Window.partitionBy("bid_id").orderBy(rank, F.lower("name"), "cluster_id")))
+
+
+def rename(clusters: DataFrame, names: DataFrame) -> DataFrame:
+    """Clusters with new names (cluster_id, new_name); an empty one leaves the old."""
+    return clusters.join(names, "cluster_id", "left").withColumn("name", F.coalesce(F.nullif(S.strip(F.col("new_name")), F.lit("")), F.col("name"))).drop("new_name")
 
 
 def assign_unmatched(additions: DataFrame, clusters: DataFrame, items: DataFrame, member_rows: DataFrame) -> DataFrame:

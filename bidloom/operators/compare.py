@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidloom.functions import scalars as S
 from bidloom.session import bounded
 
 
@@ -30,25 +31,26 @@ def name_conflicts(items: DataFrame, by: list[str]) -> DataFrame:
 def compare_pivot(items: DataFrame) -> DataFrame:
     """One row for each row of the comparison and vendor. A row is a name within a category, or a path where the name stands under several.
 
-    Specification and path come from the first item of the row, price, quantity and amount from the vendor's last one. Items are read
+    Specification and path come from the first item of the row, price, quantity, amount and item from the vendor's last one. Items are read
     once: they are summed by path and vendor in the map tasks, and what a name or a row has in common is a window over those sums.
     """
     key = ["bid_id", "category", "name"]
+    item = F.col("item_id") if "item_id" in items.columns else F.lit(None).cast("string").alias("item_id")
     per_path = items.where("name <> ''").groupBy(*key, "path", "vendor_id").agg(
-        F.max(F.struct("seq", "unit_price", "quantity", "amount")).alias("last"), F.min(F.struct("seq", F.col("brand").alias("spec"), F.col("path").alias("p"))).alias("first")
+        F.max(F.struct("seq", "unit_price", "quantity", "amount", item)).alias("last"), F.min(F.struct("seq", F.col("brand").alias("spec"), F.col("path").alias("p"))).alias("first")
     )
     name = Window.partitionBy(*key)
     keyed = per_path.withColumn("row_key", F.when(F.min("path").over(name) != F.max("path").over(name), F.col("path")).otherwise(F.col("name")))
     row = ["bid_id", "category", "row_key"]
     vendor = keyed.repartition(*row).groupBy(*row, "vendor_id").agg(F.max("last").alias("last"), F.min("first").alias("first"))
     whole = vendor.withColumn("head", F.min("first").over(Window.partitionBy(*row)))
-    return whole.select(*row, "vendor_id", "last.unit_price", "last.quantity", "last.amount", F.col("head.spec").alias("spec"), F.col("head.p").alias("path"))
+    return whole.select(*row, "vendor_id", "last.unit_price", "last.quantity", "last.amount", "last.item_id", F.col("head.spec").alias("spec"), F.col("head.p").alias("path"))
 
 
-def row_extremes(pivot: DataFrame) -> DataFrame:
+def row_extremes(pivot: DataFrame, by: tuple[str, ...] = ("bid_id", "category", "row_key")) -> DataFrame:
     """Cheapest and dearest vendor of each row over prices that are neither null nor 0; no dearest with one price. Ties: the vendor first in order."""
     priced = pivot.where("unit_price <> 0")
-    return priced.groupBy("bid_id", "category", "row_key").agg(
+    return priced.groupBy(*by).agg(
         F.min("unit_price").alias("min_price"),
         F.min_by("vendor_id", F.struct("unit_price", "vendor_id")).alias("min_vendor"),
         F.when(F.count("*") > 1, F.max("unit_price")).alias("max_price"),
@@ -115,3 +117,44 @@ def catalog_lookup(names: DataFrame, catalog: DataFrame) -> DataFrame:
 def fx_rates(submissions: DataFrame) -> DataFrame:
     """Submissions with a rate that is neither null nor 0."""
     return submissions.where("fx_rate <> 0").select("submission_id", "vendor_name", "fx_rate")
+
+
+def cluster_groups(member_rows: DataFrame) -> DataFrame:
+    """One row for each row of a cluster and vendor. A row is a name, or a path where the name stands under several in the cluster, shown
+    with its parent; a vendor's last item counts."""
+    name = F.coalesce(F.nullif(S.strip(F.col("name")), F.lit("")), F.lit("미명명"))
+    per = member_rows.withColumn("name", name).withColumn("path", F.coalesce("path", F.lit(""))).groupBy("cluster_id", "name", "path", "vendor_id").agg(F.max(F.struct("seq", "item_id", "unit_price", "quantity", "amount")).alias("last"))
+    whole = Window.partitionBy("cluster_id", "name")
+    apart = (F.min("path").over(whole) != F.max("path").over(whole)) & (F.col("path") != "")
+    parts = S.split_path(F.col("path"))
+    parent = S.join_path(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
+    keyed = per.withColumn("row_key", F.when(apart, F.col("path")).otherwise(F.col("name"))).withColumn("shown", F.when(apart & (parent != ""), F.concat("name", F.lit("  ("), parent, F.lit(")"))).otherwise(F.col("name")))
+    rows = keyed.groupBy("cluster_id", "row_key", "vendor_id").agg(F.max("last").alias("last"), F.min("shown").alias("shown"))
+    return rows.select("cluster_id", "row_key", "vendor_id", "shown", "last.item_id", "last.unit_price", "last.quantity", "last.amount")
+
+
+def compared_totals(items: DataFrame, member_rows: DataFrame, canonical: list[str]) -> DataFrame:
+    """Category totals of a comparison with clusters: items outside of them, and members once for each cluster that holds them."""
+    columns = ["bid_id", "vendor_id", "category", "amount"]
+    outside = items.join(member_rows.select("item_id").distinct(), "item_id", "left_anti")
+    return category_totals(outside.select(*columns).unionByName(member_rows.select(*columns)), canonical)
+
+
+def row_benchmarks(pivot: DataFrame, links: DataFrame, bids: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """Rows of a comparison with the benchmark of the catalog item that one of their items is confirmed as (of several, the smallest id).
+    links: item_id, catalog_item_id, match_status; benchmarks: project_id, catalog_item_id, min_price."""
+    sure = links.where("match_status = 'confirmed' AND catalog_item_id IS NOT NULL").select("item_id", "catalog_item_id")
+    found = pivot.select("bid_id", "category", "row_key", "item_id").join(sure, "item_id").join(bids.select("bid_id", "project_id"), "bid_id")
+    priced = found.join(benchmarks.select("project_id", "catalog_item_id", F.col("min_price").alias("benchmark")), ["project_id", "catalog_item_id"])
+    return priced.groupBy("bid_id", "category", "row_key").agg(F.min(F.struct("catalog_item_id", "benchmark")).alias("b")).select("bid_id", "category", "row_key", "b.*")
+
+
+def cluster_benchmarks(clusters: DataFrame, benchmarks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Clusters (cluster_id, project_id, status, representative_item_id, name) with the catalog item whose benchmark they show: an accepted one's
+    representative if it has one, else the item of that canonical name, else of that alias, among those that have one."""
+    priced = benchmarks.select("project_id", "catalog_item_id", "min_price")
+    known = catalog.select("catalog_item_id", F.explode(F.concat(F.array(F.struct(F.lit(1).alias("tier"), F.lower("name").alias("key"))), F.transform("aliases", lambda a: F.struct(F.lit(2).alias("tier"), F.lower(a).alias("key"))))).alias("k")).select("catalog_item_id", "k.*")
+    named = clusters.select("cluster_id", "project_id", F.lower("name").alias("key")).join(known, "key").select("cluster_id", "project_id", "tier", "catalog_item_id")
+    rep = clusters.where("status = 'accepted'").select("cluster_id", "project_id", F.lit(0).alias("tier"), F.col("representative_item_id").alias("catalog_item_id"))
+    best = named.unionByName(rep).join(priced, ["project_id", "catalog_item_id"]).groupBy("cluster_id").agg(F.min(F.struct("tier", "catalog_item_id", "min_price")).alias("b"))
+    return clusters.join(best, "cluster_id", "left").select("cluster_id", "b.tier", "b.catalog_item_id", F.col("b.min_price").alias("benchmark"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,16 @@ def insert_items(extracted: DataFrame) -> DataFrame:
     """Items of extraction results (submission_id, items array) with their place as sort_order; the path falls back to parent_path."""
     rows = extracted.select("submission_id", F.posexplode("items").alias("sort_order", "i")).select("submission_id", "sort_order", "i.*")
     return rows.withColumn("path", F.coalesce(F.nullif("path", F.lit("")), F.col("parent_path"))) if "parent_path" in rows.columns else rows
+
+
+def set_flag(rows: DataFrame, which: DataFrame, key: str, column: str, value: bool | None = None) -> DataFrame:
+    """Rows with a flag set for the keys in which: soft deletion and restoring, activity of categories and domains. Without a value the flag is turned."""
+    marked = rows.join(which.select(key).distinct().withColumn("~hit", F.lit(True)), key, "left")
+    new = ~F.coalesce(F.col(column), F.lit(False)) if value is None else F.lit(value)
+    return marked.withColumn(column, F.when(F.col("~hit"), new).otherwise(F.col(column))).drop("~hit")
+
+
+def landing_name(name: Column, at: Column, allowed: tuple[str, ...] = ("xlsx", "xls", "pdf", "docx")) -> Column:
+    """The name under which a file lands: a time stamp before its extension; null if the extension is not allowed."""
+    stem, ending = F.regexp_extract(name, r"^(.*)\.[^.]*$", 1), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    return F.when(ending.isin(*allowed) & (stem != ""), F.concat(stem, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("."), ending))

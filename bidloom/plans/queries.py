@@ -225,7 +225,7 @@ def _live(spark, d) -> DataFrame:
 
 @query("named", f"--with {_LIVE}, {_PIVOT} SELECT bid_id, category, row_key, vendor_id, unit_price, quantity, amount, spec, path FROM rows_")
 def compare_pivot_long(spark, d):
-    return P.compare_pivot(_live(spark, d))
+    return P.compare_pivot(_live(spark, d)).drop("item_id")
 
 
 @query("named", f"""--with {_LIVE}, {_PIVOT} SELECT bid_id, category, row_key, min(unit_price) AS min_price, arg_min(vendor_id, (unit_price, vendor_id)) AS min_vendor,
@@ -504,14 +504,14 @@ def extraction_validation(spark, d):
     return X.validate_sums(BidModel(spark, d).lines.withColumn("order_id", F.col("l_orderkey")), stated, "order_id")
 
 
-def _page_sql() -> str:
-    head = "lower(array_to_string(list_slice(string_split(text, chr(10)), 1, 5), chr(10)))"
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(h, {w!r})' for w in words)} THEN '{kind}'" for kind, words in X.PAGE_WORDS) + f" ELSE 'UNKNOWN' END AS page_type FROM (SELECT *, {head} AS h FROM documents)"
+_PAGES = ["랙 배치도", "Front View 1", "시스템 구성도", "Logical 구성도", "거래조건", "거 래 조 건", "견적서", "견적서 명세", "명세", "drawing"]
 
 
-@query("", "SELECT doc_id, " + _page_sql())
+@query("", f"""SELECT event_id, ['DRAWING', 'DRAWING', 'UNKNOWN', 'DIAGRAM', 'TERMS', 'TERMS', 'SUMMARY (갑지)', 'DETAIL (명세)', 'DETAIL (명세)', 'UNKNOWN'][event_id % 10 + 1] AS first_lines,
+  'UNKNOWN' AS sixth_line FROM events""")
 def page_type(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.page_type(F.col("text")).alias("page_type"))
+    head = F.element_at(F.array(*map(F.lit, _PAGES)), (F.col("event_id") % 10 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", X.page_type(F.concat(F.lit("x\n"), head)).alias("first_lines"), X.page_type(F.concat(F.lit("\n\n\n\n\n"), head)).alias("sixth_line"))
 
 
 @query("", f"""WITH {_SHEET}, c AS (SELECT file, row, (cat1 IS NOT NULL)::INT + (cat2 IS NOT NULL)::INT + 1 AS n FROM sheet WHERE row <= 300) SELECT file, arg_min(row, (-n, row)) AS header_row, CAST(max(n) AS BIGINT) AS n_cells FROM c GROUP BY 1""")
@@ -590,17 +590,19 @@ def keyword_cell(spark, d):
     return X.find_keyword(_cells(spark, d).where("col = 2"), "ring", top=500).select("file", "row", "col")
 
 
-_HEADS = ["품명", "규격", "수량", "단위", "단가", "금액", "비고", "x", "Total price"]
-_ROLE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(h, {w!r})' for w in words)} THEN {role!r}" for role, words in X.ROLE_WORDS) + " END"
+_HEADS = ["대분류", "중분류", "품명", "규격", "Q'ty", "Unit", "Unit Price", "공급가", "비고", "No.", "x"]
 
 
-@query("", f"""WITH c AS (SELECT user_id AS file, event_id % 8 + 1 AS row, event_id % 5 AS col, lower({_HEADS}[event_id % 9 + 1]) AS h FROM events),
-  r AS (SELECT file, row, {_ROLE} AS role, min(col) AS col FROM c WHERE {_ROLE} IS NOT NULL GROUP BY 1, 2, 3), n AS (SELECT file, row, count(*) AS hits FROM r GROUP BY 1, 2),
-  b AS (SELECT file, arg_min(row, (-hits, row)) AS row, max(hits) AS hits FROM n GROUP BY 1) SELECT file, row, hits, CASE WHEN hits >= 4 THEN 'high' WHEN hits >= 2 THEN 'low' ELSE 'none' END AS confidence FROM b""")
+@query("", """WITH c AS (SELECT user_id AS file, event_id % 8 + 1 AS row, event_id % 5 AS col, ['cat1', 'cat2', 'name', 'spec', 'qty', 'unit', 'price', 'amount', 'remark', 'seq', NULL][event_id % 11 + 1] AS role FROM events),
+  u AS (SELECT file, row, col, min(role) AS role, count(DISTINCT coalesce(role, '')) AS kinds FROM c GROUP BY 1, 2, 3), r AS (SELECT * FROM u WHERE kinds = 1 AND role IS NOT NULL), n AS (SELECT file, row, count(*) AS hits, string_agg(col || role, ',' ORDER BY col) AS mapping FROM r GROUP BY 1, 2),
+  b AS (SELECT file, arg_min(row, (-hits, row)) AS row, max(hits) AS hits, arg_min(mapping, (-hits, row)) AS mapping FROM n GROUP BY 1)
+  SELECT file, row, hits, mapping, CASE WHEN hits >= 4 THEN 'high' WHEN hits >= 2 THEN 'low' ELSE 'none' END AS confidence FROM b""")
 def role_suggestion(spark, d):
     heads = F.array(*map(F.lit, _HEADS))
-    cells = table(spark, d, "events").select(F.col("user_id").alias("file"), F.lit("s").alias("sheet"), (F.col("event_id") % 8 + 1).alias("row"), (F.col("event_id") % 5).alias("col"), F.element_at(heads, (F.col("event_id") % 9 + 1).cast("int")).alias("value"))
-    return X.suggest_roles(cells).select("file", "row", "hits", "confidence")
+    cells = table(spark, d, "events").select(F.col("user_id").alias("file"), F.lit("s").alias("sheet"), (F.col("event_id") % 8 + 1).alias("row"), (F.col("event_id") % 5).alias("col"), F.element_at(heads, (F.col("event_id") % 11 + 1).cast("int")).alias("value"))
+    one = cells.groupBy("file", "sheet", "row", "col").agg(F.min("value").alias("value"), F.count_distinct("value").alias("kinds")).where("kinds = 1").drop("kinds")
+    found = X.suggest_roles(one)
+    return found.select("file", "row", "hits", F.array_join(F.transform(F.map_entries("mapping"), lambda e: F.concat(e["key"].cast("string"), e["value"])), ",").alias("mapping"), "confidence")
 
 
 @query("", f"""WITH {_SHEET}, one AS (SELECT file, row, name, price, cat2 AS own, last_value(cat1 IGNORE NULLS) OVER w AS cat1 FROM sheet WHERE row > 0 WINDOW w AS (PARTITION BY file ORDER BY row ROWS UNBOUNDED PRECEDING)),
@@ -631,12 +633,16 @@ def move_items(spark, d):
     return now.groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
-@query("clusters", f"""--with {_MEMBERS}, a AS (SELECT n.item_id, c.cluster_id, n.l_linenumber % 3 AS place FROM named n JOIN clusters c ON c.bid_id = n.bid_id AND (c.name = n.name OR c.name < 'c') WHERE NOT is_header AND c.status = 'held'),
+@query("clusters", f"""--with {_MEMBERS}, held AS (SELECT * FROM clusters WHERE status = 'held'), d AS (SELECT bid_id, min(cluster_id) AS cluster_id FROM held GROUP BY 1),
+  a AS (SELECT n.item_id, c.cluster_id FROM named n JOIN held c ON c.bid_id = n.bid_id AND c.name = n.name WHERE NOT is_header UNION ALL SELECT item_id, cluster_id FROM named n JOIN d ON n.bid_id = d.bid_id WHERE NOT is_header),
   f AS (SELECT * FROM a WHERE item_id NOT IN (SELECT item_id FROM members WHERE status <> 'rejected')) SELECT item_id, min(cluster_id) AS cluster_id FROM f GROUP BY 1""")
 def unmatched_additions(spark, d):
     m = BidModel(spark, d)
-    held = m.clusters.where("status = 'held'").select("bid_id", F.col("name").alias("cluster_name"), "cluster_id")
-    asked = m.members_all.join(held, "bid_id").where("cluster_name = name OR cluster_name < 'c'").select("item_id", "cluster_id", F.lit(None).cast("double").alias("confidence"), F.col("cluster_id").alias("place"))
+    held = m.clusters.where("status = 'held'").select("bid_id", "name", "cluster_id")
+    default = held.groupBy("bid_id").agg(F.min("cluster_id").alias("cluster_id"))
+    rows = m.members_all.select("item_id", "bid_id", "name")
+    asked = rows.join(held, ["bid_id", "name"]).select("item_id", "cluster_id").unionByName(rows.join(default, "bid_id").select("item_id", "cluster_id"))
+    asked = asked.select("item_id", "cluster_id", F.lit(None).cast("double").alias("confidence"), F.col("cluster_id").alias("place"))
     return C.assign_unmatched(asked, m.clusters, m.members_all, _members(spark, d).where(F.col("status").isin(C.OPEN))).select("item_id", "cluster_id")
 
 
@@ -700,10 +706,10 @@ def guarded_delete(spark, d):
     return L.guard_empty(table(spark, d, "nation").select(F.col("n_nationkey").alias("nation")), children, "nation")
 
 
-@query("", "SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 AND p_partkey < 500 THEN p_retailprice * 2 ELSE p_retailprice END AS v FROM part")
+@query("", "SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 AND p_retailprice > 1000 THEN p_retailprice * 2 ELSE p_retailprice END AS v FROM part")
 def upsert_rows(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"), "p_size")
-    return L.upsert(rows.drop("p_size"), rows.where("p_size % 2 = 0 AND k < 500").select("k", (F.col("v") * 2).alias("v")), ["k"], True)
+    return L.upsert(rows.drop("p_size"), rows.where("p_size % 2 = 0 AND v > 1000").select("k", (F.col("v") * 2).alias("v")), ["k"], True)
 
 
 @query("lines", "SELECT item_id, submission_id FROM lines WHERE submission_id NOT IN (SELECT submission_id FROM lines WHERE is_deleted)")

@@ -13,6 +13,7 @@ from bidloom.operators import compare as P
 from bidloom.operators import extract as X
 from bidloom.operators import hierarchy as H
 from bidloom.operators import lifecycle as L
+from bidloom.operators import matching as M
 from bidloom.operators import listing as G
 from bidloom.operators import similarity as V
 
@@ -115,12 +116,74 @@ def test_sequence_numbers(spark):
     assert got == {"Low": "Top > Low", "Deep": "Top > 1.1 > Deep", "Paid": "Paid"}
 
 
+def test_sequence_numbers_that_stand_alone(spark):
+    rows = [["no", "name", "amount"], ["1", "Top", ""], ["1.1", "Total station rental", "5"], ["3.1", "Orphan", "6"], ["", "loose", "7"], ["2", "", "9"], ["", "", "4"], ["", "합계", "31"], ["", "Total", ""], ["sum", "", "3"]]
+    got = [(r.name, r.path, r.category, r.is_category_header) for r in X.extract_by_mapping(cells(spark, rows), {0: "seq", 1: "name", 2: "amount"}, 1).orderBy("row").collect()]
+    assert got == [
+        ("Total station rental", "Top > Total station rental", "Top", False), ("Orphan", "3 > Orphan", "3", False), ("loose", "loose", "loose", False),
+        ("2", "2", "2", True), ("Total", "Total", "Total", False), ("(소계)", "(소계)", "기타", True),
+    ]
+
+
+def test_header_words(spark):
+    r = X.suggest_roles(cells(spark, [["대분류", "중분류", "품명", "Q'ty", "Unit Price", "공급가", "Name 2"]])).first()
+    assert (r.hits, r.confidence, r.mapping) == (7, "high", {0: "cat1", 1: "cat2", 2: "name", 3: "qty", 4: "price", 5: "amount", 6: "name"})
+    pages = {"랙 배치도": "DRAWING", "FRONT VIEW": "DRAWING", "시스템 구성도": "UNKNOWN", "구성도 Logical": "DIAGRAM", "거 래 조 건": "TERMS", "견적서": "SUMMARY (갑지)", "견적서 명세": "DETAIL (명세)", "\n\n\n\n\n명세": "UNKNOWN"}
+    rows = spark.createDataFrame([(k,) for k in pages], "t string").select("t", X.page_type(F.col("t")).alias("p")).collect()
+    assert {r.t: r.p for r in rows} == pages
+
+
+def test_raw_units_stand_before_a_separator(spark):
+    items = spark.createDataFrame([("s", "a", "x>y > z"), ("s", "b", "x > y"), ("s", "c", "xy > z"), ("s", "d", None), ("s", "e", "x>y")], "submission_id string, item_id string, path string")
+    units = spark.createDataFrame([("s", "x"), ("s", "x>y"), ("s", "x > y")], "submission_id string, unit string")
+    assert {r.item_id: r.unit for r in H.match_unit(items, units, False).collect()} == {"a": "x>y", "b": "x > y", "c": None, "d": None, "e": "x>y"}
+    assert {r.unit for r in H.units_at_level(items, 2).collect()} == {"x > y", "xy > z"}
+
+
+def test_extraction_job(spark):
+    lines = spark.createDataFrame([("a", 0, "# head"), ("a", 1, "R001 | x"), ("a", 2, "R002 | y"), ("a", 3, "R003 | z"), ("b", 1, "R001 | q")], "submission_id string, line_no int, line string")
+    submissions = spark.createDataFrame([("a", "processing"), ("b", "processing"), ("c", "processing")], "submission_id string, extraction_status string")
+
+    def provider(text):
+        import json
+
+        if "| q" in text:
+            raise ValueError("no")
+        names = [x.split(" | ")[1] for x in text.split("\n") if x.startswith("R")]
+        return "```json\n" + json.dumps({"vendor_name": "V", "currency": "USD" if "x" in names else "", "items": [{"name_raw": n, "amount": 1} for n in names]}) + "\n```"
+
+    done, items = X.run_extraction(submissions, lines, provider, size=1)
+    assert {(r.submission_id, r.extraction_status, r.currency, r.n_failed) for r in done.collect()} == {("a", "done", "USD", 0), ("b", "failed", None, 1), ("c", "failed", None, None)}
+    assert [r.name_raw for r in items.orderBy("chunk", "place").collect()] == ["x", "y", "z"]
+
+
+def test_match_input_and_confirmation(spark):
+    items = spark.createDataFrame([("i1", "s", "c", "Pump", "b", 2.0, False, 5.0, 10.0, "d"), ("i2", "s", "c", "odd", None, None, False, 1.0, 1.0, "d"), ("i3", "s", "c", "head", None, None, True, 1.0, 1.0, "d")], "item_id string, submission_id string, category string, name string, brand string, quantity double, is_header boolean, unit_price double, amount double, bid_date string")
+    catalog = spark.createDataFrame([(7, "pump", "c", ["p1", "p2", "p3", "p4"])], "catalog_item_id bigint, name string, category string, aliases array<string>")
+    text = M.match_input(items, catalog).first().text
+    assert text == "## 라인 아이템 목록 (2개)\n  - item_id=i1 | category=c | name=Pump | spec=b | qty=2.0\n  - item_id=i2 | category=c | name=odd | spec= | qty=\n\n## 카탈로그 품목 목록 (1개)\n  - catalog_item_id=7 | name=pump | category=c | aliases=p1, p2, p3"
+    saved = M.save_suggestions(items, M.suggest(items, catalog))
+    assert {(r.item_id, r.match_status, r.catalog_item_id) for r in saved.collect()} == {("i1", "suggested", 7), ("i2", "unmatched", None), ("i3", None, None)}
+    history = spark.createDataFrame([], "catalog_item_id bigint, item_id string")
+    decided = saved.where("item_id = 'i1'").select("item_id", "catalog_item_id")
+    now, new = M.confirm(saved, decided, history)
+    assert [(r.item_id, r.unit_price) for r in new.collect()] == [("i1", 5.0)] and M.confirm(now, decided, new)[1].count() == 0
+
+
+def test_an_item_in_a_cluster_still_counts_in_its_category(spark):
+    row = "bid_id int, vendor_id int, category string, amount long, item_id string"
+    items = spark.createDataFrame([(1, 1, "LARGE", 10, "a"), (1, 1, "LARGE", 5, "b"), (1, 2, "SMALL", 7, "c")], row)
+    for members in ([], [(1, 1, "LARGE", 10, "a")]):
+        got = {(r.vendor_id, r.category): r.total for r in P.compared_totals(items, spark.createDataFrame(members, row), ["LARGE", "SMALL"]).collect()}
+        assert got == {(1, "LARGE"): 15, (1, "SMALL"): 0, (2, "LARGE"): 0, (2, "SMALL"): 7}
+
+
 def test_merges_roles_lines_and_runs(spark):
     sheet = cells(spark, [["품명", "수량", "단가", "금액"], ["a", "", "", ""], ["", "", "", ""]])
     merges = spark.createDataFrame([("f", "s", 2, 0, 3, 1)], "file string, sheet string, r1 int, c1 int, r2 int, c2 int")
     assert {(r.row, r.col) for r in X.expand_merges(sheet, merges).where("value = 'a'").collect()} == {(2, 0), (2, 1), (3, 0), (3, 1)}
     r = X.suggest_roles(sheet).first()
-    assert (r.row, r.confidence, r.mapping) == (1, "high", {"name": 0, "qty": 1, "price": 2, "amount": 3})
+    assert (r.row, r.confidence, r.mapping) == (1, "high", {0: "name", 1: "qty", 2: "price", 3: "amount"})
     assert [x.line for x in X.sheet_lines(sheet).orderBy("row").collect()] == ["R001 | 품명 | 수량 | 단가 | 금액", "R002 | a |  |  | "]
     rows = spark.createDataFrame([("f", k, v) for k, v in enumerate("aabbba")], "file string, row int, v string")
     assert [(x.run, x.chunk) for x in X.runs(rows, ["file"], "row", "v", most=2).orderBy("row").collect()] == [(1, 0), (1, 0), (2, 0), (2, 0), (2, 1), (3, 0)]
