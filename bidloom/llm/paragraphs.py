@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.llm import scan
-from bidloom.llm.common import components, join_skewed, keep
+from bidloom.llm.common import components, join_skewed, keep, new_path, remove
 from bidloom.session import ship
 
 SHINGLE, MIN_WORDS, MAX_WORDS, RADIUS, PASSAGE = 5, 6, 48, 5, 16
@@ -288,8 +288,16 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(a_, pa.binary()), pa.array(b_, pa.binary())], names=["a", "b"])
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Write df. What its shuffles left on disk goes once the driver's JVM has collected their handles, which is done here."""
+    df.write.parquet(path)
+    spark = df.sparkSession
+    del df
+    spark.sparkContext._jvm.System.gc()
+
+
 def _last(df: DataFrame, name: str) -> DataFrame:
-    """df as a kept table. What its shuffles left on disk goes once the driver's JVM has collected their handles, which is done here."""
+    """df as a kept table, less what its shuffles left on disk."""
     df = keep(df, name)
     df.sparkSession.sparkContext._jvm.System.gc()
     return df
@@ -315,10 +323,14 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
         return T.StructType([T.StructField("id", kind), T.StructField("place", T.LongType()), T.StructField("key", T.BinaryType()), *(T.StructField(n, t) for n, t in more)])
 
     units = base.mapInArrow(lambda b: _banded(b, "t", bands, rows), schema(("bands", T.ArrayType(T.LongType()))))
-    distinct = _last(units.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "paragraphs")
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "banded")
+    _write(units.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), path)
+    banded = spark.read.parquet(path)
     short = F.xxhash64("key").alias("k")  # what moves in place of a key where a coincidence only means one comparison more
-    collided = distinct.select(short, F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band")
+    collided = banded.select(short, F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band")
     buckets = _last(collided.mapInArrow(_buckets, "bucket long, n long, k long").distinct(), "buckets")
+    distinct = keep(banded.select("key", "first", "n"), "paragraphs")  # the bands have served
+    remove(spark, path)
     # Each paragraph's shingles come from the document of its first occurrence, so only texts move, whatever the number of paragraphs.
     wanted = distinct.select("key", "first.id", short).join(buckets.select("k").distinct(), "k", "left_semi").groupBy("id").agg(F.collect_list("key").alias("wanted"))
     texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"])).select("t", "wanted")
@@ -328,7 +340,7 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
     roots = keep(components(edges), "roots")
     classes = _classes(distinct, roots)
     where = base.mapInArrow(lambda b: _places(b, "t"), schema(("n_words", T.LongType()), ("start", T.LongType()), ("end", T.LongType())))
-    found = join_skewed(where, classes, ["key"], "copies", distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n).select(
+    found = join_skewed(_last(where.join(classes.select("key"), "key", "left_semi"), "found"), classes, ["key"], "copies").select(
         "id", "place", "n_words", "start", "end",
         F.col("least.id").alias("class_id"), F.col("least.place").alias("class_place"), "n_occurrences",
         (~(F.col("id").eqNullSafe(F.col("least.id")) & (F.col("place") == F.col("least.place")))).alias("removed"),
