@@ -132,7 +132,9 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 1, ca
         encode, stop = Encoder(tokenizer, 100_000).encode_all, np.array([end], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, found in enumerate(encode(batch.column(text).fill_null("").to_pylist())):
+            column = batch.column(text).fill_null("")
+            texts = (x for a in range(0, len(column), 500) for x in encode(column.slice(a, 500).to_pylist()))
+            for k, found in enumerate(texts):
                 ids = memoryview(found + stop)
                 for a in range(0, len(ids), 4 * capacity):
                     part = ids[a : a + 4 * capacity]

@@ -20,7 +20,7 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 # The classes of Latin-1 characters in the splitting rules of the two tokenizer files (letter, digit, white space, other),
 # and what follows an apostrophe in the units that begin with one.
@@ -171,7 +171,9 @@ class Encoder:
         which = np.asarray(units.indices)
         many = size[which]
         ends = np.concatenate([[0], np.cumsum(many)])
-        out = flat[np.arange(ends[-1]) + np.repeat(begin[which] - ends[:-1], many)].tobytes()
+        at = np.repeat((begin[which] - ends[:-1]).astype(np.int32), many)
+        at += np.arange(len(at), dtype=np.int32)
+        out = flat[at].tobytes()
         cuts = (4 * ends[np.searchsorted(start, bounds)]).tolist()
         return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
