@@ -146,10 +146,10 @@ def items_with_match(spark, d):
     return G.items_with_match(lines, parts, kinds).select("item_id", "submission_id", "name", "category_name", "brand")
 
 
-@query("history", "SELECT catalog_item_id, item_id, unit_price, bid_date, s_name AS vendor_name FROM history JOIN supplier ON l_suppkey = s_suppkey WHERE catalog_item_id < 100 ORDER BY bid_date DESC")
+@query("history", "SELECT catalog_item_id, item_id, unit_price, bid_date, s_name AS vendor_name FROM history JOIN supplier ON l_suppkey = s_suppkey ORDER BY catalog_item_id, bid_date DESC")
 def price_history(spark, d):
     vendors = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("vendor_name"))
-    return BidModel(spark, d).history.where("catalog_item_id < 100").join(vendors, "l_suppkey").select("catalog_item_id", "item_id", "unit_price", "bid_date", "vendor_name").orderBy(F.desc("bid_date"))
+    return BidModel(spark, d).history.join(vendors, "l_suppkey").select("catalog_item_id", "item_id", "unit_price", "bid_date", "vendor_name").orderBy("catalog_item_id", F.desc("bid_date"))
 
 
 # Hierarchy
@@ -443,12 +443,12 @@ def lexical_similarity(spark, d):
 
 # Extraction
 
-_SHEET = """sheet AS (SELECT CONCAT('size-', p_size) AS file, p_partkey AS row, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS cat1, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS cat2,
+_SHEET = """sheet AS (SELECT CONCAT('parts-', p_partkey // 40) AS file, p_partkey % 40 + 1 AS row, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS cat1, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS cat2,
   p_name AS name, p_retailprice AS price FROM part)"""
 
 
 def _sheet(spark, d) -> DataFrame:
-    return table(spark, d, "part").select(F.concat(F.lit("size-"), "p_size").alias("file"), F.col("p_partkey").alias("row"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("cat1"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("cat2"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
+    return table(spark, d, "part").select(F.concat(F.lit("parts-"), F.floor(F.col("p_partkey") / 40)).alias("file"), (F.col("p_partkey") % 40 + 1).alias("row"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("cat1"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("cat2"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
 
 
 @query("", f"""WITH {_SHEET}, one AS (SELECT file, row, name, cat2 AS own, last_value(cat1 IGNORE NULLS) OVER w AS cat1 FROM sheet WINDOW w AS (PARTITION BY file ORDER BY row ROWS UNBOUNDED PRECEDING))
@@ -514,16 +514,16 @@ def page_type(spark, d):
     return table(spark, d, "events").select("event_id", X.page_type(F.concat(F.lit("x\n"), head)).alias("first_lines"), X.page_type(F.concat(F.lit("\n\n\n\n\n"), head)).alias("sixth_line"))
 
 
-@query("", f"""WITH {_SHEET}, c AS (SELECT file, row, (cat1 IS NOT NULL)::INT + (cat2 IS NOT NULL)::INT + 1 AS n FROM sheet WHERE row <= 300) SELECT file, arg_min(row, (-n, row)) AS header_row, CAST(max(n) AS BIGINT) AS n_cells FROM c GROUP BY 1""")
+@query("", f"""WITH {_SHEET}, c AS (SELECT file, row, (cat1 IS NOT NULL)::INT + (cat2 IS NOT NULL)::INT + 1 AS n FROM sheet WHERE row <= 6) SELECT file, arg_min(row, (-n, row)) AS header_row, CAST(max(n) AS BIGINT) AS n_cells FROM c GROUP BY 1""")
 def header_guess(spark, d):
     cells = _sheet(spark, d).select("file", F.lit("1").alias("sheet"), "row", F.posexplode(F.array("cat1", "cat2", "name")).alias("col", "value"))
-    return X.header_row(cells, top=300).select("file", "header_row", "n_cells")
+    return X.header_row(cells).select("file", "header_row", "n_cells")
 
 
-@query("", """WITH m AS (SELECT p_partkey AS r1, p_partkey + p_size % 4 AS r2, p_size % 3 AS c1, p_size % 3 + p_size % 2 AS c2, p_type AS value FROM part WHERE p_partkey % 10 = 0)
+@query("", """WITH m AS (SELECT p_partkey * 4 AS r1, p_partkey * 4 + p_size % 4 AS r2, p_size % 3 AS c1, p_size % 3 + p_size % 2 AS c2, p_type AS value FROM part)
   SELECT CAST(row AS BIGINT) AS row, CAST(col AS INTEGER) AS col, value FROM (SELECT unnest(range(r1, r2 + 1)) AS row, c1, c2, value FROM m), LATERAL (SELECT unnest(range(c1, c2 + 1)) AS col)""")
 def merged_cells(spark, d):
-    parts = table(spark, d, "part").where("p_partkey % 10 = 0").select(F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.col("p_partkey").alias("r1"), (F.col("p_partkey") + F.col("p_size") % 4).alias("r2"), (F.col("p_size") % 3).alias("c1"), (F.col("p_size") % 3 + F.col("p_size") % 2).alias("c2"), F.col("p_type").alias("value"))
+    parts = table(spark, d, "part").select(F.lit("f").alias("file"), F.lit("s").alias("sheet"), (F.col("p_partkey") * 4).alias("r1"), (F.col("p_partkey") * 4 + F.col("p_size") % 4).alias("r2"), (F.col("p_size") % 3).alias("c1"), (F.col("p_size") % 3 + F.col("p_size") % 2).alias("c2"), F.col("p_type").alias("value"))
     cells = parts.select("file", "sheet", F.col("r1").alias("row"), F.col("c1").alias("col"), "value")
     return X.expand_merges(cells, parts.drop("value")).select("row", "col", "value")
 
@@ -585,9 +585,9 @@ def sheet_text(spark, d):
     return X.sheet_lines(_cells(spark, d)).select("file", "row", "line")
 
 
-@query("", f"WITH {_SHEET} SELECT file, min(row) AS row, CAST(2 AS INTEGER) AS col FROM sheet WHERE row <= 500 AND contains(name, 'ring') GROUP BY 1")
+@query("", f"WITH {_SHEET} SELECT file, min(row) AS row, CAST(2 AS INTEGER) AS col FROM sheet WHERE row <= 10 AND contains(name, 'ring') GROUP BY 1")
 def keyword_cell(spark, d):
-    return X.find_keyword(_cells(spark, d).where("col = 2"), "ring", top=500).select("file", "row", "col")
+    return X.find_keyword(_cells(spark, d).where("col = 2"), "ring").select("file", "row", "col")
 
 
 _HEADS = ["대분류", "중분류", "품명", "규격", "Q'ty", "Unit", "Unit Price", "공급가", "비고", "No.", "x"]
@@ -608,9 +608,9 @@ def role_suggestion(spark, d):
 @query("", f"""WITH {_SHEET}, one AS (SELECT file, row, name, price, cat2 AS own, last_value(cat1 IGNORE NULLS) OVER w AS cat1 FROM sheet WHERE row > 0 WINDOW w AS (PARTITION BY file ORDER BY row ROWS UNBOUNDED PRECEDING)),
   two AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER w, first_value(cat1 IGNORE NULLS) OVER w) AS cat2 FROM one WINDOW w AS (PARTITION BY file ORDER BY row ROWS UNBOUNDED PRECEDING)),
   x AS (SELECT *, CAST({_CENTS} AS DOUBLE) AS cents FROM two)
-  SELECT file, row, coalesce(nullif(concat_ws(' > ', cat1, cat2), ''), name) AS path, coalesce(cat1, cat2, '기타') AS category, 'R' || row AS line_no, name, CASE WHEN row % 50 = 0 AND row < 500 THEN -cents ELSE cents END AS amount FROM x""")
+  SELECT file, row, coalesce(nullif(concat_ws(' > ', cat1, cat2), ''), name) AS path, coalesce(cat1, cat2, '기타') AS category, 'R' || row AS line_no, name, CASE WHEN row IN (10, 20, 30) THEN -cents ELSE cents END AS amount FROM x""")
 def extract_items(spark, d):
-    items = X.extract_by_mapping(_cells(spark, d), {0: "cat1", 1: "cat2", 2: "name", 3: "amount"}, 0, nego=list(range(50, 500, 50)))
+    items = X.extract_by_mapping(_cells(spark, d), {0: "cat1", 1: "cat2", 2: "name", 3: "amount"}, 0, nego=[10, 20, 30])
     return items.select("file", "row", "path", "category", "line_no", "name", "amount")
 
 
@@ -700,10 +700,10 @@ def unit_names(spark, d):
 # Further changes
 
 
-@query("", "SELECT n_nationkey AS nation FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20)")
+@query("", "SELECT c_custkey AS customer FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def guarded_delete(spark, d):
-    children = table(spark, d, "supplier").where("s_suppkey < 20").select(F.col("s_nationkey").alias("nation"))
-    return L.guard_empty(table(spark, d, "nation").select(F.col("n_nationkey").alias("nation")), children, "nation")
+    children = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("customer"))
+    return L.guard_empty(table(spark, d, "customer").select(F.col("c_custkey").alias("customer")), children, "customer")
 
 
 @query("", "SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 AND p_retailprice > 1000 THEN p_retailprice * 2 ELSE p_retailprice END AS v FROM part")

@@ -324,11 +324,11 @@ def test_queries_match_their_sql(spark):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    for name in ("bid_summary", "tree_rollup", "compare_pivot_long", "benchmark_by_project", "cluster_vendor_totals", "fill_down"):
+    for name in ("bid_summary", "tree_rollup", "compare_pivot_long", "benchmark_by_project", "cluster_vendor_totals", "fill_down", "price_history", "header_guess", "keyword_cell", "merged_cells", "extract_items", "guarded_delete"):
         got, want = Q.Q[name](spark, d).toPandas(), con.sql(Q.SQL[name]).df()
         keys = sorted(got.columns)
         assert keys == sorted(want.columns)
-        a, b = (x[keys].astype(object).where(x[keys].notna(), None).map(lambda v: str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)).sort_values(keys).reset_index(drop=True) for x in (got, want))
+        a, b = (x[keys].astype(object).where(x[keys].notna(), None).map(lambda v: str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v.date() if hasattr(v, "date") else v)).sort_values(keys).reset_index(drop=True) for x in (got, want))
         assert a.equals(b), name
 
 
