@@ -11,8 +11,8 @@ Search. Each token scores its log-odds less a drift, so that text has a negative
 maximal segments in one pass. By extreme-value theory the best segment of a harmless text of n tokens exceeds x with probability
 1 - exp(-K n exp(-lambda x)); lambda and K are the maximum-likelihood ones of the harmless rows of fold 4. A segment's evidence is
 lambda x - ln(K n); those with positive evidence above `significant` are passages. The score of a document is a logistic function,
-fitted on fold 4, of the best segment's evidence and the log of the summed evidence of its passages. That fit uses at most
-`fit_rows` labelled rows, chosen by a hash of the id; fold 0 is never learned from.
+fitted on fold 4, of the best segment's evidence and the log of the summed evidence of its passages. That fit alone uses at most
+about `fit_rows` labelled rows, chosen by a hash of the id; lambda and K rest on sums over all. Fold 0 is never learned from.
 
 Null or empty texts have no tokens and get the logistic function's value without evidence. Repeated rows score alike. Labels that are
 null are ignored; of several labels of an id the highest counts. With no label of either kind all scores are 0.
@@ -36,8 +36,9 @@ WORD_BITS, HEAD_BITS, HEAD_BYTES = 20, 18, 6
 BLOCK = 1 << 20
 #: Evidence beyond these bounds counts as the bound.
 LEAST, MOST = -5.0, 40.0
+#: The values of lambda that are tried.
+RATES = np.geomspace(0.05, 8, 200)
 PASSAGE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("evidence", T.DoubleType())]))
-EVIDENCE = T.StructType([T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType())])
 ADDED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("passages", PASSAGE)])
 
 
@@ -127,17 +128,20 @@ def _count(batches, text: str):
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0, part]), pa.array(counts[1, part])], names=["place", "other", "toxic"])
 
 
-def _best(odds: Odds, text: str):
-    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        n, best = [], []
-        for _, words, first in _batches(batch.column(text)):
+def _calm_sums(batches, odds: Odds, text: str):
+    """Of the harmless texts with a segment: their number, the sum of their best scores, and for each rate the sum of n exp(-rate best)."""
+    sums = np.zeros(2 + len(RATES))
+    for batch in batches:
+        toxic = np.asarray(batch.column("toxic"))
+        for a, words, first in _batches(batch.column(text)):
             score = odds.scores(*places(words))
-            for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                n.append(q - p)
-                best.append(max((s for _, _, s in segments(score[p:q])), default=0.0))
-        return {"n": pa.array(n, pa.int64()), "best": pa.array(best, pa.float64())}
-
-    return work
+            best = np.array([max((s for _, _, s in segments(score[p:q])), default=0.0) for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
+            calm = (toxic[a : a + len(best)] == 0) & (best > 0)
+            best, n = best[calm], np.diff(first)[calm]
+            sums[0] += len(best)
+            sums[1] += best.sum()
+            sums[2:] += np.exp(-np.outer(RATES, best)) @ n
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["k", "x"])
 
 
 def _features(model: Model, n: int, found: list[tuple[int, int, float]]) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
@@ -165,16 +169,14 @@ def _score(model: Model, text: str):
     return work
 
 
-def _extreme_value(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """lambda and K of greatest likelihood for best segment scores of texts of n tokens."""
-    if len(best) < 10:
+def _extreme_value(sums: np.ndarray) -> tuple[float, float]:
+    """lambda and K of greatest likelihood, by the sums that _calm_sums gives."""
+    count, total, room = sums[0], sums[1], sums[2:]
+    if count < 10 or not room.any():
         return 1.0, 0.1
-    rates = np.geomspace(0.05, 8, 200)
-    with np.errstate(over="ignore"):
-        size = np.array([len(best) / (n * np.exp(-r * best)).sum() for r in rates])
-    fit = len(best) * (np.log(rates) + np.log(size)) - rates * best.sum()
-    k = int(np.argmax(fit))
-    return float(rates[k]), float(size[k])
+    rates, room = RATES[room > 0], room[room > 0]
+    k = int(np.argmax(count * (np.log(rates) + np.log(count / room)) - rates * total))
+    return float(rates[k]), float(count / room[k])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -220,13 +222,13 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     model.odds = Odds(table[1, : 1 << WORD_BITS].astype(np.float32), table[0, : 1 << WORD_BITS].astype(np.float32), head.astype(np.float32), float(base))
     sent = spark.sparkContext.broadcast(model.odds)
     held = learned.where("fold = 4")
+    parts = held.mapInArrow(lambda b: _calm_sums(b, sent.value, text), "k long, x double")
+    sums = parts.groupBy("k").agg(F.sum("x").alias("x")).toPandas()
+    if len(sums):
+        model.rate, model.size = _extreme_value(sums.sort_values("k")["x"].to_numpy())
     total = once.where("fold = 4").count()
     if total > fit_rows:
         held = held.where(F.pmod(F.xxhash64(id), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
-    seen = map_documents(held, lambda: _best(sent.value, text), EVIDENCE, ["toxic"]).toPandas()
-    y, n, best = seen["toxic"].to_numpy(float), seen["n"].to_numpy(float), seen["best"].to_numpy(float)
-    calm = (y == 0) & (best > 0)
-    model.rate, model.size = _extreme_value(best[calm], n[calm])
     sent = spark.sparkContext.broadcast(model)
     feats = held.mapInArrow(lambda b: _fit_rows(b, sent.value, text), "toxic int, a double, b double, c double").toPandas()
     x = feats[["a", "b", "c"]].to_numpy(float)

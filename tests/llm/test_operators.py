@@ -148,6 +148,8 @@ def test_toxicity_learns_and_leaves_fold_0_out(spark):
     labels = [(k, int(k % 4 == 0)) for k, _ in rows] + [(5, None)]
     docs = frame(spark, rows)
     model = toxicity.learn(docs, frame(spark, labels, "doc_id long, toxic int"))
+    few = toxicity.learn(docs, frame(spark, labels, "doc_id long, toxic int"), fit_rows=20)
+    assert (few.rate, round(few.size, 9)) == (model.rate, round(model.size, 9))  # the bound is for the logistic fit alone
     got = toxicity.toxicity(docs, model).withColumn("held", toxicity.fold_of("doc_id") == 0).where("held").toPandas()
     assert ((got.score >= 0.5) == (got.doc_id % 4 == 0)).mean() > 0.97 and len(got) > 100
     flipped = [(k, 1 - y if y is not None and zlib.crc32(str(k).encode()) % 5 == 0 else y) for k, y in labels]
