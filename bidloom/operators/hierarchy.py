@@ -105,6 +105,33 @@ def group_by_unit(items: DataFrame, units: DataFrame, normalize: bool = False, k
     return grouped
 
 
+def collapse_units(items: DataFrame, units: DataFrame, listed: int = 5) -> DataFrame:
+    """Leaves whose path lies below a comparison unit of their submission become one item for each unit; the others stay as they are.
+
+    Such an item has the unit's last level as name, the unit as path, the sum of amounts as amount and unit price, quantity 1, number and
+    first names of its leaves as brand, and item_id, category and seq of its first leaf. Leaves are in order of category, name and seq.
+    Only the names that are listed are gathered.
+    """
+    found = match_unit(items, units, True)
+    order = F.struct("category", "name", "seq")
+    key = ["submission_id", "bid_id", "vendor_id", "unit"]
+    named = F.coalesce("name", F.lit("")) != ""
+    place = Window.partitionBy(*key).orderBy((~named).cast("int"), "category", "name", "seq")
+    inside = found.where("unit IS NOT NULL").withColumn("place", F.row_number().over(place))
+    first = F.array_sort(F.collect_list(F.when(named & (F.col("place") <= listed), F.struct("place", "name"))))["name"]
+    one = inside.groupBy(*key).agg(F.min_by(F.struct("item_id", "category", "seq"), order).alias("head"), F.sum("amount").alias("amount"), F.count_if(named).alias("n"), first.alias("names"))
+    more = F.when(F.col("n") > listed, " ...").otherwise("")
+    brand = F.when(F.col("n") > 0, F.concat(F.lit("("), F.col("n").cast("string"), F.lit("개: "), F.array_join("names", ", "), more, F.lit(")")))
+    types = dict(items.dtypes)
+    columns = {
+        **{c: F.col(c) for c in key[:3]}, "item_id": F.col("head.item_id"), "category": F.col("head.category"), "seq": F.col("head.seq"),
+        "name": F.element_at(S.split_path(F.col("unit")), -1), "path": F.col("unit"), "brand": brand,
+        "quantity": F.lit(1), "amount": F.coalesce("amount", F.lit(0)), "unit_price": F.coalesce("amount", F.lit(0)),
+    }
+    groups = one.select(*[c.cast(types[n]).alias(n) for n, c in columns.items()], F.lit(True).alias("is_unit"))
+    return found.where("unit IS NULL").select(*columns, F.lit(False).alias("is_unit")).unionByName(groups)
+
+
 def unit_totals_pivot(grouped: DataFrame, submissions: DataFrame) -> DataFrame:
     """Groups of all vendors by label, with the vendor of the lowest amount (ties: the vendor listed first)."""
     rows = grouped.join(submissions.select("submission_id", "bid_id", "vendor_name"), "submission_id")

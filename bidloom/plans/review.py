@@ -11,7 +11,7 @@ from bidloom.operators import extract as X
 from bidloom.operators import hierarchy as H
 from bidloom.operators import lifecycle as L
 from bidloom.operators import matching as M
-from bidloom.plans.queries import _LIVE, _MEMBERS, _OTHERS, _PIVOT, _catalog, _live, _members, query
+from bidloom.plans.queries import _LIVE, _MEMBERS, _OTHERS, _PIVOT, _UNIT, _catalog, _live, _members, _units, query
 from bidloom.session import table
 
 _OPEN = "open AS (SELECT m.*, l.vendor_id AS live_vendor, l.seq FROM members m JOIN live l ON m.item_id = l.item_id WHERE status IN ('accepted', 'pending', 'held'))"
@@ -31,6 +31,30 @@ def unclustered_pivot(spark, d):
     return P.compare_pivot(C.unclustered(_live(spark, d), _members(spark, d).where(F.col("status").isin(C.OPEN)))).drop("item_id")
 
 
+_COLLAPSED = f"""u AS (SELECT *, {_UNIT} AS unit FROM live),
+  g AS (SELECT submission_id, bid_id, vendor_id, unit, arg_min(item_id, (category, name, seq)) AS item_id, arg_min(category, (category, name, seq)) AS category, string_split(unit, ' > ')[-1] AS name,
+    '(' || count(*) || '개: ' || array_to_string(list_slice(list(name ORDER BY category, name, seq), 1, 5), ', ') || CASE WHEN count(*) > 5 THEN ' ...' ELSE '' END || ')' AS brand, CAST(sum(amount) AS BIGINT) AS amount
+    FROM u WHERE unit IS NOT NULL GROUP BY 1, 2, 3, 4),
+  collapsed AS (SELECT submission_id, item_id, category, name, unit AS path, brand, CAST(1 AS DOUBLE) AS quantity, amount, amount AS unit_price, true AS is_unit FROM g
+    UNION ALL SELECT submission_id, item_id, category, name, path, brand, quantity, amount, unit_price, false FROM u WHERE unit IS NULL)"""
+
+
+@query("named", f"--with {_LIVE}, {_COLLAPSED} SELECT * FROM collapsed")
+def collapsed_items(spark, d):
+    live = _live(spark, d)
+    return H.collapse_units(live, _units(live)).drop("bid_id", "vendor_id", "seq")
+
+
+@query("named", f"""--with {_LIVE}, {_COLLAPSED}, p AS (SELECT split_part(submission_id, '-', 1) AS bid, split_part(submission_id, '-', 2) AS vendor, * FROM collapsed WHERE is_unit)
+  SELECT CAST(bid AS BIGINT) AS bid_id, category, name, count(DISTINCT vendor) AS n_vendors FROM p GROUP BY 1, 2, 3""")
+def collapsed_pivot(spark, d):
+    """Vendors that offer each collapsed unit, from the comparison of collapsed items."""
+    live = _live(spark, d)
+    rows = P.compare_pivot(H.collapse_units(live, _units(live)).where("is_unit"))
+    parts = F.split("path", " > ")
+    return rows.withColumn("name", F.element_at(parts, -1)).groupBy(F.col("bid_id").cast("long").alias("bid_id"), "category", "name").agg(F.count_distinct("vendor_id").alias("n_vendors"))
+
+
 _GROUPS = """k AS (SELECT *, min(path) OVER w <> max(path) OVER w AS apart FROM open WINDOW w AS (PARTITION BY cluster_id, name)),
   g AS (SELECT cluster_id, CASE WHEN apart THEN path ELSE name END AS row_key, CASE WHEN apart THEN name || '  (' || category || ' > ' || brand || ')' ELSE name END AS shown, live_vendor AS vendor_id, seq, item_id, unit_price, quantity, amount FROM k),
   f AS (SELECT cluster_id, row_key, vendor_id, min(shown) AS shown, arg_max(item_id, seq) AS item_id, arg_max(unit_price, seq) AS unit_price, arg_max(quantity, seq) AS quantity, arg_max(amount, seq) AS amount FROM g GROUP BY 1, 2, 3)"""

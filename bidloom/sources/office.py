@@ -1,8 +1,8 @@
 """Quotation files as DataFrames: cells and merges of XLSX, lines of DOCX, registered by format.
 
 Files come through Spark's binaryFile reader, so any store that Spark reads will do, and each is decoded in a task of its own. A file is
-one quotation; the upload limit of 50 MB bounds what a task holds. PDF needs a library that is not a dependency; a decoder can be
-registered.
+one quotation; the upload limit of 50 MB bounds what a task holds of one. Files over it aren't decoded; `refused` lists them. PDF needs a
+library that is not a dependency; a decoder can be registered.
 """
 
 from __future__ import annotations
@@ -107,10 +107,19 @@ def _each(files: DataFrame, decode: Callable[[str, bytes], list[tuple]], schema:
     return files.mapInPandas(run, schema)
 
 
-def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Files below a path by name pattern; those over the limit are refused."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return found.where(F.col("length") <= LIMIT).select("path", "content")
+def _found(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+
+def files(spark: SparkSession, path: str, pattern: str, limit: int = LIMIT) -> DataFrame:
+    """Files below a path by name pattern, up to the limit; `refused` has the others."""
+    return _found(spark, path, pattern).where(F.col("length") <= limit).select("path", "content")
+
+
+def refused(spark: SparkSession, path: str, pattern: str = "*", limit: int = LIMIT) -> DataFrame:
+    """(file, length, error) of the files that are too large to be decoded. Their contents are not read."""
+    large = _found(spark, path, pattern).where(F.col("length") > limit)
+    return large.select(F.col("path").alias("file"), "length", F.lit(f"over {limit} bytes").alias("error"))
 
 
 def xlsx_cells(spark: SparkSession, path: str, sheets: list[str] | None = None) -> DataFrame:

@@ -5,22 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from bidloom.operators.clusters import record_prices
+PAIR = ["catalog_item_id", "item_id"]
 
 
-def follow_prices(spark: SparkSession, landing: str, schema: str, history: str, checkpoint: str) -> StreamingQuery:
-    """Append the Parquet files that land to the history table at a path. A batch that is repeated adds nothing, since recorded pairs are left out."""
-
-    def add(batch: DataFrame, _: int) -> None:
-        try:
-            known = spark.read.parquet(history)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = batch.limit(0)
-        new = batch.dropDuplicates(["catalog_item_id", "item_id"])
-        pairs = known.select("catalog_item_id", "item_id").withColumns({})
-        record_prices(pairs.limit(0), new.join(pairs, ["catalog_item_id", "item_id"], "left_anti")).write.mode("append").parquet(history)
+def follow_prices(spark: SparkSession, landing: str, schema: str, history: str, checkpoint: str, known: DataFrame | None = None) -> StreamingQuery:
+    """Write the Parquet files that land to a table at a path, each pair of catalog item and item once.
 
+    Pairs that came before are in the stream's state, one key each, dealt over the shuffle partitions, so no batch reads the history
+    again. A batch that is repeated adds nothing, as the file sink commits each batch once; the table must be read by Spark, and only
+    this stream writes it. known: pairs that were recorded elsewhere and are left out.
+    """
     stream = spark.readStream.schema(schema).parquet(landing)
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if known is not None:
+        stream = stream.join(known.select(*PAIR), PAIR, "left_anti")
+    return stream.dropDuplicates(PAIR).writeStream.format("parquet").option("path", history).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -313,6 +313,31 @@ def test_prices_that_land_twice_are_recorded_once(spark, tmp_path):
         spark.createDataFrame([(1, "i", 5), (1, f"j{k}", 7)], schema).write.mode("append").parquet(str(tmp_path / "in"))
         follow_prices(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.item_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["i", "j0", "j1"]
+    known = spark.createDataFrame([(1, "j0", 9)], schema)
+    follow_prices(spark, str(tmp_path / "in"), schema, str(tmp_path / "rest"), str(tmp_path / "ck2"), known).awaitTermination()
+    assert sorted(r.item_id for r in spark.read.parquet(str(tmp_path / "rest")).collect()) == ["i", "j1"]
+
+
+def test_files_over_the_limit_are_listed(spark, tmp_path):
+    from bidloom.sources.office import files, refused
+
+    (tmp_path / "small.xlsx").write_bytes(b"1234")
+    (tmp_path / "large.xlsx").write_bytes(b"12345")
+    assert [r.path[-10:] for r in files(spark, str(tmp_path), "*.xlsx", 4).collect()] == ["small.xlsx"]
+    assert [(r.file[-10:], r.length, r.error) for r in refused(spark, str(tmp_path), "*.xlsx", 4).collect()] == [("large.xlsx", 5, "over 4 bytes")]
+
+
+def test_units_collapse_to_items(spark):
+    schema = "submission_id string, bid_id int, vendor_id int, item_id string, category string, seq int, name string, path string, brand string, quantity double, amount long, unit_price long"
+    leaves = [("s", 1, 7, f"i{k}", "c", k, n, p, "b", 2.0, a, a) for k, (n, p, a) in enumerate([("z", "A|B|x", 5), ("y", "A > B", None), ("", "A > B > q", 2), ("o", "A > BB", 9), ("n", None, 1)])]
+    items = spark.createDataFrame(leaves, schema)
+    units = spark.createDataFrame([("s", "A > B"), ("t", "A")], "submission_id string, unit string")
+    got = {r.item_id: r for r in H.collapse_units(items, units).collect()}
+    assert sorted(got) == ["i2", "i3", "i4"] and [k for k, r in got.items() if r.is_unit] == ["i2"]
+    r = got["i2"]
+    assert (r.name, r.path, r.brand, r.quantity, r.amount, r.unit_price) == ("B", "A > B", "(2개: y, z)", 1.0, 7, 7)
+    many = spark.createDataFrame([("s", 1, 7, f"i{k}", "c", k, f"n{k}", "A > B", "b", 1.0, 1, 1) for k in range(7)], schema)
+    assert H.collapse_units(many, units).first().brand == "(7개: n0, n1, n2, n3, n4 ...)"
 
 
 def test_queries_match_their_sql(spark):
