@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import decontaminate, html, linededup, packing, paragraphs, pii, quality, simhash, sstable, toxicity
+from bidloom.llm import conversations, decontaminate, html, linededup, merkle, packing, paragraphs, pii, quality, simhash, sstable, toxicity, urls
 from bidloom.llm.common import new_path
 from bidloom.session import table
 
@@ -109,3 +111,28 @@ SQL["op6_line_dedup"] = linededup.SQL
 @query
 def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower).otherwise(F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    return merkle.verify(table(spark, sf_dir, "documents"), "doc_id", "lang", [*fields, "text"], [*fields, tampered])
+
+
+SQL["op11_merkle_manifest"] = merkle.SQL
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
+SQL["op12_conversation_repair"] = conversations.SQL
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urls.RULES).select("page_id", "host", "path", "rule", "verdict", F.col("blocked").alias("score"))
