@@ -242,7 +242,8 @@ def repair(rows: DataFrame, conversations: DataFrame | None = None) -> DataFrame
     totals = states.groupBy("g").agg(F.coalesce(gaps, F.lit(0)).alias("gaps"), *[F.count_if(c).alias(c) for c in ("blank", "duplicate", "truncated", "illegal")])
 
     keys = ["g", "block"]
-    dealt = states.select("g", F.floor(F.col("pos") / BLOCK).cast("long").alias("block"), "pos", "kind").repartition(*keys).sortWithinPartitions(*keys, "pos")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    dealt = states.select("g", F.floor(F.col("pos") / BLOCK).cast("long").alias("block"), "pos", "kind").repartition(tasks, *keys).sortWithinPartitions(*keys, "pos")
     blocks = dealt.mapInArrow(_advance, _BLOCKS)
     audits = keep(blocks.repartition("g").sortWithinPartitions(*keys, "start").mapInArrow(_chain, _AUDITS), "audits")
 
