@@ -41,9 +41,9 @@ def leaf(fields: list[str | Column]) -> Column:
 
 
 def _reduce(nodes: DataFrame) -> list[DataFrame]:
-    """The levels above nodes (g, node, n: nodes of the group at this level, h). Each level has also `before` and `after`: the digests of a
-    node's siblings to either side of it, in one text each; null at a group's last node."""
-    levels, most = [], nodes.agg(F.max("n")).first()[0] or 0
+    """The levels from nodes (g, node, n: nodes of the group at this level, h, others) up. Each level has also `before` and `after`: the digests
+    of a node's siblings to either side of it, in one text each; null at a group's last node. Other columns stay at the lowest level."""
+    levels, most = [], None
     while True:
         run = Window.partitionBy("g", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rows = nodes.withColumn("parent", F.floor(F.col("node") / WIDTH).cast("long"))
@@ -59,6 +59,7 @@ def _reduce(nodes: DataFrame) -> list[DataFrame]:
         ).drop("run")
         rows = keep(rows, "level")
         levels.append(rows)
+        most = (rows.agg(F.max("n")).first()[0] or 0) if most is None else most
         if most <= 1:
             return levels
         most = -(-most // WIDTH)
@@ -66,16 +67,19 @@ def _reduce(nodes: DataFrame) -> list[DataFrame]:
 
 
 def _paths(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
-    """Nodes of the lowest level (g, node) with `path`, their siblings from there to the root, and what `tops` (g, path, ...) has of their group's last node."""
+    """Nodes of the lowest level (with their other columns) with `path`, their siblings from there to the root, and what `tops` (g, path, ...) has
+    of their group's last node. They meet the level above by (group, parent), so the path of each is made after the shuffle."""
     extra = [c for c in tops.columns if c not in ("g", "path")]
+    own = [c for c in levels[0].columns if c not in ("g", "node", "n", "before", "after", "up", "parent")]
     down = None
     for k in reversed(range(len(levels))):
         rows = levels[k]
-        lone = rows.where("n <= 1").select("g", "node").join(tops, "g").select("g", "node", "path", *extra)
+        kept = ["g", "node", *([] if k else own)]
+        lone = rows.where("n <= 1").select(*kept).join(tops, "g").select(*kept, "path", *extra)
         if down is not None:
             step = F.array(F.struct("before", "after"))
             above = down.withColumnsRenamed({"node": "parent", "path": "rest"})
-            lone = rows.where("n > 1").join(above, ["g", "parent"]).select("g", "node", F.concat(step, "rest").alias("path"), *extra).unionByName(lone)
+            lone = rows.where("n > 1").join(above, ["g", "parent"]).select(*kept, F.concat(step, "rest").alias("path"), *extra).unionByName(lone)
         down = keep(lone, "paths") if k else lone
     return down
 
@@ -97,19 +101,17 @@ def manifest(rows: DataFrame, id: str, group: str, fields: list[str | Column], c
     key = F.coalesce(F.concat(F.lit("1"), F.col(group).cast("string")), F.lit("0"))
     none = "array<struct<before:string,after:string>>"
     leaves = rows.select(F.col(id), key.alias("g"), leaf(fields).alias("h"), *[c.alias(f"_c{k}") for k, c in enumerate(carry.values())])
-    leaves = keep(scan.number(leaves, ["g"], [F.col(f"`{id}`"), F.col("h")], name="node", size="n"), "leaves")
-    levels = _reduce(leaves.select("g", "node", "n", "h"))
+    levels = _reduce(scan.number(leaves.withColumnRenamed(id, "_id"), ["g"], ["_id", "h"], name="node", size="n"))
     subroots = None
     for level in levels:
         top = level.where("n = 1").select(F.col("g").alias("own"), "h")
         subroots = top if subroots is None else subroots.unionByName(top)
     subroots = keep(scan.number(subroots.withColumn("g", F.lit("")), ["g"], ["own"], name="node", size="n"), "subroots")
-    upper = _reduce(subroots.select("g", "node", "n", "h"))
-    root = upper[-1].select("g", F.array().cast(none).alias("path"), F.col("h").alias("root"))
-    tops = _paths(upper, root).join(subroots.select("node", "own", "h"), "node").select(F.col("own").alias("g"), "path", "root", F.col("h").alias("subroot"))
-    paths = _paths(levels, keep(tops, "tops"))
-    done = leaves.drop("n").withColumnRenamed("h", "leaf").join(paths, ["g", "node"])
-    return done.select(F.col(f"`{id}`"), "leaf", "subroot", "root", "path", *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)])
+    upper = _reduce(subroots)
+    root = upper[-1].where("n = 1").select("g", F.array().cast(none).alias("path"), F.col("h").alias("root"))
+    tops = _paths(upper, root).select(F.col("own").alias("g"), "path", "root", F.col("h").alias("subroot"))
+    done = _paths(levels, keep(tops, "tops"))
+    return done.select(F.col("_id").alias(id), F.col("h").alias("leaf"), "subroot", "root", "path", *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)])
 
 
 def verify(rows: DataFrame, id: str, group: str, fields: list[str | Column], seen: list[str | Column]) -> DataFrame:
