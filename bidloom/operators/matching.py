@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 from bidloom.operators.compare import catalog_lookup
 
 
-def match_input(items: DataFrame, catalog: DataFrame, by: str = "submission_id", aliases: int = 3) -> DataFrame:
-    """What a provider is shown of each submission: its leaves, a line each, and the catalog items of their categories with their first aliases."""
+def match_input(items: DataFrame, catalog: DataFrame, candidates: DataFrame, by: str = "submission_id", aliases: int = 3) -> DataFrame:
+    """What a provider is shown of each submission: its leaves in order of `seq`, a line each, and the catalog items that are candidates of one
+    of them (candidates: name, catalog_item_id), by id, with their first aliases. Without candidates the catalog's list is empty."""
 
-    def field(name: str, column: str):
-        return F.concat(F.lit(f" | {name}="), F.coalesce(F.col(column).cast("string"), F.lit("")))
+    # Headings and field names of the text.
+    def field(name: str, *columns: str):
+        return F.concat(F.lit(f" | {name}="), F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 
     leaves = items.where("NOT is_header")
-    item = F.concat(F.lit("  - item_id="), "item_id", field("category", "category"), field("name", "name"), field("spec", "brand"), field("qty", "quantity"))
-    item_lines = leaves.select(by, F.lit(0).alias("part"), F.col("item_id").alias("k"), item.alias("line"))
-    known = F.concat(F.lit("  - catalog_item_id="), F.col("catalog_item_id").cast("string"), field("name", "name"), field("category", "category"), F.lit(" | aliases="), F.array_join(F.slice("aliases", 1, aliases), ", "))
-    catalog_lines = leaves.select(by, "category").distinct().join(catalog, "category").select(by, F.lit(1).alias("part"), F.col("catalog_item_id").cast("string").alias("k"), known.alias("line"))
-    texts = item_lines.unionByName(catalog_lines).groupBy(by).agg(F.count_if(F.col("part") == 0).alias("n_items"), F.count_if(F.col("part") == 1).alias("n_catalog"), F.array_sort(F.collect_list(F.struct("part", "k", "line"))).alias("rows"))
-
-    def listed(part: int):
-        return F.array_join(F.filter("rows", lambda r: r["part"] == part)["line"], "\n")
-
-    text = F.concat(F.lit("## 라인 아이템 목록 ("), "n_items", F.lit("개)\n"), listed(0), F.lit("\n\n## 카탈로그 품목 목록 ("), "n_catalog", F.lit("개)\n"), listed(1))
+    item = F.concat(F.lit("  - item_id="), "item_id", field("category", "category"), field("name", "name"), field("spec", "brand"), field("qty", "quantity", "unit"))
+    item_lines = leaves.groupBy(by).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.struct("seq", "item_id", item.alias("line"))))["line"], "\n").alias("items"))
+    known = F.concat(F.lit("  - catalog_item_id="), F.col("catalog_item_id").cast("string"), field("name", "name"), field("category", "category"), field("unit", "unit_std"), F.lit(" | aliases="), F.array_join(F.slice("aliases", 1, aliases), ", "))
+    wanted = leaves.select(by, "name").distinct().join(candidates.select("name", "catalog_item_id"), "name").select(by, "catalog_item_id").distinct()
+    listed = wanted.join(catalog.select("catalog_item_id", known.alias("line")), "catalog_item_id")
+    catalog_lines = listed.groupBy(by).agg(F.count("*").alias("n_catalog"), F.array_join(F.array_sort(F.collect_list(F.struct("catalog_item_id", "line")))["line"], "\n").alias("known"))
+    texts = item_lines.join(catalog_lines, by, "left").withColumns({"n_catalog": F.coalesce("n_catalog", F.lit(0)), "known": F.coalesce("known", F.lit(""))})
+    text = F.concat(F.lit("## 라인 아이템 목록 ("), "n_items", F.lit("개)\n"), "items", F.lit("\n\n## 카탈로그 품목 목록 ("), "n_catalog", F.lit("개)\n"), "known")
     return texts.select(by, text.alias("text"), "n_items", "n_catalog")
 
 
@@ -62,12 +62,15 @@ def suggestions(items: DataFrame, catalog: DataFrame, status: str | None = None)
 
 def confirm(items: DataFrame, decisions: DataFrame, history: DataFrame, by: str = "item_id") -> tuple[DataFrame, DataFrame]:
     """Items after decisions (item_id, catalog_item_id or null): confirmed or unmatched; and the price records to append, one for each
-    confirmed item, without those that the history (catalog_item_id, item_id) has already."""
-    decided = decisions.select(by, F.col("catalog_item_id").alias("chosen"), F.lit(True).alias("decided")).dropDuplicates([by])
+    confirmed item, without those that the history (catalog_item_id, item_id) has already. A record is a snapshot: it also has the item's
+    vendor, project, unit and spec, as far as items have these columns. Of several decisions for an item the last by `decided_at` counts if
+    there is such a column, else the one with the greatest catalog item (null is the least)."""
+    last = F.struct(*[c for c in ("decided_at",) if c in decisions.columns], "catalog_item_id")
+    decided = decisions.groupBy(by).agg(F.max(last).alias("_d")).select(by, F.col("_d.catalog_item_id").alias("chosen"), F.lit(True).alias("decided"))
     joined = items.join(decided, by, "left")
     now = (
         joined.withColumn("catalog_item_id", F.when(F.col("decided"), F.col("chosen")).otherwise(F.col("catalog_item_id")))
         .withColumn("match_status", F.when(F.col("decided"), F.when(F.col("chosen").isNotNull(), "confirmed").otherwise("unmatched")).otherwise(F.col("match_status")))
     )
-    priced = now.where("decided AND chosen IS NOT NULL").select("catalog_item_id", by, "submission_id", "quantity", "unit_price", "amount", "bid_date")
+    priced = now.where("decided AND chosen IS NOT NULL").select("catalog_item_id", by, "submission_id", *[c for c in ("vendor_id", "vendor_name", "project_id", "project_name", "unit", "spec") if c in items.columns], "quantity", "unit_price", "amount", "bid_date")
     return now.drop("chosen", "decided"), priced.join(history.select("catalog_item_id", by), ["catalog_item_id", by], "left_anti")

@@ -7,7 +7,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from bidloom.operators import rounds, scan
+from bidloom.adapter import BidModel
+from bidloom.operators import clusters as C
+from bidloom.operators import matching as M
+from bidloom.operators import names, rounds, scan
 from bidloom.plans.queries import query
 from bidloom.session import table
 
@@ -62,3 +65,79 @@ def one_long_sheet(spark, d):
     order = ["ts", "event_id"]
     done = scan.fill_forward(scan.number(rows, ["sheet"], order, size="n"), ["sheet"], order, ["filled"])
     return scan.runs(done, ["sheet"], order, "label").select("event_id", "position", "filled", "run", "run_place", "n")
+
+
+# Names that are alike
+
+_GRAMS = "list_sort(list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(coalesce({0}, '')), '\\s+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))))"
+_VARIED = """varied AS (SELECT p_size AS grp, CAST(p_partkey AS VARCHAR) AS item_id, p_brand AS vendor, p_partkey AS seq,
+  CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || p_brand || ' ' || p_type WHEN 1 THEN p_type || ' ' || p_name || ' ' || p_brand ELSE replace(p_name, 'i', '') || ' ' || upper(p_brand) || ' ' || p_type END AS name FROM part)"""
+_PAIRS = f"""{_VARIED}, sets AS (SELECT grp, {_GRAMS.format('name')} AS g, min(name) AS name FROM varied GROUP BY 1, 2),
+  pairs AS (SELECT x.grp, x.name AS a, y.name AS b, x.g AS ga, y.g AS gb, length(list_intersect(x.g, y.g)) AS n FROM sets x JOIN sets y ON x.grp = y.grp AND x.name < y.name),
+  near AS (SELECT grp, a, b, ga, gb, n / (length(ga) + length(gb) - n) AS similarity FROM pairs WHERE n / (length(ga) + length(gb) - n) >= 0.6)"""
+
+
+def _varied(spark, d):
+    """Parts whose names are written in three ways: as they are, with their words in another order, with letters left out and in capitals."""
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, F.concat_ws(" ", "p_name", "p_brand", "p_type")).when(k == 1, F.concat_ws(" ", "p_type", "p_name", "p_brand")).otherwise(F.concat_ws(" ", F.replace("p_name", F.lit("i"), F.lit("")), F.upper("p_brand"), "p_type"))
+    return table(spark, d, "part").select(F.col("p_size").alias("grp"), F.col("p_partkey").cast("string").alias("item_id"), F.col("p_brand").alias("vendor_id"), F.col("p_partkey").alias("seq"), name.alias("name"))
+
+
+@query("", f"WITH {_PAIRS} SELECT grp, a, b, round(similarity, 6) AS similarity FROM near")
+def similar_names(spark, d):
+    return names.similar(_varied(spark, d), None, ["grp"], "name", 0.6).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("", f"""WITH RECURSIVE {_PAIRS}, sides AS (SELECT grp, ga, gb FROM near UNION ALL SELECT grp, gb, ga FROM near),
+  reach AS (SELECT grp, g, g AS root FROM sets UNION SELECT r.grp, b.gb, r.root FROM reach r JOIN sides b ON b.grp = r.grp AND b.ga = r.g),
+  roots AS (SELECT grp, g, min(root) AS root FROM reach GROUP BY 1, 2),
+  held AS (SELECT v.*, r.root FROM varied v JOIN roots r ON r.grp = v.grp AND r.g = {_GRAMS.format('v.name')}),
+  weak AS (SELECT r.grp, r.root, min(similarity) AS score FROM near n JOIN roots r ON r.grp = n.grp AND r.g = n.ga GROUP BY 1, 2),
+  made AS (SELECT h.grp, h.root, count(*) AS n_items, count(DISTINCT vendor) AS n_vendors, arg_min(item_id, seq) AS rep_item_id FROM held h GROUP BY 1, 2)
+  SELECT m.grp, m.rep_item_id, m.n_items, m.n_vendors, round(coalesce(w.score, 1), 6) AS score FROM made m LEFT JOIN weak w ON w.grp = m.grp AND w.root = m.root WHERE m.n_items >= 2 AND m.n_vendors >= 2""")
+def similar_clusters(spark, d):
+    """Clusters of the parts of a size whose names are linked by similarity."""
+    rows = _varied(spark, d)
+    found = C.valid_clusters(names.similar_clusters(rows, "grp", 0.6), rows)
+    return found.join(rows.select(F.col("item_id").alias("rep_item_id"), "grp"), "rep_item_id").select("grp", "rep_item_id", "n_items", "n_vendors", F.round("score", 6).alias("score"))
+
+
+_CATALOG = "known AS (SELECT p_partkey AS catalog_item_id, p_name || ' ' || p_brand || ' ' || p_type AS name FROM part)"
+
+
+@query("", f"""WITH {_VARIED}, {_CATALOG}, k AS (SELECT catalog_item_id, {_GRAMS.format('name')} AS g FROM known), own AS (SELECT DISTINCT {_GRAMS.format('name')} AS g FROM varied),
+  p AS (SELECT own.g, k.catalog_item_id, length(list_intersect(own.g, k.g)) AS n, length(own.g) + length(k.g) AS s FROM own, k), best AS (SELECT g, min({{'s': -n / (s - n), 'i': catalog_item_id}}) AS m FROM p WHERE n / (s - n) >= 0.6 GROUP BY 1)
+  SELECT item_id, m.i AS catalog_item_id, round(coalesce(-m.s, 0), 6) AS confidence, CASE WHEN m IS NULL THEN '' ELSE 'name' END AS reason FROM varied v LEFT JOIN best b ON b.g = {_GRAMS.format('v.name')}""")
+def similar_matches(spark, d):
+    """Parts matched to the catalog by the most similar name."""
+    catalog = table(spark, d, "part").select(F.col("p_partkey").alias("catalog_item_id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"), F.array().cast("array<string>").alias("aliases"))
+    return names.match_similar(_varied(spark, d), catalog, 0.6).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("", f"""WITH {_VARIED}, {_CATALOG}, c AS (SELECT catalog_item_id, unnest({_GRAMS.format('name')}) AS gram FROM known), df AS (SELECT gram, 1000000 // count(*) AS w FROM c GROUP BY 1),
+  n AS (SELECT name, unnest({_GRAMS.format('name')}) AS gram FROM (SELECT DISTINCT name FROM varied)), s AS (SELECT name, catalog_item_id, CAST(sum(w) AS BIGINT) AS score FROM n JOIN c USING (gram) JOIN df USING (gram) GROUP BY 1, 2)
+  SELECT * FROM (SELECT name, catalog_item_id, score, row_number() OVER (PARTITION BY name ORDER BY score DESC, catalog_item_id) AS place FROM s) WHERE place <= 3""")
+def catalog_candidates(spark, d):
+    """The three likeliest catalog items of each name."""
+    catalog = table(spark, d, "part").select(F.col("p_partkey").alias("catalog_item_id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"))
+    return names.candidates(_varied(spark, d), catalog, 3, rare=40)
+
+
+_ITEM_LINES = """lines2 AS (SELECT *, '  - item_id=' || item_id || ' | category=' || category || ' | name=' || name || ' | spec=' || brand || ' | qty=' || CAST(CAST(quantity AS BIGINT) AS VARCHAR) || ' EA' AS line FROM named WHERE NOT is_header)"""
+
+
+@query("named", f"""--with cat AS (SELECT p_partkey AS catalog_item_id, p_name AS name, p_type AS category, p_brand AS brand FROM part), c AS (SELECT catalog_item_id, unnest({_GRAMS.format('name')}) AS gram FROM cat), df AS (SELECT gram, 1000000 // count(*) AS w FROM c GROUP BY 1),
+  n AS (SELECT name, unnest({_GRAMS.format('name')}) AS gram FROM (SELECT DISTINCT name FROM named WHERE NOT is_header)), s AS (SELECT name, catalog_item_id, CAST(sum(w) AS BIGINT) AS score FROM n JOIN c USING (gram) JOIN df USING (gram) GROUP BY 1, 2),
+  best AS (SELECT * FROM (SELECT name, catalog_item_id, row_number() OVER (PARTITION BY name ORDER BY score DESC, catalog_item_id) AS place FROM s) WHERE place <= 3),
+  {_ITEM_LINES}, left_part AS (SELECT submission_id, count(*) AS n_items, string_agg(line, chr(10) ORDER BY l_orderkey, l_partkey, l_linenumber, amount, quantity) AS t FROM lines2 GROUP BY 1),
+  wanted AS (SELECT DISTINCT submission_id, b.catalog_item_id FROM lines2 l JOIN best b ON b.name = l.name),
+  right_part AS (SELECT submission_id, count(*) AS n_catalog, string_agg('  - catalog_item_id=' || k.catalog_item_id || ' | name=' || k.name || ' | category=' || k.category || ' | unit=EA | aliases=' || k.name || ' ' || k.brand || ', ' || k.brand, chr(10) ORDER BY k.catalog_item_id) AS t FROM wanted w JOIN cat k ON k.catalog_item_id = w.catalog_item_id GROUP BY 1)
+  SELECT submission_id, n_items, n_catalog, sha256('## 라인 아이템 목록 (' || n_items || '개)' || chr(10) || l.t || chr(10) || chr(10) || '## 카탈로그 품목 목록 (' || n_catalog || '개)' || chr(10) || r.t) AS text_sha256 FROM left_part l JOIN right_part r USING (submission_id)""")
+def match_input(spark, d):
+    """Each submission's items beside the three likeliest catalog items of each, as a provider is shown them."""
+    rows = BidModel(spark, d).named.withColumns({"unit": F.lit("EA"), "shown": F.col("quantity").cast("long")})
+    catalog = table(spark, d, "part").select(F.col("p_partkey").alias("catalog_item_id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.lit("EA").alias("unit_std"), F.array(F.concat_ws(" ", "p_name", "p_brand"), F.col("p_brand")).alias("aliases"))
+    found = names.candidates(rows.where("NOT is_header").select("name"), catalog.select("catalog_item_id", "name"), 3)
+    texts = M.match_input(rows.drop("quantity").withColumnRenamed("shown", "quantity"), catalog, found)
+    return texts.select("submission_id", "n_items", "n_catalog", F.sha2("text", 256).alias("text_sha256"))

@@ -160,13 +160,6 @@ def match_confirm(spark, d):
     return again.join(recorded, "item_id", "left").groupBy("match_status").agg(F.count("*").alias("n_items"), F.count("one").alias("n_recorded"))
 
 
-@query("named", """SELECT submission_id, count(*) AS n_items, '## 라인 아이템 목록 (' || count(*) || '개)' AS head, '  - item_id=' || min(item_id) AS first_item FROM named WHERE NOT is_header GROUP BY 1""")
-def match_input(spark, d):
-    texts = M.match_input(BidModel(spark, d).named, _catalog(spark, d).limit(0).withColumn("category", F.lit("x")))
-    lines = F.split("text", "\n")
-    return texts.select("submission_id", "n_items", F.element_at(lines, 1).alias("head"), F.regexp_extract(F.element_at(lines, 2), r"^  - item_id=[^ ]+", 0).alias("first_item"))
-
-
 # Clustering as a job
 
 

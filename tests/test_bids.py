@@ -158,16 +158,20 @@ def test_extraction_job(spark):
 
 
 def test_match_input_and_confirmation(spark):
-    items = spark.createDataFrame([("i1", "s", "c", "Pump", "b", 2.0, False, 5.0, 10.0, "d"), ("i2", "s", "c", "odd", None, None, False, 1.0, 1.0, "d"), ("i3", "s", "c", "head", None, None, True, 1.0, 1.0, "d")], "item_id string, submission_id string, category string, name string, brand string, quantity double, is_header boolean, unit_price double, amount double, bid_date string")
-    catalog = spark.createDataFrame([(7, "pump", "c", ["p1", "p2", "p3", "p4"])], "catalog_item_id bigint, name string, category string, aliases array<string>")
-    text = M.match_input(items, catalog).first().text
-    assert text == "## 라인 아이템 목록 (2개)\n  - item_id=i1 | category=c | name=Pump | spec=b | qty=2.0\n  - item_id=i2 | category=c | name=odd | spec= | qty=\n\n## 카탈로그 품목 목록 (1개)\n  - catalog_item_id=7 | name=pump | category=c | aliases=p1, p2, p3"
+    items = spark.createDataFrame([(2, "i1", "s", "c", "Pump", "b", 2.0, False, 5.0, 10.0, "d", "EA", "v", "P"), (1, "i2", "s", "c", "odd", None, None, False, 1.0, 1.0, "d", None, "v", "P"), (3, "i3", "s", "c", "head", None, None, True, 1.0, 1.0, "d", None, "v", "P"), (1, "i4", "t", "c", "odd", None, None, False, 1.0, 1.0, "d", None, "v", "P")], "seq int, item_id string, submission_id string, category string, name string, brand string, quantity double, is_header boolean, unit_price double, amount double, bid_date string, unit string, vendor_name string, project_name string")
+    catalog = spark.createDataFrame([(7, "pump", "c", "set", ["p1", "p2", "p3", "p4"]), (8, "other", "c", None, [])], "catalog_item_id bigint, name string, category string, unit_std string, aliases array<string>")
+    found = spark.createDataFrame([("Pump", 7), ("head", 8)], "name string, catalog_item_id bigint")
+    texts = {r.submission_id: r.text for r in M.match_input(items, catalog, found).collect()}
+    assert texts["s"] == "## 라인 아이템 목록 (2개)\n  - item_id=i2 | category=c | name=odd | spec= | qty= \n  - item_id=i1 | category=c | name=Pump | spec=b | qty=2.0 EA\n\n## 카탈로그 품목 목록 (1개)\n  - catalog_item_id=7 | name=pump | category=c | unit=set | aliases=p1, p2, p3"
+    assert texts["t"].endswith("## 카탈로그 품목 목록 (0개)\n")
     saved = M.save_suggestions(items, M.suggest(items, catalog))
-    assert {(r.item_id, r.match_status, r.catalog_item_id) for r in saved.collect()} == {("i1", "suggested", 7), ("i2", "unmatched", None), ("i3", None, None)}
+    assert {(r.item_id, r.match_status, r.catalog_item_id) for r in saved.collect()} == {("i1", "suggested", 7), ("i2", "unmatched", None), ("i3", None, None), ("i4", "unmatched", None)}
     history = spark.createDataFrame([], "catalog_item_id bigint, item_id string")
     decided = saved.where("item_id = 'i1'").select("item_id", "catalog_item_id")
     now, new = M.confirm(saved, decided, history)
-    assert [(r.item_id, r.unit_price) for r in new.collect()] == [("i1", 5.0)] and M.confirm(now, decided, new)[1].count() == 0
+    assert [(r.item_id, r.unit_price, r.vendor_name, r.project_name, r.unit) for r in new.collect()] == [("i1", 5.0, "v", "P", "EA")] and M.confirm(now, decided, new)[1].count() == 0
+    twice = spark.createDataFrame([("i1", 7, 2), ("i1", 8, 1), ("i2", 8, 1), ("i2", None, 2)], "item_id string, catalog_item_id bigint, decided_at int")
+    assert {(r.item_id, r.catalog_item_id, r.match_status) for r in M.confirm(saved, twice, history)[0].where("submission_id = 's' AND NOT is_header").collect()} == {("i1", 7, "confirmed"), ("i2", None, "unmatched")}
 
 
 def test_an_item_in_a_cluster_still_counts_in_its_category(spark):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bidloom.operators import rounds, scan
+from bidloom.operators import names, rounds, scan
 from bidloom.plans.linkage import by_last_word
 
 
@@ -125,3 +125,75 @@ def test_texts(spark):
     rows = spark.createDataFrame([("a", 0, "1", "v1", "n", "c", "EA", "5", "s" * 70), ("a", 1, "2", "v2", "m", None, None, None, None), ("a", 2, "3", "v1", "k", "c", None, None, "")], "b string, place long, item_id string, vendor_id string, name string, category string, unit string, unit_price string, spec string")
     text = rounds._listed(rows, ["b"]).select(rounds.form_text(F.col("rows"))).first()[0]
     assert text == f"## 신규 입찰 품목 (3개 / 2개 업체)\n\n### v1\n  - id=1 | 품목명=n | 카테고리=c | 단위=EA | 단가=5 | 규격={'s' * 60}\n  - id=3 | 품목명=k | 카테고리=c | 단위= | 단가= | 규격=\n\n### v2\n  - id=2 | 품목명=m | 카테고리= | 단위= | 단가= | 규격=\n\n## 전체 품목\n  - k  [v1] (id=3)\n  - m  [v2] (id=2)\n  - n  [v1] (id=1)\n"
+
+
+# Names
+
+
+def brute_grams(name):
+    return frozenset(("  " + w + " ")[i : i + 3] for w in (name or "").lower().split() for i in range(len(w) + 1))
+
+
+def some_names(rnd, n):
+    words = ["red", "widget", "steel", "bolt", "gear", "anchor", "납", "BLOCK", "차폐"]
+    out = []
+    for _ in range(n):
+        w = [rnd.choice(words) for _ in range(rnd.randrange(1, 5))]
+        if rnd.random() < 0.5:
+            k = rnd.randrange(len(w))
+            w[k] = w[k][:-1] + rnd.choice("xyz")
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 1.0])
+def test_similar_names(spark, least):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["p", "q"]), n) for n in some_names(rnd, 150)] + [("p", None), ("p", " "), (None, "red bolt"), ("p", "bolt red"), ("p", "red bolt"), ("q", "x")] + [("q", "gear gear")] * 500
+    got = names.similar(spark.createDataFrame(rows, "g string, name string"), None, ["g"], "name", least).collect()
+    sets = {}
+    for g, n in rows:
+        if g and brute_grams(n):
+            sets.setdefault((g, brute_grams(n)), []).append(n)
+    low = {(g, min(x)): s for (g, s), x in sets.items()}
+    want = {(g, a, b): len(s & t) / len(s | t) for (g, a), s in low.items() for (h, b), t in low.items() if g == h and a < b and len(s & t) / len(s | t) >= least - 1e-9}
+    assert {(r.g, r.a, r.b): r.similarity for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
+def test_no_pair_without_a_shared_rare_gram(spark):
+    """The join's output is far smaller than all pairs, and the plan has no nested loop."""
+    rows = spark.range(2000).select(F.concat(F.lit("part number "), F.sha2(F.col("id").cast("string"), 256)).alias("name"))
+    pairs = names.similar(rows, None, [], "name", 0.8)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and pairs.count() == 0
+
+
+def test_similar_clusters_and_matches(spark):
+    items = [("a", "1", "v1", 1, "steel anchor bolt"), ("a", "2", "v2", 2, "bolt anchor steel"), ("a", "3", "v3", 3, "steel anchr bolt"), ("a", "4", "v1", 4, "pump"), ("b", "5", "v1", 5, "steel anchor bolt"), ("a", "6", "v1", 6, None), ("a", "7", "v1", 7, "PUMP")]
+    frame = spark.createDataFrame(items, "bid string, item_id string, vendor_id string, seq long, name string")
+    found = names.similar_clusters(frame, "bid", 0.5)
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.cluster_id, set()).add(r.item_id)
+    assert sorted(map(sorted, groups.values())) == [["1", "2", "3"], ["4", "7"], ["5"]]
+    catalog = spark.createDataFrame([(1, "anchor bolt, steel", ["steel anchor bolt"]), (2, "water pump", ["pumps"]), (3, "pumps", None)], "catalog_item_id long, name string, aliases array<string>")
+    got = {r.item_id: (r.catalog_item_id, r.reason) for r in names.match_similar(frame, catalog, 0.5).collect()}
+    assert got == {"1": (1, "alias"), "2": (1, "alias"), "3": (1, "alias"), "4": (3, "name"), "5": (1, "alias"), "6": (None, ""), "7": (3, "name")}
+    assert names.match_similar(frame, catalog.limit(0), 0.5).where("catalog_item_id IS NULL AND confidence = 0").count() == 7
+
+
+@pytest.mark.parametrize("rare", [0, 3, 1000])
+def test_candidates(spark, rare):
+    rnd = random.Random(6)
+    asked, known = some_names(rnd, 40) + [None, "", "zzz"], list(enumerate(some_names(rnd, 60))) + [(99, None)]
+    got = {}
+    for r in names.candidates(spark.createDataFrame([(n,) for n in asked], "name string"), spark.createDataFrame(known, "catalog_item_id long, name string"), 3, rare).collect():
+        got.setdefault(r.name, []).append((r.place, r.catalog_item_id, r.score))
+    df = {}
+    for _, n in known:
+        for g in brute_grams(n):
+            df[g] = df.get(g, 0) + 1
+    for n in set(asked):
+        scores = [(sum(1_000_000 // df[g] for g in brute_grams(n) & brute_grams(c)), i) for i, c in known]
+        best = sorted((x for x in scores if x[0]), key=lambda x: (-x[0], x[1]))[:3]
+        assert sorted(got.get(n, [])) == [(k + 1, i, s) for k, (s, i) in enumerate(best)], n
