@@ -88,16 +88,26 @@ def save_clusters(found: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFra
     return clusters, joined.select("cluster_id", "item_id", F.when(is_rep, "representative").otherwise("duplicate").alias("role"), F.when(is_rep, F.lit(1.0)).otherwise(F.col("score")).alias("similarity_score"))
 
 
-def assign_then_form(items: DataFrame, clusters: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fresh_ids(proposals: DataFrame, stored: DataFrame) -> DataFrame:
+    """proposals with ids that no stored cluster has, whatever its status: the second of a key ends in ` #2`, the next in ` #3`. Keys have no
+    white space, so an ending can't be part of one."""
+    number = F.coalesce(F.nullif(F.regexp_extract("cluster_id", r" #(\d+)$", 1), F.lit("")).cast("long"), F.lit(1))
+    used = stored.groupBy(F.regexp_replace("cluster_id", r" #\d+$", "").alias("_base")).agg(F.max(number).alias("_used"))
+    joined = proposals.join(used, F.col("cluster_id") == F.col("_base"), "left")
+    return joined.withColumn("cluster_id", F.when(F.col("_used").isNotNull(), F.concat("cluster_id", F.lit(" #"), F.col("_used") + 1)).otherwise(F.col("cluster_id"))).drop("_base", "_used")
+
+
+def assign_then_form(items: DataFrame, clusters: DataFrame, by: list[str], stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(additions, proposals, carried) of items that belong nowhere: those whose name folds to an existing cluster's join it (of several, the
     first by id), the others form clusters by name, and what fits nowhere is carried on. Names meet by equality of keys, so items on
-    both sides of a window's edge meet; a provider that is asked window by window can take `number_windows` of what is carried."""
+    both sides of a window's edge meet. New ids differ from those of `stored` clusters (without them, of `clusters`). For a provider that is
+    asked window by window see `rounds`, for names that differ `names`."""
     keyed = items.withColumn("key", S.name_key(F.col("name")))
     known = clusters.withColumn("key", S.name_key(F.col("name"))).where("key <> ''").groupBy(*by, "key").agg(F.min("cluster_id").alias("cluster_id"))
     placed = keyed.join(known, [*by, "key"], "left")
     additions = placed.where("cluster_id IS NOT NULL").select("item_id", "cluster_id", F.lit(1.0).alias("confidence"), F.lit(0).alias("place"))
     rest = placed.where("cluster_id IS NULL").drop("cluster_id", "key")
-    proposals = block_clusters(rest, by)
+    proposals = fresh_ids(block_clusters(rest, by), stored if stored is not None else clusters)
     stay = valid_clusters(proposals, rest).select("cluster_id")
     proposals = proposals.join(stay, "cluster_id", "left_semi")
     return additions, proposals, rest.join(proposals.select("item_id"), "item_id", "left_anti")
@@ -110,7 +120,7 @@ def run_clustering(items: DataFrame, clusters: DataFrame, member_rows: DataFrame
         clusters, member_rows = reset(clusters, member_rows)
     live = clusters.where(F.col("status") != "rejected")
     free = items.join(member_rows.join(live.select("cluster_id"), "cluster_id", "left_semi").select("item_id"), "item_id", "left_anti")
-    additions, proposals, carried = assign_then_form(free, live, by)
+    additions, proposals, carried = assign_then_form(free, live, by, clusters)
     made, rows = save_clusters(valid_clusters(proposals, free), valid_members(proposals, free))
     owner = items.join(proposals.select("item_id", "cluster_id"), "item_id").groupBy("cluster_id").agg(*[F.first(c).alias(c) for c in by])
     made = made.join(owner, "cluster_id").withColumnRenamed("representative_name", "name")

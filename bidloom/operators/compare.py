@@ -80,26 +80,49 @@ def majority(rows: DataFrame, by: list[str], column: str, order: str) -> DataFra
     return counts.groupBy(*by).agg(F.min_by(column, F.struct(-F.col("n"), "seen")).alias(column))
 
 
-def benchmark(history: DataFrame, projects: DataFrame) -> DataFrame:
-    """For each project the prices that other projects paid for an item. History is summed by project and item once; what other
-    projects paid is then a join of those sums with the few projects, never of history with itself."""
+def _asked(totals: DataFrame, projects: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """totals of items beside the projects that ask for them: those of wanted (project_id, catalog_item_id), else every project for every item."""
+    if wanted is None:
+        return totals.crossJoin(bounded(projects.select("project_id").distinct()))
+    return wanted.select("project_id", "catalog_item_id").distinct().join(totals, "catalog_item_id")
+
+
+def benchmark(history: DataFrame, projects: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """For each project the prices that other projects paid for an item; with wanted (project_id, catalog_item_id) for these pairs only.
+
+    History is summed by item and project once. What others paid is an item's totals less the project's own, and for the lowest and
+    highest price the best of another project: of each item the two lowest and two highest, each from a project of its own, are kept.
+    """
     priced = history.where("unit_price > 0 AND NOT is_deleted")
     sums = priced.groupBy("catalog_item_id", F.col("project_id").alias("source")).agg(
         F.min("unit_price").alias("lo"), F.max("unit_price").alias("hi"), F.sum("unit_price").alias("s"), F.sum("amount").alias("a"), F.count("*").alias("n"), F.count_distinct("bid_id").alias("b")
     )
-    joined = sums.join(bounded(projects.select("project_id")), F.col("source") != F.col("project_id"))
-    return joined.groupBy("project_id", "catalog_item_id").agg(
-        F.min("lo").alias("min_price"), F.max("hi").alias("max_price"), (F.sum("s") / F.sum("n")).alias("avg_price"), (F.sum("a") / F.sum("n")).alias("avg_amount"), F.sum("n").alias("n_prices"), F.sum("b").alias("n_bids")
-    )
+    item = Window.partitionBy("catalog_item_id")
+    kinds = ("s", "a", "n", "b")
+    rows = sums.withColumns({f"all_{c}": F.sum(c).over(item) for c in kinds} | {"first_lo": F.min(F.struct("lo", "source")).over(item), "first_hi": F.max(F.struct("hi", "source")).over(item)})
+    rows = rows.withColumns({f"next_{c}": f(F.when(F.col("source") != F.col(f"first_{c}.source"), F.col(c))).over(item) for c, f in (("lo", F.min), ("hi", F.max))})
+    totals = rows.drop("source", "lo", "hi", *kinds).dropDuplicates(["catalog_item_id"])
+    own = sums.select("catalog_item_id", F.col("source").alias("project_id"), *kinds)
+    joined = _asked(totals, projects, wanted).join(own, ["project_id", "catalog_item_id"], "left")
+    left = joined.withColumns({c: F.col(f"all_{c}") - F.coalesce(c, F.lit(0)) for c in kinds}).where("n > 0")
+
+    def other(c: str) -> Column:
+        return F.when(F.col(f"first_{c}.source") == F.col("project_id"), F.col(f"next_{c}")).otherwise(F.col(f"first_{c}.{c}"))
+
+    return left.select("project_id", "catalog_item_id", other("lo").alias("min_price"), other("hi").alias("max_price"), (F.col("s") / F.col("n")).alias("avg_price"), (F.col("a") / F.col("n")).alias("avg_amount"), F.col("n").alias("n_prices"), F.col("b").alias("n_bids"))
 
 
-def cheapest(history: DataFrame, projects: DataFrame) -> DataFrame:
-    """For each project the cheapest recorded price of an item in other projects, with where it was paid."""
+def cheapest(history: DataFrame, projects: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """For each project (with wanted: for these pairs) the cheapest recorded price of an item in other projects, with where it was paid. Of
+    each item the cheapest price and the cheapest of another project are kept."""
     priced = history.where("unit_price > 0 AND NOT is_deleted")
     detail = F.struct("unit_price", "bid_date", "item_id", "bid_id", "l_suppkey")
     best = priced.groupBy("catalog_item_id", F.col("project_id").alias("source")).agg(F.min(detail).alias("d"))
-    joined = best.join(bounded(projects.select("project_id")), F.col("source") != F.col("project_id"))
-    return joined.groupBy("project_id", "catalog_item_id").agg(F.min("d").alias("d")).select("project_id", "catalog_item_id", "d.unit_price", "d.bid_date", "d.item_id", F.col("d.bid_id").alias("source_bid"), F.col("d.l_suppkey").alias("vendor_id"))
+    item = Window.partitionBy("catalog_item_id")
+    rows = best.withColumn("first", F.min(F.struct("d", "source")).over(item)).withColumn("next", F.min(F.when(F.col("source") != F.col("first.source"), F.col("d"))).over(item))
+    joined = _asked(rows.select("catalog_item_id", "first", "next").dropDuplicates(["catalog_item_id"]), projects, wanted)
+    chosen = joined.select("project_id", "catalog_item_id", F.when(F.col("first.source") == F.col("project_id"), F.col("next")).otherwise(F.col("first.d")).alias("d")).where("d IS NOT NULL")
+    return chosen.select("project_id", "catalog_item_id", "d.unit_price", "d.bid_date", "d.item_id", F.col("d.bid_id").alias("source_bid"), F.col("d.l_suppkey").alias("vendor_id"))
 
 
 def deviation(price: Column, base: Column) -> Column:
@@ -140,21 +163,23 @@ def compared_totals(items: DataFrame, member_rows: DataFrame, canonical: list[st
     return category_totals(outside.select(*columns).unionByName(member_rows.select(*columns)), canonical)
 
 
-def row_benchmarks(pivot: DataFrame, links: DataFrame, bids: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """Rows of a comparison with the benchmark of the catalog item that one of their items is confirmed as (of several, the smallest id).
-    links: item_id, catalog_item_id, match_status; benchmarks: project_id, catalog_item_id, min_price."""
+def row_benchmarks(pivot: DataFrame, links: DataFrame, bids: DataFrame, history: DataFrame, projects: DataFrame) -> DataFrame:
+    """Rows of a comparison with the benchmark of the catalog item that one of their items is confirmed as (of several, the smallest id that has
+    one). links: item_id, catalog_item_id, match_status. Only the pairs of project and item that occur are benchmarked."""
     sure = links.where("match_status = 'confirmed' AND catalog_item_id IS NOT NULL").select("item_id", "catalog_item_id")
     found = pivot.select("bid_id", "category", "row_key", "item_id").join(sure, "item_id").join(bids.select("bid_id", "project_id"), "bid_id")
-    priced = found.join(benchmarks.select("project_id", "catalog_item_id", F.col("min_price").alias("benchmark")), ["project_id", "catalog_item_id"])
+    found = found.groupBy("bid_id", "category", "row_key", "project_id", "catalog_item_id").agg(F.lit(1).alias("one"))
+    priced = found.join(benchmark(history, projects, found).select("project_id", "catalog_item_id", F.col("min_price").alias("benchmark")), ["project_id", "catalog_item_id"])
     return priced.groupBy("bid_id", "category", "row_key").agg(F.min(F.struct("catalog_item_id", "benchmark")).alias("b")).select("bid_id", "category", "row_key", "b.*")
 
 
-def cluster_benchmarks(clusters: DataFrame, benchmarks: DataFrame, catalog: DataFrame) -> DataFrame:
+def cluster_benchmarks(clusters: DataFrame, history: DataFrame, projects: DataFrame, catalog: DataFrame) -> DataFrame:
     """Clusters (cluster_id, project_id, status, representative_item_id, name) with the catalog item whose benchmark they show: an accepted one's
     representative if it has one, else the item of that canonical name, else of that alias, among those that have one."""
-    priced = benchmarks.select("project_id", "catalog_item_id", "min_price")
     known = catalog.select("catalog_item_id", F.explode(F.concat(F.array(F.struct(F.lit(1).alias("tier"), F.lower("name").alias("key"))), F.transform("aliases", lambda a: F.struct(F.lit(2).alias("tier"), F.lower(a).alias("key"))))).alias("k")).select("catalog_item_id", "k.*")
     named = clusters.select("cluster_id", "project_id", F.lower("name").alias("key")).join(known, "key").select("cluster_id", "project_id", "tier", "catalog_item_id")
     rep = clusters.where("status = 'accepted'").select("cluster_id", "project_id", F.lit(0).alias("tier"), F.col("representative_item_id").alias("catalog_item_id"))
-    best = named.unionByName(rep).join(priced, ["project_id", "catalog_item_id"]).groupBy("cluster_id").agg(F.min(F.struct("tier", "catalog_item_id", "min_price")).alias("b"))
+    asked = named.unionByName(rep)
+    priced = benchmark(history, projects, asked).select("project_id", "catalog_item_id", "min_price")
+    best = asked.join(priced, ["project_id", "catalog_item_id"]).groupBy("cluster_id").agg(F.min(F.struct("tier", "catalog_item_id", "min_price")).alias("b"))
     return clusters.join(best, "cluster_id", "left").select("cluster_id", "b.tier", "b.catalog_item_id", F.col("b.min_price").alias("benchmark"))

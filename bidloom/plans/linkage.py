@@ -13,6 +13,7 @@ from bidloom.operators import matching as M
 from bidloom.operators import names, rounds, scan
 from bidloom.plans.queries import query
 from bidloom.session import table
+from bidloom.stages import keep
 
 # Windows of a provider
 
@@ -141,3 +142,17 @@ def match_input(spark, d):
     found = names.candidates(rows.where("NOT is_header").select("name"), catalog.select("catalog_item_id", "name"), 3)
     texts = M.match_input(rows.drop("quantity").withColumnRenamed("shown", "quantity"), catalog, found)
     return texts.select("submission_id", "n_items", "n_catalog", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("named", """--with p AS (SELECT bid_id, concat_ws(':', bid_id, replace(lower(name), ' ', '')) AS id, count(*) AS n FROM named WHERE NOT is_header GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) >= 2)
+  SELECT id AS cluster_id, CASE WHEN bid_id % 3 = 0 THEN 'rejected' ELSE 'pending' END AS status, n AS n_members FROM p UNION ALL SELECT id || ' #2', 'rejected', n FROM p WHERE bid_id % 3 = 0 AND bid_id % 2 = 0
+  UNION ALL SELECT id || CASE WHEN bid_id % 2 = 0 THEN ' #3' ELSE ' #2' END, 'pending', n FROM p WHERE bid_id % 3 = 0""")
+def clustering_reruns(spark, d):
+    """Three runs over a bid: a third of the bids reject what the first finds, half of those also what the second finds."""
+    m = BidModel(spark, d)
+    rows = m.members_all.withColumn("vendor_id", F.col("l_suppkey"))
+    found, members = rows.select("bid_id", F.lit("").alias("cluster_id"), "name", F.lit("").alias("status")).limit(0), rows.select(F.lit("").alias("cluster_id"), "item_id").limit(0)
+    for reject in ("bid_id % 3 = 0", "bid_id % 6 = 0", "false"):
+        found, members, _ = C.run_clustering(rows, found, members, ["bid_id"])
+        found, members = keep(C.set_status(found, F.expr(f"status = 'pending' AND {reject}"), "rejected"), "clusters"), keep(members, "members")
+    return members.groupBy("cluster_id").agg(F.count("*").alias("n_members")).join(found.select("cluster_id", "status"), "cluster_id")

@@ -281,7 +281,7 @@ def benchmark_deviation(spark, d):
     m = BidModel(spark, d)
     live = P.live_items(m.with_status(m.lines)).where("unit_price > 0").join(m.bids.select("bid_id", "project_id"), "bid_id")
     own = live.groupBy("project_id", F.col("l_partkey").alias("catalog_item_id")).agg(F.min("unit_price").alias("price"))
-    both = own.join(P.benchmark(m.history, m.projects).select("project_id", "catalog_item_id", F.col("min_price").alias("benchmark")), ["project_id", "catalog_item_id"])
+    both = own.join(P.benchmark(m.history, m.projects, own).select("project_id", "catalog_item_id", F.col("min_price").alias("benchmark")), ["project_id", "catalog_item_id"])
     return both.withColumn("deviation", P.deviation(F.col("price"), F.col("benchmark")))
 
 

@@ -98,7 +98,7 @@ _STATUS = "CASE WHEN l_linenumber % 3 = 0 THEN 'confirmed' ELSE 'suggested' END"
 def row_benchmarks(spark, d):
     m = BidModel(spark, d)
     links = m.lines.select("item_id", F.col("l_partkey").alias("catalog_item_id"), F.when(F.col("l_linenumber") % 3 == 0, "confirmed").otherwise("suggested").alias("match_status"))
-    return P.row_benchmarks(P.compare_pivot(_live(spark, d)), links, m.bids, P.benchmark(m.history, m.projects))
+    return P.row_benchmarks(P.compare_pivot(_live(spark, d)), links, m.bids, m.history, m.projects)
 
 
 @query("clusters history bids lines", f"""--with {_OTHERS}, b AS (SELECT pid, catalog_item_id, min(unit_price) AS low FROM h GROUP BY 1, 2),
@@ -110,7 +110,7 @@ def row_benchmarks(spark, d):
 def cluster_benchmarks(spark, d):
     m = BidModel(spark, d)
     found = m.clusters.join(m.bids.select("bid_id", "project_id"), "bid_id").withColumn("representative_item_id", F.col("bid_id").cast("bigint"))
-    return P.cluster_benchmarks(found, P.benchmark(m.history, m.projects), _catalog(spark, d))
+    return P.cluster_benchmarks(found, m.history, m.projects, _catalog(spark, d))
 
 
 # Matching
