@@ -171,12 +171,12 @@ def _document_start(p: Paragraphs) -> np.ndarray:
 def _places(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, p in _blocks(batch, text):
-            chars = np.empty((2, len(p.first)), np.int64)
-            for d in np.unique(p.doc):
-                mine = p.doc == d
-                chars[:, mine] = p.words.char(d, np.stack([p.words.start[p.first[mine]], p.words.end[p.last[mine] - 1]]))
+            w = p.words
+            chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])  # code points before each byte of the block
+            begin = chars[w.bounds[p.doc]]
+            start, end = chars[w.start[p.first]] - begin, chars[w.end[p.last - 1]] - begin
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(a + p.doc)), pa.array(p.first - _document_start(p)), pa.array(p.keys(), pa.binary()), pa.array(p.last - p.first), pa.array(chars[0]), pa.array(chars[1])],
+                [batch.column(0).take(pa.array(a + p.doc)), pa.array(p.first - _document_start(p)), pa.array(p.keys(), pa.binary()), pa.array(p.last - p.first), pa.array(start), pa.array(end)],
                 names=["id", "place", "key", "n_words", "start", "end"],
             )
 

@@ -664,3 +664,20 @@ def test_pii_frame(spark):
     got = pii.find_pii(docs).collect()
     assert [len(r.base) for r in got] == [0, 1, 1, 0] and pii.find_pii(docs.limit(0)).count() == 0
     assert hashlib.sha256(b"email:0:6").hexdigest() == hashlib.sha256(",".join(f"{s.kind}:{s.start}:{s.end}" for s in got[1].base).encode()).hexdigest()
+
+
+def test_paragraph_places_in_short_texts():
+    """Places cost no more than bands do, however many texts a block has."""
+    import time
+
+    rnd = random.Random(1)
+    texts = [" ".join(f"wé{rnd.randrange(999)}" for _ in range(17)) for _ in range(20_000)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "t": texts})
+    took = []
+    for f in (lambda: list(paragraphs._banded(iter([batch]), "t", 4, 2)), lambda: pa.Table.from_batches(paragraphs._places(iter([batch]), "t"))):
+        began = time.process_time()
+        found = f()
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0]
+    for r in found.to_pylist()[::97]:
+        assert len(texts[r["id"]][r["start"] : r["end"]].split()) == r["n_words"]
