@@ -239,12 +239,17 @@ def parse_answers(answered: DataFrame) -> DataFrame:
 
 
 def merge_chunks(parsed: DataFrame, by: str, order: str = "chunk") -> tuple[DataFrame, DataFrame]:
-    """Heads and items of documents that came in chunks. Heads: those of the first chunk, the last chunk's currency that is not empty, how
-    many chunks failed, and status (failed if all did). Items keep the order of chunks and, in them, of the answer; a failed chunk has none."""
-    currency = F.nullif(F.col("doc.currency"), F.lit(""))
+    """Heads and items of documents that came in chunks. Heads: those of the first chunk, the last chunk's currency and currency unit that are
+    not empty, the sum of the items that are no headings (amount_summary's subtotal) and their number, how many chunks failed, and status
+    (failed if all did). Items keep the order of chunks and, in them, of the answer; a failed chunk has none."""
+    currency, unit = F.nullif(F.col("doc.currency"), F.lit("")), F.nullif(F.col("doc.currency_unit"), F.lit(""))
+    leaves = F.filter(F.coalesce("doc.items", F.array()), lambda i: ~F.coalesce(i["is_category_header"], F.lit(False)))
     heads = parsed.groupBy(by).agg(
         F.min_by("doc.vendor_name", F.when(F.col("doc").isNotNull(), F.col(order))).alias("vendor_name"),
         F.max_by(currency, F.when(currency.isNotNull(), F.col(order))).alias("currency"),
+        F.max_by(unit, F.when(unit.isNotNull(), F.col(order))).alias("currency_unit"),
+        F.sum(F.aggregate(leaves, F.lit(0.0), lambda s, i: s + F.coalesce(i["amount"], F.lit(0.0)))).alias("items_sum"),
+        F.sum(F.size(leaves)).alias("n_leaves"),
         F.count_if(F.col("error").isNotNull()).alias("n_failed"),
         F.count("*").alias("n_chunks"),
     )

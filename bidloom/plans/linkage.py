@@ -13,7 +13,8 @@ from bidloom.operators import matching as M
 from bidloom.operators import names, rounds, scan
 from bidloom.plans.queries import query
 from bidloom.session import table
-from bidloom.stages import keep
+from bidloom.stages import keep, new_path
+from bidloom.streaming.extraction import EVENTS, follow_extraction, latest
 
 # Windows of a provider
 
@@ -156,3 +157,19 @@ def clustering_reruns(spark, d):
         found, members, _ = C.run_clustering(rows, found, members, ["bid_id"])
         found, members = keep(C.set_status(found, F.expr(f"status = 'pending' AND {reject}"), "rejected"), "clusters"), keep(members, "members")
     return members.groupBy("cluster_id").agg(F.count("*").alias("n_members")).join(found.select("cluster_id", "status"), "cluster_id")
+
+
+# Extraction as a stream
+
+
+@query("", """WITH a AS (SELECT event_id // 4 AS s, event_id % 4 AS chunk, ts, event_id % 7 = 3 AS bad FROM events WHERE event_type <> 'click'),
+  g AS (SELECT s, count(*) FILTER (NOT bad) AS n_done, count(*) FILTER (bad) AS n_failed, max(ts) AS last FROM a GROUP BY 1), w AS (SELECT max(ts) - INTERVAL 1 MINUTE AS mark FROM a)
+  SELECT CAST(s AS VARCHAR) AS submission_id, n_done, n_failed, CASE WHEN n_done + n_failed = 4 THEN CASE WHEN n_done > 0 THEN 'done' ELSE 'failed' END WHEN date_trunc('millisecond', last) + INTERVAL 2 DAY <= date_trunc('millisecond', mark) THEN 'failed' ELSE 'processing' END AS status FROM g, w""")
+def extraction_progress(spark, d):
+    """All events as answers of a provider, four to a submission, some of which never come and some of which are no document, followed as a stream."""
+    n = F.col("event_id")
+    rows = table(spark, d, "events").where("event_type <> 'click'").select(F.floor(n / 4).cast("string").alias("submission_id"), F.lit(4).alias("n_chunks"), (n % 4).cast("int").alias("chunk"), F.col("ts").cast("timestamp").alias("at"), F.when(n % 7 == 3, "sorry").otherwise('{"items": [{"name_raw": "a", "amount": 1}]}').alias("answer"), F.lit(None).cast("string").alias("error"))
+    folder = new_path(spark, "extraction")
+    rows.write.parquet(f"{folder}/answers")
+    follow_extraction(spark, f"{folder}/answers", f"{folder}/events", f"{folder}/checkpoint", retries=0, patience="2 days").awaitTermination()
+    return latest(spark.read.schema(EVENTS).parquet(f"{folder}/events")).select("submission_id", F.col("n_done").cast("long").alias("n_done"), F.col("n_failed").cast("long").alias("n_failed"), "status")

@@ -200,19 +200,20 @@ def cluster_input(spark, d):
 # Extraction as a job
 
 
-@query("", """WITH c AS (SELECT user_id AS doc, event_id AS chunk, event_id % 7 = 3 AS bad, CASE WHEN event_id % 5 < 2 THEN ['USD', 'EUR'][event_id % 2 + 1] ELSE '' END AS currency FROM events)
-  SELECT doc, arg_max(currency, chunk) FILTER (NOT bad AND currency <> '') AS currency, 'v' || min(chunk) FILTER (NOT bad) AS vendor_name, count(*) FILTER (bad) AS n_failed,
-  CASE WHEN bool_and(bad) THEN 'failed' ELSE 'done' END AS status, 2 * count(*) FILTER (NOT bad) AS n_items FROM c GROUP BY 1""")
+@query("", """WITH c AS (SELECT user_id AS doc, event_id AS chunk, event_id % 7 = 3 AS bad, CASE WHEN event_id % 5 < 2 THEN ['USD', 'EUR'][event_id % 2 + 1] ELSE '' END AS currency, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'unit' || (event_id % 4) END AS unit, floor(value) AS v FROM events)
+  SELECT doc, arg_max(currency, chunk) FILTER (NOT bad AND currency <> '') AS currency, arg_max(unit, chunk) FILTER (NOT bad AND unit <> '') AS currency_unit, 'v' || min(chunk) FILTER (NOT bad) AS vendor_name, count(*) FILTER (bad) AS n_failed,
+  CASE WHEN bool_and(bad) THEN 'failed' ELSE 'done' END AS status, 3 * count(*) FILTER (NOT bad) AS n_items, 2 * count(*) FILTER (NOT bad) AS n_leaves, CAST(coalesce(sum(v + 2) FILTER (NOT bad), 0) AS DOUBLE) AS items_sum FROM c GROUP BY 1""")
 def merged_chunks(spark, d):
-    """Answers of chunks, every seventh of which is no document: heads, currencies and items merged in order."""
+    """Answers of chunks, every seventh of which is no document: heads, currencies, sums and items merged in order."""
     n = F.col("event_id")
     currency = F.when(n % 5 < 2, F.element_at(F.array(F.lit("USD"), F.lit("EUR")), (n % 2 + 1).cast("int"))).otherwise("")
-    item = F.lit('{"name_raw": "a", "amount": 1}, {"name_raw": "b", "amount": 2}')
-    answer = F.when(n % 7 == 3, "sorry").otherwise(F.concat(F.lit('```json\n{"vendor_name": "v'), n.cast("string"), F.lit('", "currency": "'), currency, F.lit('", "items": ['), item, F.lit("]}\n```")))
+    unit = F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("unit"), (n % 4).cast("string")))
+    item = F.concat(F.lit('{"name_raw": "a", "amount": '), F.floor("value").cast("string"), F.lit('}, {"name_raw": "h", "is_category_header": true, "amount": 99}, {"name_raw": "b", "amount": 2}'))
+    answer = F.when(n % 7 == 3, "sorry").otherwise(F.concat(F.lit('```json\n{"vendor_name": "v'), n.cast("string"), F.lit('", "currency": "'), currency, F.lit('", "currency_unit": "'), unit, F.lit('", "items": ['), item, F.lit("]}\n```")))
     chunks = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), n.alias("chunk"), answer.alias("answer"), F.lit(None).cast("string").alias("error"))
     heads, items = X.merge_chunks(X.parse_answers(chunks), "doc_id")
     counts = items.groupBy("doc_id").agg(F.count("*").alias("n_items"))
-    return heads.join(counts, "doc_id", "left").select(F.col("doc_id").alias("doc"), "currency", "vendor_name", "n_failed", "status", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))
+    return heads.join(counts, "doc_id", "left").select(F.col("doc_id").alias("doc"), "currency", "currency_unit", "vendor_name", "n_failed", "status", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "n_leaves", "items_sum")
 
 
 @query("", """WITH e AS (SELECT *, event_id // 4 AS row FROM events WHERE event_id % 4 = 0)
