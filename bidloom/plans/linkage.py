@@ -11,8 +11,9 @@ from bidloom.adapter import BidModel
 from bidloom.operators import clusters as C
 from bidloom.operators import matching as M
 from bidloom.operators import names, rounds, scan
-from bidloom.plans.queries import query
+from bidloom.plans.queries import _sheet, query
 from bidloom.session import table
+from bidloom.sources.sheets import header_preview
 from bidloom.stages import keep, new_path
 from bidloom.streaming.extraction import EVENTS, follow_extraction, latest
 
@@ -173,3 +174,17 @@ def extraction_progress(spark, d):
     rows.write.parquet(f"{folder}/answers")
     follow_extraction(spark, f"{folder}/answers", f"{folder}/events", f"{folder}/checkpoint", retries=0, patience="2 days").awaitTermination()
     return latest(spark.read.schema(EVENTS).parquet(f"{folder}/events")).select("submission_id", F.col("n_done").cast("long").alias("n_done"), F.col("n_failed").cast("long").alias("n_failed"), "status")
+
+
+# Sheets
+
+
+@query("", """WITH s AS (SELECT CONCAT('parts-', p_partkey // 40) AS file, p_partkey % 40 + 1 AS row, coalesce(CASE WHEN p_partkey % 3 = 0 THEN p_type END, '') AS a, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_brand END, '') AS b, p_name AS c FROM part),
+  h AS (SELECT file, arg_min(row, (-((a <> '')::INT + (b <> '')::INT + 1), row)) AS header_row FROM s WHERE row <= 6 GROUP BY 1),
+  x AS (SELECT s.file, h.header_row, s.row, list_filter([CASE WHEN k.a <> '' THEN s.a END, CASE WHEN k.b <> '' THEN s.b END, s.c], lambda v: v IS NOT NULL) AS line FROM s JOIN h ON h.file = s.file JOIN s k ON k.file = h.file AND k.row = h.header_row WHERE s.row BETWEEN h.header_row AND h.header_row + 4)
+  SELECT file, header_row, array_to_string(arg_min(line, row), '|') AS heads, string_agg(CASE WHEN row > header_row THEN array_to_string(line, '|') END, '/' ORDER BY row) AS preview FROM x GROUP BY 1, 2""")
+def sheet_preview(spark, d):
+    """The likely header of each sheet of parts and the four rows below it."""
+    cells = _sheet(spark, d).select("file", F.lit("s").alias("sheet"), "row", F.posexplode(F.array("cat1", "cat2", "name")).alias("col", "value"))
+    shown = header_preview(cells)
+    return shown.select("file", "header_row", F.array_join(F.col("columns")["value"], "|").alias("heads"), F.array_join(F.transform("preview", lambda r: F.array_join(r, "|")), "/").alias("preview"))
