@@ -7,7 +7,8 @@ all they hold; visibility: hidden leaves out the text but keeps its place. What
 in pre, blocks stand on lines of their own, paragraphs, headings, tables and outer lists are parted by a blank line, list items carry
 a dash or their number and are indented by their depth, and the cells of a table are padded so that columns align.
 
-A cell of several lines stands on as many, beside its neighbours; a table with one cell in each row is laid out as its cells are. So that
+A cell of several lines stands on as many, beside its neighbours; one that spans rows keeps its column free in those below, to the end of
+their group at most; wide characters count as two columns. A table with one cell in each row is laid out as its cells are. So that
 a page cannot blow up with the square of its size, a table padded to more than `PADDING` times its text goes without the padding of its
 widest columns.
 Null or empty pages give an empty text. Very long pages are read whole; work is linear in the page but for the padding, and nesting needs
@@ -58,6 +59,9 @@ ENDS = {
     "rp": (_set("rt rp"), _set("ruby")),
 }
 PADDING = 16
+MOST_ROWS = 65_534
+_WIDE = re.compile("[\u1100-\u115f\u2e80-\u303e\u3041-\ua4cf\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff00-\uff60\uffe0-\uffe6\U0001f300-\U0001faff\U00020000-\U0003fffd]")
+_MARKS = re.compile("[\u0300-\u036f\u200b-\u200d\u2060\ufeff]")
 BARRIERS = _set("table td th caption html template body")
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+(?:[\"'=][^>]*+)?)>")
@@ -111,7 +115,7 @@ def tokens(page: str):
 class Frame:
     """An open element. A block has lines of its own; an inline one writes to the block around it."""
 
-    __slots__ = ("tag", "lines", "inline", "gap", "rows", "number", "shown", "visible", "pre", "block", "span", "depth", "marker")
+    __slots__ = ("tag", "lines", "inline", "gap", "rows", "number", "shown", "visible", "pre", "block", "span", "depth", "marker", "down")
 
     def __init__(self, tag: str, parent: Frame | None):
         self.tag, self.block = tag, tag in BLOCKS or parent is None
@@ -119,7 +123,7 @@ class Frame:
         self.inline: list[tuple[str, bool]] = []
         self.gap = 0
         self.rows: list = []
-        self.number, self.span, self.marker = 1, 1, None
+        self.number, self.span, self.down, self.marker = 1, 1, 1, None
         self.shown = parent.shown if parent else True
         self.visible = parent.visible if parent else True
         self.pre = (parent.pre if parent else False) or tag in ("pre", "textarea", "xmp")
@@ -234,6 +238,8 @@ class Layout:
                 f.visible = value not in ("hidden", "collapse")
         if f.tag == "details" and "open" not in own:
             f.number = -1
+        if f.tag in ("td", "th") and re.fullmatch(r"[0-9]{1,9}", own.get("rowspan", "")):
+            f.down = int(own["rowspan"]) or MOST_ROWS
         number = own.get("start" if f.tag == "ol" else "value" if f.tag == "li" else "colspan" if f.tag in ("td", "th") else "", "")
         if re.fullmatch(r"-?[0-9]{1,9}", number):
             if f.tag == "ol":
@@ -276,7 +282,7 @@ class Layout:
         parent = self.blocks[-1]
         if f.tag in ("td", "th") and parent.tag == "tr":
             if f.shown:
-                parent.rows.append((f.lines, f.span))
+                parent.rows.append((f.lines, f.span, f.down))
             return
         if f.tag == "tr":
             around = parent if parent.tag in ("table", "tbody", "thead", "tfoot") else None
@@ -288,7 +294,7 @@ class Layout:
             f.put(_table([f.rows]), 0)
         elif f.tag in ("tbody", "thead", "tfoot") and parent.tag == "table":
             parent.put(f.lines, 0)
-            parent.rows += f.rows
+            parent.rows += [None, *f.rows, None]  # spans of rows end with their group
             return
         elif f.tag == "table" or f.rows:
             f.put(_table(f.rows), 0)
@@ -309,34 +315,67 @@ class Layout:
         return self.stack[0].lines
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows with the cells of a column under each other; a cell of several lines stands on as many, beside its neighbours."""
-    rows = [r for r in rows if any(lines for lines, _ in r)]
-    if all(len(r) == 1 for r in rows):  # nothing to align: a table that only frames what it holds
-        return [x for r in rows for lines, _ in r for x in lines]
-    widths: dict[int, int] = {}
+def width(text: str) -> int:
+    """Columns that a text takes: wide characters take two, marks on others none."""
+    return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text)) - len(_MARKS.findall(text))
+
+
+def _placed(rows: list[list[tuple[list[str], int, int]] | None]) -> list[list[tuple[int, list[str], int]]]:
+    """Cells of each row with their column: those of rows above that span this one are passed over. None ends a group of rows."""
+    out, open_ = [], []  # open_: [first column, end, rows left], in order of columns
     for r in rows:
-        at = 0
-        for lines, span in r:
-            if span == 1 and lines:
-                widths[at] = max(widths.get(at, 0), *map(len, lines))
+        if r is None:
+            open_ = []
+            continue
+        at, k, placed, new = 0, 0, [], []
+        for lines, span, down in r:
+            while k < len(open_) and open_[k][0] < at + 1:
+                at, k = max(at, open_[k][1]), k + 1
+            placed.append((at, lines, span))
+            if down > 1:
+                if new and new[-1][1] == at and new[-1][2] == down - 1:
+                    new[-1][1] = at + span
+                else:
+                    new.append([at, at + span, down - 1])
             at += span
-    high = sum(max(len(lines) for lines, _ in r) for r in rows)
-    bound = PADDING * (sum(len(x) for r in rows for lines, _ in r for x in lines) + 4096)
+        out.append(placed)
+        for x in open_:
+            x[2] -= 1
+        open_ = [x for x in open_ if x[2] > 0]
+        open_ = sorted(open_ + new) if new else open_
+    return out
+
+
+def _table(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str]:
+    """Rows with the cells of a column under each other; a cell of several lines stands on as many, beside its neighbours, and one that spans
+    several rows stands in the first."""
+    placed = [r for r in _placed(rows) if any(lines for _, lines, _ in r)]
+    if all(len(r) == 1 and r[0][0] == 0 for r in placed):  # nothing to align: a table that only frames what it holds
+        return [x for r in placed for _, lines, _ in r for x in lines]
+    widths: dict[int, int] = {}
+    for r in placed:
+        for at, lines, span in r:
+            if span == 1 and lines:
+                widths[at] = max(widths.get(at, 0), *map(width, lines))
+    high = sum(max(len(lines) for _, lines, _ in r) for r in placed)
+    bound = PADDING * (sum(len(x) for r in placed for _, lines, _ in r for x in lines) + 4096)
     while widths and high * sum(widths.values()) > bound:
         del widths[max(widths, key=widths.__getitem__)]
+    columns = sorted({0} | {c for r in placed for at, _, span in r for c in (at, at + span)} | set(widths) | {c + 1 for c in widths})
+    begin, x = {}, 0  # where each column begins
+    for c, after in zip(columns, [*columns[1:], columns[-1]], strict=True):
+        begin[c] = x
+        x += widths.get(c, 0) + 2 * (after - c) if after > c else 0
     out = []
-    for r in rows:
-        for k in range(max(len(lines) for lines, _ in r)):
-            at, gap, parts = 0, 0, []
-            for lines, span in r:
-                width = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
+    for r in placed:
+        for k in range(max(len(lines) for _, lines, _ in r)):
+            x, parts = 0, []
+            for at, lines, _ in r:
                 text = lines[k] if k < len(lines) else ""
                 if text:
+                    gap = max(begin[at] - x, 2 if parts else 0)
                     parts += [" " * gap, text]
-                    gap = 0
-                gap += max(0, width - len(text)) + 2
-                at += span
+                    x += gap + width(text)
             out.append("".join(parts))
     return out
 

@@ -6,8 +6,9 @@ digits that pass Luhn) and telephone numbers (10 to 15 digits after a plus). A m
 Disguises. Transducers rewrite a text step by step and keep for each character the source characters it stands for:
  1. homoglyphs: letters, digits and signs that look like ASCII ones become those; invisible characters vanish;
  2. spelled digits (English, German, French, Spanish): runs of at least four digit words or digits, with plus, dot, point and dash
-    between them, become figures;
- 3. at and dot: bracketed ones anywhere, bare ones in the form `name at host dot domain`, and spaces around @ before a domain.
+    between them, become figures; full stops between the words are dots if there are three of them, as in an IP, and else mere separators;
+ 3. at and dot in these languages: bracketed ones anywhere, bare ones in the form `name at host dot domain`, and spaces around @ before a
+    domain. A bare point, punto or punkt parts a host only where it has no other dot yet.
 The base detectors then run on the rewritten text, and their spans are mapped back. A span is added unless a base span of its kind covers
 it: one that only holds a base span's part of an identifier is whole beside it. Spans may overlap. A text without a disguise's traces is not rewritten.
 
@@ -98,12 +99,16 @@ _NAMED = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _WHITE = re.compile(r"\s")
 _RUN = re.compile(rf"(?i)(?<![^\W_])(?:(?:{'|'.join(JOINTS)})[\s,(-]+|\+\s*)?(?:{_NAMED}|[0-9])(?:[\s,()-]*(?:(?<![^\W_])(?:{_NAMED}|{'|'.join(JOINTS)})(?![^\W_])|[0-9.])){{3,}}(?![^\W_])")
 _TOKEN = re.compile(rf"(?i){_NAMED}|{'|'.join(JOINTS)}|[0-9.+]")
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_NAMED})[\s,-]+(?:{_NAMED}|{'|'.join(JOINTS)}|[0-9])(?![^\W_])|[0-9][\s.,()-]++(?:{_NAMED})(?![^\W_])")
-_BRACKET = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*+(at|@|dot|\.)\s*+[\])}>]\s*+")
-_BARE = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])(\s++at\s++)(?=[A-Za-z0-9-]++(?:\s++dot\s++|\.)[A-Za-z0-9-])")
+_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_NAMED})[\s.,()-]+(?:{_NAMED}|{'|'.join(JOINTS)}|[0-9])(?![^\W_])|[0-9][\s.,()-]++(?:{_NAMED})(?![^\W_])")
+# The words for @, each with those for the dot that go with it.
+AT_DOT = {"at": ("dot", "punkt"), "arroba": ("punto", "dot"), "arobase": ("point", "dot"), "klammeraffe": ("punkt", "dot")}
+_AT_WORDS, _DOT_WORDS = "|".join(AT_DOT), "|".join(sorted({d for dots in AT_DOT.values() for d in dots}))
+_BRACKET = re.compile(rf"(?i)(?:(?<!\s)\s++)?[\[({{<]\s*+({_AT_WORDS}|@|{_DOT_WORDS}|\.)\s*+[\])}}>]\s*+")
+_BARE = re.compile("(?i)(?<=[A-Za-z0-9_%+-])(\\s++(?:" + "|".join(f"{a}(?=\\s++[A-Za-z0-9-]++(?:\\s++(?:{'|'.join(dots)})\\s++|\\.)[A-Za-z0-9-])" for a, dots in AT_DOT.items()) + ")\\s++)")
 _WIDE_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:\s++@\s*+|@\s++)(?=[A-Za-z0-9-]++(?:\s++\.\s*+|\.)[A-Za-z]{2})")
 _HOST = re.compile(r"[A-Za-z0-9.-]+")
-_HOST_DOT = re.compile(r"(?i)\s++dot\s++(?=[A-Za-z0-9-])|\s++\.\s*+(?=[A-Za-z]{2})")
+_AT_HOST = re.compile(rf"(?i)@[A-Za-z0-9-]++\s++(?:{_DOT_WORDS})\s++[A-Za-z0-9-]")
+_HOST_DOT = re.compile(rf"(?i)\s++({_DOT_WORDS})\s++(?=[A-Za-z0-9-])|\s++\.\s*+(?=[A-Za-z]{{2}})")
 
 
 class Mapped:
@@ -153,15 +158,16 @@ def _spelled(m: Mapped) -> None:
         if not words or words < 3 and len(tokens) < 10 and _WHITE.search(run[0]):
             continue
         low = run.start()
+        stops = sum(t[0] == "." for t in tokens[1:]) != 3 and any(t[0] == "." for t in tokens)  # more or fewer than an IP has: they only part the words
         for t in tokens:
             word = t[0].lower()
-            changes.append((low, t.end(), DIGIT_WORDS.get(word) or JOINTS.get(word) or word))
+            changes.append((low, t.end(), "" if stops and word == "." else DIGIT_WORDS.get(word) or JOINTS.get(word) or word))
             low = t.end()
     m.rewrite(changes)
 
 
 def _at_and_dot(m: Mapped) -> None:
-    m.rewrite([(x.start(), x.end(), "@" if x[1].lower() in ("at", "@") else ".") for x in _BRACKET.finditer(m.text)])
+    m.rewrite([(x.start(), x.end(), "@" if x[1].lower() in AT_DOT or x[1] == "@" else ".") for x in _BRACKET.finditer(m.text)])
     bare = [(x.start(1), x.end(1), "@") for x in _BARE.finditer(m.text)]
     m.rewrite(bare)
     m.rewrite([(x.start(), x.end(), "@") for x in _WIDE_AT.finditer(m.text)])
@@ -171,7 +177,7 @@ def _at_and_dot(m: Mapped) -> None:
         while True:
             host = _HOST.match(m.text, at)
             dot = host and _HOST_DOT.match(m.text, host.end())
-            if not dot:
+            if not dot or dot[1] and dot[1].lower() != "dot" and "." in host[0]:
                 break
             dots.append((dot.start(), dot.end(), "."))
             at = low = dot.end()
@@ -179,7 +185,7 @@ def _at_and_dot(m: Mapped) -> None:
 
 
 def _is_disguised(t: str) -> bool:
-    return bool(("­" in t or not t.isascii()) and _OTHER.search(t) or _SPELLED.search(t) or _BRACKET.search(t) or _BARE.search(t) or "@" in t and _WIDE_AT.search(t))
+    return bool(("­" in t or not t.isascii()) and _OTHER.search(t) or _SPELLED.search(t) or _BRACKET.search(t) or _BARE.search(t) or "@" in t and (_WIDE_AT.search(t) or _AT_HOST.search(t)))
 
 
 def find(t: str) -> tuple[list[Span], list[Span]]:

@@ -681,3 +681,60 @@ def test_paragraph_places_in_short_texts():
     assert took[1] < 3 * took[0]
     for r in found.to_pylist()[::97]:
         assert len(texts[r["id"]][r["start"] : r["end"]].split()) == r["n_words"]
+
+
+def test_table_spans():
+    """Each cell of a random table with row and column spans begins where its column does; equal columns begin alike."""
+    assert html.render("<table><tr><td rowspan=2>Alpha<td>b<td>x<tr><td>c<td>y</table>") == ["Alpha  b  x", "       c  y"]
+    assert html.render("<table><tr><td rowspan=0>가나<td>b<tr><td>c<tbody><tr><td>z<td>d</table>") == ["가나  b", "      c", "z     d"]
+    rnd = random.Random(12)
+    for _ in range(60):
+        taken, text, spans, n = {}, [], {}, 0
+        for r in range(rnd.randrange(2, 7)):
+            cells, c = [], 0
+            for _ in range(rnd.randrange(1, 5)):
+                while (r, c) in taken:
+                    c += 1
+                wide, down = rnd.choice([1, 1, 1, 2]), rnd.choice([1, 1, 2, 3])
+                if any((r, c + k) in taken for k in range(wide)):
+                    wide = 1
+                name = f"c{n}" + "x" * rnd.randrange(1, 6) + "."
+                n += 1
+                for y in range(down):
+                    for k in range(wide):
+                        taken[r + y, c + k] = name
+                spans[name] = (r, c, wide)
+                cells.append(f"<td colspan={wide} rowspan={down}>{name}")
+                c += wide
+            text.append("<tr>" + "".join(cells))
+        lines = html.render(f"<table>{''.join(text)}</table>")
+        if all(c == 0 for _, c, _ in spans.values()):
+            continue
+        widths = {}
+        for name, (_, c, wide) in spans.items():
+            if wide == 1:
+                widths[c] = max(widths.get(c, 0), len(name))
+        for name, (r, c, _) in spans.items():
+            begin = sum(widths.get(k, 0) + 2 for k in range(c))
+            before = [lines[r].index(x) + len(x) + 2 for x, (q, a, _) in spans.items() if q == r and a < c]
+            assert lines[r].index(name) == max([begin, *before])  # a spanning cell that is wider than its columns moves what follows
+
+
+
+def test_disguises_in_four_languages():
+    def texts(t):
+        return [(pii.KINDS[k], t[a:b]) for a, k, b in pii.find(t)[1]]
+
+    assert texts("mail jane arroba example punto com hoy") == [("email", "jane arroba example punto com")]
+    assert texts("an jane at example punkt de senden") == [("email", "jane at example punkt de")]
+    assert texts("à jane arobase example point fr merci") == [("email", "jane arobase example point fr")]
+    assert texts("jane [arroba] example (punto) com") == [("email", "jane [arroba] example (punto) com")]
+    assert texts("jane@example punto com") == [("email", "jane@example punto com")]
+    assert texts("écrivez à a@b.fr point final") == [("email", "a@b.fr")]
+    for prose in ("we arrived at exit point blank", "look at this point now", "el punto com", "ein Punkt de Mire", "(punto) y (point)"):
+        assert texts(prose) == []
+    number = "+1.four.one.five.five.five.five.zero.one.two.three"
+    assert texts(f"call {number} now") == [("phone", number)]
+    assert [k for k, _ in texts("+1 (four)(one)(five) (five)(five)(five) (zero)(one)(two)(three)")] == ["phone"]
+    assert texts("ping one nine two dot one six eight dot zero dot one") == [("ip", "one nine two dot one six eight dot zero dot one")]
+    assert texts("host one.two.three.four up") == [("ip", "one.two.three.four")]
