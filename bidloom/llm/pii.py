@@ -184,8 +184,17 @@ def _at_and_dot(m: Mapped) -> None:
     m.rewrite(dots)
 
 
+# What a text in small letters must hold for a transducer to find anything; each begins with a set of characters, which is quick to look for.
+_SOME_SPELLED = re.compile(rf"(?:{_NAMED})[\s.,()-]+(?:{_NAMED}|{'|'.join(JOINTS)}|[0-9])|[0-9][\s.,()-]+(?:{_NAMED})")
+_SOME_BRACKET = re.compile(rf"[\[({{<]\s*+(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)\s*+[\])}}>]")
+_SOME_BARE = re.compile("\\s(?:" + "|".join(f"{a}\\s++[a-z0-9-]++(?:\\s++(?:{'|'.join(dots)})\\s|\\.)" for a, dots in AT_DOT.items()) + ")")
+
+
 def _is_disguised(t: str) -> bool:
-    return bool(("­" in t or not t.isascii()) and _OTHER.search(t) or _SPELLED.search(t) or _BRACKET.search(t) or _BARE.search(t) or "@" in t and (_WIDE_AT.search(t) or _AT_HOST.search(t)))
+    if ("\xad" in t or not t.isascii()) and _OTHER.search(t) or "@" in t and (_WIDE_AT.search(t) or _AT_HOST.search(t)):
+        return True
+    low = t.lower()
+    return bool(_SOME_SPELLED.search(low) and _SPELLED.search(t) or _SOME_BRACKET.search(low) or _SOME_BARE.search(low) and _BARE.search(t))
 
 
 def find(t: str) -> tuple[list[Span], list[Span]]:
