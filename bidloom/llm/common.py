@@ -2,53 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bidloom.operators.graph import components, is_small, join_skewed  # noqa: F401  used through this module
 from bidloom.session import ship
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, as in tests on one machine, a new folder in /tmp."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = sc.getCheckpointDir()
-    if not folder:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses; it is removed when the driver ends."""
-    ship(spark)
-    path = f"{shared_folder(spark)}/bidloom-{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, lineage cut, whole when executors are lost."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table in the shared folder that nothing reads any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+from bidloom.stages import keep, new_path, remove  # noqa: F401  used through this module
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -84,48 +47,6 @@ def map_documents(
     return docs.mapInArrow(run, schema)
 
 
-def is_small(df: DataFrame, rows: int) -> bool:
-    """Whether df, a kept table, has so few rows that it may be broadcast. At most rows + 1 of them are counted."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def semi_join(left: DataFrame, right: DataFrame, on: list[str], most: int = 200_000) -> DataFrame:
     """Rows of left with a partner in right, a kept table of keys: broadcast up to `most` rows, shuffled beyond."""
     return left.join(F.broadcast(right) if is_small(right, most) else right, on, "left_semi")
-
-
-def join_skewed(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int | None = None) -> DataFrame:
-    """left joined to right, a kept table with one row for each key and in `count` the number of rows that left has of it. left is read
-    twice, and once more to count its rows if they are not given.
-
-    Keys with more than a 100,000th of left's rows (100 at least), of which there are 100,000 at most, are broadcast; the others, none of
-    which fills a task, are shuffled. Left's rows with other keys are dropped.
-    """
-    most = max(100, (left.count() if rows is None else rows) // 100_000)
-    hot = F.broadcast(right.where(F.col(count) > most))
-    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(right.where(F.col(count) <= most), on))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for each node of an undirected graph, root being the smallest node that can be reached.
-
-    Alternates large-star and small-star steps, which halve distances without ever gathering a node's whole neighbourhood: each is
-    one aggregate of minima and one join, in which the centres of large stars are broadcast. Every step is kept in the shared folder.
-    """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = keep(now, "edges")
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = keep(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
-        large = join_skewed(both.where("v > u"), low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = keep(large, "large-star")
-        low = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        small = join_skewed(large, low, ["u"], "n").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        small = keep(small, "small-star")
-        same = small.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        before = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        now = small
-        if same == before:
-            break
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
