@@ -102,34 +102,31 @@ def match_similar(items: DataFrame, catalog: DataFrame, least: float = 0.5) -> D
     return joined.select("item_id", "catalog_item_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-#: Grams in at most so many catalog names find candidates first; a name that they don't settle meets all of its grams.
-RARE = 1000
-
-
-def candidates(names: DataFrame, catalog: DataFrame, k: int = 3, rare: int = RARE) -> DataFrame:
+def candidates(names: DataFrame, catalog: DataFrame, k: int = 3, first: int = 2) -> DataFrame:
     """The k likeliest catalog items (name, catalog_item_id, score, place) of each different name. score: 1,000,000 by the number of
-    catalog names that have a gram, whole, summed over the grams that both names have; ties: the least id. Only items that share a gram count.
+    catalog names that have a gram, whole, summed over the grams that both names have; ties: the least id. Only scores above 0 count.
 
-    Names meet the postings of their rare grams. A catalog item that shares none of these scores at most the sum of the others, so where
-    the k-th best is above that, the list is exact; the remaining names meet all postings. Both ways give the same lists.
+    A name first meets the postings of its `first` rarest grams. The k-th best score found so is one that the k-th best must reach, and an item
+    that shares only the most frequent grams can't, if their scores together stay below it. So the name then meets the postings of its
+    other grams, the rarest first, up to these; most names need none of them. The lists are exact whatever `first` is.
     """
-    sets = catalog.select("catalog_item_id", grams(F.col("name")).alias("cg"))
-    posted = sets.select("catalog_item_id", "cg", F.explode("cg").alias("gram"))
+    posted = catalog.select("catalog_item_id", grams(F.col("name")).alias("cg")).withColumn("gram", F.explode("cg"))
     df = keep(posted.groupBy("gram").agg(F.count("*").alias("df")), "frequencies").withColumn("w", F.expr("1000000 DIV df"))
     asked = names.select("name").distinct().select("name", F.explode(grams(F.col("name"))).alias("gram")).join(bounded(df, 200_000), "gram")
-    lists = asked.groupBy("name").agg(F.collect_list(F.struct("gram", "w")).alias("ng"), F.coalesce(F.sum(F.when(F.col("df") > rare, F.col("w"))), F.lit(0)).alias("rest"))
-    seldom = asked.where(F.col("df") <= rare).select("name", "gram")
-    met = seldom.join(posted, "gram").select("name", "catalog_item_id", "cg", "gram", F.lit(1).alias("one"))
-    first = Window.partitionBy("name", "catalog_item_id")
-    met = met.withColumn("least", F.min("gram").over(first)).where("gram = least").join(lists.select("name", "ng", "rest"), "name")
-    shared = F.filter("ng", lambda g: F.array_contains(F.col("cg"), g["gram"]))
-    met = met.select("name", "catalog_item_id", "rest", F.aggregate(shared, F.lit(0).cast("long"), lambda s, g: s + g["w"]).alias("score"))
-
-    def top(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "catalog_item_id"))).where(F.col("place") <= k)
-
-    early = keep(top(met), "early")
-    settled = early.where(F.col("place") == k).where("score > rest").select("name").unionByName(lists.where("rest = 0").select("name")).distinct()
-    settled = keep(settled, "settled")
-    late = asked.join(settled, "name", "left_anti").join(posted.drop("cg"), "gram").groupBy("name", "catalog_item_id").agg(F.sum("w").alias("score"))
-    return early.join(settled, "name", "left_semi").drop("rest").unionByName(top(late).select("name", "catalog_item_id", "score", "place"))
+    lists = keep(asked.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "w"))).alias("ng")), "asked")
+    zero = F.lit(0).cast("long")
+
+    def top(some: DataFrame) -> DataFrame:
+        """The best of the items that share one of the grams in some (name, ng, gram)."""
+        met = some.join(posted, "gram").dropDuplicates(["name", "catalog_item_id"])
+        shared = F.filter("ng", lambda g: F.array_contains(F.col("cg"), g["gram"]))
+        scored = met.select("name", "catalog_item_id", F.aggregate(shared, zero, lambda s, g: s + g["w"]).alias("score")).where("score > 0")
+        return scored.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "catalog_item_id"))).where(F.col("place") <= k)
+
+    early = keep(top(lists.select("name", "ng", F.explode(F.slice("ng", 1, first)["gram"]).alias("gram"))), "early")
+    reached = lists.join(early.where(F.col("place") == k).select("name", F.col("score").alias("least")), "name", "left")
+    rest = F.transform(F.sequence(F.lit(0), F.size("ng") - 1), lambda i: F.aggregate(F.slice("ng", i + 1, F.size("ng")), zero, lambda s, g: s + g["w"]))
+    needed = F.size(F.filter(rest, lambda r: r >= F.greatest(F.coalesce("least", zero), F.lit(1))))
+    reached = keep(reached.select("name", "ng", needed.alias("needed")), "needed")
+    late = top(reached.where(F.col("needed") > first).select("name", "ng", F.explode(F.slice("ng", F.lit(1), F.col("needed"))["gram"]).alias("gram")))
+    return early.join(reached.where(F.col("needed") <= first).select("name"), "name", "left_semi").unionByName(late)

@@ -124,7 +124,7 @@ def similar_matches(spark, d):
 def catalog_candidates(spark, d):
     """The three likeliest catalog items of each name."""
     catalog = table(spark, d, "part").select(F.col("p_partkey").alias("catalog_item_id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"))
-    return names.candidates(_varied(spark, d), catalog, 3, rare=40)
+    return names.candidates(_varied(spark, d), catalog, 3)
 
 
 _ITEM_LINES = """lines2 AS (SELECT *, '  - item_id=' || item_id || ' | category=' || category || ' | name=' || name || ' | spec=' || brand || ' | qty=' || CAST(CAST(quantity AS BIGINT) AS VARCHAR) || ' EA' AS line FROM named WHERE NOT is_header)"""
