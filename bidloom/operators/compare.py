@@ -90,13 +90,21 @@ def _asked(totals: DataFrame, projects: DataFrame, wanted: DataFrame | None) ->
 def benchmark(history: DataFrame, projects: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """For each project the prices that other projects paid for an item; with wanted (project_id, catalog_item_id) for these pairs only.
 
-    History is summed by item and project once. What others paid is an item's totals less the project's own, and for the lowest and
-    highest price the best of another project: of each item the two lowest and two highest, each from a project of its own, are kept.
+    History is summed by item and project once.
     """
     priced = history.where("unit_price > 0 AND NOT is_deleted")
     sums = priced.groupBy("catalog_item_id", F.col("project_id").alias("source")).agg(
         F.min("unit_price").alias("lo"), F.max("unit_price").alias("hi"), F.sum("unit_price").alias("s"), F.sum("amount").alias("a"), F.count("*").alias("n"), F.count_distinct("bid_id").alias("b")
     )
+    return benchmark_of_sums(sums, projects, wanted)
+
+
+def benchmark_of_sums(sums: DataFrame, projects: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Benchmarks from an item's prices in each project (catalog_item_id, source, lo, hi, s, a, n, b: lowest, highest, sum of prices, sum of amounts, records, bids).
+
+    What others paid is an item's totals less the project's own, and for the lowest and
+    highest price the best of another project: of each item the two lowest and two highest, each from a project of its own, are kept.
+    """
     item = Window.partitionBy("catalog_item_id")
     kinds = ("s", "a", "n", "b")
     rows = sums.withColumns({f"all_{c}": F.sum(c).over(item) for c in kinds} | {"first_lo": F.min(F.struct("lo", "source")).over(item), "first_hi": F.max(F.struct("hi", "source")).over(item)})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions import scalars as S
+from bidloom.stages import keep
 
 UNCLASSIFIED = "(미분류)"
 
@@ -44,6 +45,37 @@ def tree_rollup(items: DataFrame, by: str = "submission_id") -> DataFrame:
     return nodes.groupBy(by, "node", (F.col("level") + 1).alias("depth")).agg(F.sum("amount").alias("amount"), F.sum("n").alias("n_items"), F.bool_or(F.col("deep") == F.col("level") + 1).alias("is_leaf"))
 
 
+def nested_tree(items: DataFrame, by: str = "submission_id", leaf: tuple[str, ...] = ("item_id", "name", "brand", "quantity", "unit_price")) -> DataFrame:
+    """One JSON text for each group: {"tree": nodes, "total", "max_depth"}. A node has name, path, amount, n_items, depth, is_leaf, leaf_data
+    (the last item that ends there, of which the columns in `leaf` and the amount; null elsewhere) and children, in the order of their first items.
+
+    Nodes are summed in one aggregate; their texts are then put together level by level from the deepest, each level one aggregate and one
+    join. A group's text lies in one row, so it is as large as the group's tree. Null amounts count as 0, items without names and paths as
+    unclassified, items of no group are left out.
+    """
+    rows = items.where(f"NOT is_header AND `{by}` IS NOT NULL").withColumn("amount", F.coalesce("amount", F.lit(0)))
+    parts = node_paths(rows)
+    ends = rows.groupBy(by, F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(UNCLASSIFIED))).alias("parts")).agg(
+        F.sum("amount").alias("amount"), F.count("*").alias("n"), F.min("seq").alias("first"), F.max_by(F.struct(*leaf, "amount"), "seq").alias("leaf_data")
+    )
+    size = F.size("parts")
+    each = ends.select(by, "amount", "n", "first", "leaf_data", size.alias("deep"), "parts", F.explode(F.sequence(F.lit(1), size)).alias("depth"))
+    nodes = each.groupBy(by, F.slice("parts", F.lit(1), F.col("depth")).alias("node")).agg(
+        F.sum("amount").alias("amount"), F.sum("n").alias("n_items"), F.min("first").alias("first"), F.first(F.when(F.col("deep") == F.col("depth"), F.col("leaf_data")), True).alias("leaf_data")
+    )
+    nodes = keep(nodes.withColumn("depth", F.size("node")), "nodes")
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    below = nodes.select(by, "node", F.lit("").alias("children")).limit(0)
+    for depth in range(deepest, 0, -1):
+        level = nodes.where(F.col("depth") == depth).join(below, [by, "node"], "left")
+        head = F.to_json(F.struct(F.element_at("node", -1).alias("name"), S.join_path(F.col("node")).alias("path"), "amount", "n_items", "depth", F.isnull("children").alias("is_leaf"), "leaf_data"), {"ignoreNullFields": "false"})
+        text = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]}"))
+        texts = level.select(by, F.slice("node", 1, depth - 1).alias("node"), F.struct("first", F.element_at("node", -1).alias("name"), text.alias("text")).alias("child"))
+        below = texts.groupBy(by, "node").agg(F.array_join(F.array_sort(F.collect_list("child"))["text"], ",").alias("children"))
+    sums = nodes.groupBy(by).agg(F.sum(F.when(F.col("depth") == 1, F.col("amount"))).alias("total"), F.max("depth").alias("max_depth"))
+    return sums.join(below, by).select(by, F.concat(F.lit('{"tree":['), "children", F.lit('],"total":'), F.col("total").cast("string"), F.lit(',"max_depth":'), F.col("max_depth").cast("string"), F.lit("}")).alias("tree"))
+
+
 def _raw_prefixes(path: Column) -> Column:
     """The path, and what stands in it before each `>` and each ` > `."""
     cuts = F.split(path, ">")
