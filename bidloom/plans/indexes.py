@@ -1,10 +1,16 @@
-"""Queries over what is built once and kept: vectors and their cells; each with the SQL that gives the same rows."""
+"""Queries over what is built once and kept: vectors and their cells, totals under changes, nested trees, texts by their runs; each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bidloom.adapter import BidModel
+from bidloom.operators import compare as P
+from bidloom.operators import hierarchy as H
+from bidloom.operators import increments as I
 from bidloom.operators import vectors
+from bidloom.operators.textindex import TextIndex
+from bidloom.operators.textindex import search as text_search
 from bidloom.plans.queries import SQL, query
 from bidloom.session import table
 from bidloom.stages import new_path
@@ -32,3 +38,63 @@ def embedded_top3(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("text"))
     rows = vectors.embed(rows, "text", letters, new_path(spark, "embedded"))
     return vectors.search(vectors.cell_index(rows, "part_id", "vector"), rows.where("part_id % 100 = 0"), "part_id", "vector")
+
+
+# Totals under changes
+
+
+@query("lines", """SELECT submission_id, CAST(sum(CASE WHEN l_linenumber = 2 THEN 2 * amount ELSE amount END) AS BIGINT) AS subtotal, count(*) AS n_items
+  FROM lines WHERE NOT is_header AND l_linenumber <> 3 GROUP BY 1""")
+def subtotals_after_changes(spark, d):
+    """Subtotals of submissions after some items went and some changed; only the changes are read for that."""
+    rows = BidModel(spark, d).lines.where("NOT is_header").select("item_id", "submission_id", "l_linenumber", "amount")
+    kept = I.subtotals(new_path(spark, "subtotals"))
+    kept.apply(rows.withColumn("sign", F.lit(1)), 1)
+    changes = rows.where("l_linenumber IN (2, 3)").withColumns({"amount": F.col("amount") * 2, "is_deleted_row": F.col("l_linenumber") == 3})
+    for _ in range(2):  # a batch that is repeated counts once
+        kept.apply(I.signed(rows, changes, "item_id"), 2)
+    return kept.read(spark).select("submission_id", F.col("amount").alias("subtotal"), F.col("n").alias("n_items"))
+
+
+@query("history", """--with c AS (SELECT project_id AS source, catalog_item_id, bid_id, amount, CASE WHEN l_suppkey % 5 = 1 THEN unit_price + 100 ELSE unit_price END AS unit_price FROM history WHERE NOT is_deleted AND l_suppkey % 5 <> 0)
+  SELECT r_regionkey AS project_id, catalog_item_id, min(unit_price) AS min_price, max(unit_price) AS max_price, CAST(sum(unit_price) AS DOUBLE) / count(*) AS avg_price, CAST(sum(amount) AS DOUBLE) / count(*) AS avg_amount,
+  count(*) AS n_prices, count(DISTINCT bid_id) AS n_bids FROM region JOIN c ON source <> r_regionkey WHERE unit_price > 0 GROUP BY 1, 2""")
+def benchmark_after_changes(spark, d):
+    """Benchmarks after some recorded prices went and some changed, extremes included."""
+    m = BidModel(spark, d)
+    rows = m.history.where("NOT is_deleted")
+    kept = I.prices(new_path(spark, "prices"))
+    kept.apply(rows.withColumn("sign", F.lit(1)), 1)
+    kind = F.pmod("l_suppkey", F.lit(5))
+    changes = rows.where(kind < 2).withColumns({"unit_price": F.col("unit_price") + 100, "is_deleted_row": kind == 0})
+    kept.apply(I.signed(rows, changes, "item_id"), 2)
+    return P.benchmark_of_sums(I.price_sums(kept.compact(spark, new_path(spark, "prices")).read(spark)), m.projects)
+
+
+# Nested trees
+
+_NODE = """'{{"name":"' || {name} || '","path":"' || {path} || '","amount":' || {a} || ',"n_items":' || {n} || ',"depth":{depth},"is_leaf":{is_leaf},"leaf_data":' || {leaf} || ',"children":[' || {children} || ']}}'"""
+_LEAF = """'{"item_id":"' || item_id || '","name":"' || name || '","brand":"' || brand || '","quantity":' || CAST(quantity AS BIGINT) || ',"unit_price":' || unit_price || ',"amount":' || amount || '}'"""
+
+
+@query("named", f"""--with r AS (SELECT *, {{'a': l_orderkey, 'b': l_partkey, 'c': l_linenumber, 'd': amount, 'e': quantity}} AS seq FROM named WHERE NOT is_header),
+  l3 AS (SELECT submission_id, category, brand, name, sum(amount) AS a, count(*) AS n, min(seq) AS f, arg_max({_LEAF}, seq) AS leaf FROM r GROUP BY 1, 2, 3, 4),
+  l2 AS (SELECT submission_id, category, brand, sum(a) AS a, sum(n) AS n, min(f) AS f, string_agg({_NODE.format(name='name', path="category || ' > ' || brand || ' > ' || name", a='a', n='n', depth=3, is_leaf='true', leaf='leaf', children="''")}, ',' ORDER BY f, name) AS t FROM l3 GROUP BY 1, 2, 3),
+  l1 AS (SELECT submission_id, category, sum(a) AS a, sum(n) AS n, min(f) AS f, string_agg({_NODE.format(name='brand', path="category || ' > ' || brand", a='a', n='n', depth=2, is_leaf='false', leaf="'null'", children='t')}, ',' ORDER BY f, brand) AS t FROM l2 GROUP BY 1, 2)
+  SELECT submission_id, '{{"tree":[' || string_agg({_NODE.format(name='category', path='category', a='a', n='n', depth=1, is_leaf='false', leaf="'null'", children='t')}, ',' ORDER BY f, category) || '],"total":' || sum(a) || ',"max_depth":3}}' AS tree FROM l1 GROUP BY 1""")
+def submission_trees(spark, d):
+    """Each submission's tree of items as one JSON text."""
+    return H.nested_tree(BidModel(spark, d).named.withColumn("quantity", F.col("quantity").cast("long")))
+
+
+# Substring search
+
+
+@query("named", "SELECT item_id, name, brand, amount FROM named WHERE NOT is_header AND (name ILIKE '%WIDGET%1_%' OR brand ILIKE '%and#1_%')")
+def indexed_search(spark, d):
+    """Items whose name or brand holds a pattern, found by an index of their texts."""
+    m = BidModel(spark, d)
+    names = TextIndex(new_path(spark, "names")).build(m.parts, "name")
+    brands = TextIndex(new_path(spark, "brands")).build(m.parts, "brand")
+    rows = m.named.where("NOT is_header").select("item_id", "name", "brand", "amount")
+    return text_search(rows, {"name": (names, "WIDGET%1_"), "brand": (brands, "and#1_")})
