@@ -8,12 +8,13 @@ from bidloom.adapter import BidModel
 from bidloom.operators import compare as P
 from bidloom.operators import hierarchy as H
 from bidloom.operators import increments as I
+from bidloom.operators import similarity as V
 from bidloom.operators import vectors
 from bidloom.operators.textindex import TextIndex
 from bidloom.operators.textindex import search as text_search
-from bidloom.plans.queries import SQL, query
+from bidloom.plans.queries import _MEMBERS, SQL, _members, query
 from bidloom.session import table
-from bidloom.stages import new_path
+from bidloom.stages import keep, new_path
 
 # Vectors
 
@@ -98,3 +99,32 @@ def indexed_search(spark, d):
     brands = TextIndex(new_path(spark, "brands")).build(m.parts, "brand")
     rows = m.named.where("NOT is_header").select("item_id", "name", "brand", "amount")
     return text_search(rows, {"name": (names, "WIDGET%1_"), "brand": (brands, "and#1_")})
+
+
+# Texts that are alike
+
+_BOUND = """n AS (SELECT text, c, row_number() OVER (PARTITION BY text, c) AS i FROM (SELECT text, unnest(string_split(text, '')) AS c FROM (SELECT DISTINCT text FROM t))),
+  p AS (SELECT a.text AS anchor, b.text AS text, 2 * count(*) / (length(a.text) + length(b.text)) AS bound FROM (SELECT * FROM n SEMI JOIN (SELECT text FROM t WHERE part_id % 100 = 0) USING (text)) a JOIN n b ON a.c = b.c AND a.i = b.i GROUP BY 1, 2)"""
+
+
+@query("", f"""WITH t AS (SELECT p_partkey AS part_id, p_brand || ' ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || upper(p_type) || ' ' || p_size ELSE '' END AS text FROM part), {_BOUND} SELECT anchor, text FROM p WHERE bound >= 0.8""")
+def reachable_texts(spark, d):
+    """Pairs of parts' texts whose ratio could reach 0.8 by their characters."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), F.concat(F.concat_ws(" ", "p_brand", "p_name"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.upper("p_type"), F.lit(" "), F.col("p_size").cast("string"))).otherwise("")).alias("text"))
+    return V.reachable(rows, rows.where("part_id % 100 = 0"), "text", 0.8)
+
+
+@query("clusters", f"""--with {_MEMBERS}, x AS (SELECT cluster_id, lower(concat_ws(' ', min(name), string_agg(DISTINCT concat_ws(' ', name, brand), ' ' ORDER BY concat_ws(' ', name, brand)))) AS s FROM members GROUP BY 1),
+  t AS (SELECT c.bid_id, c.cluster_id, c.name, c.status, list_transform(range(26), lambda i: CAST(length(s) - length(replace(s, chr(CAST(97 + i AS INTEGER)), '')) AS DOUBLE)) AS v FROM clusters c JOIN x ON x.cluster_id = c.cluster_id),
+  f AS (SELECT bid_id, min(cluster_id) AS anchor_id FROM t GROUP BY 1), p AS (SELECT f.anchor_id, b.cluster_id, b.name, b.status, round(list_cosine_similarity(a.v, b.v), 4) AS similarity FROM f JOIN t a ON a.cluster_id = f.anchor_id JOIN t b ON b.bid_id = f.bid_id AND b.cluster_id <> f.anchor_id),
+  r AS (SELECT *, status <> 'rejected' AND similarity >= 0.55 AS live FROM p), g AS (SELECT *, live AND row_number() OVER (PARTITION BY anchor_id, live ORDER BY similarity DESC, cluster_id) <= 3 AS is_suggested FROM r)
+  SELECT anchor_id, cluster_id, status, similarity, is_suggested, row_number() OVER (PARTITION BY anchor_id ORDER BY is_suggested DESC, similarity DESC, name, cluster_id) AS place FROM g""")
+def cluster_suggestions(spark, d):
+    """The first cluster of each bid beside the bid's others, the three most similar suggested for a merge."""
+    clusters = BidModel(spark, d).clusters.select("bid_id", "cluster_id", F.col("name").alias("representative_name"), "status")
+    texts = V.cluster_text(_members(spark, d)).select("cluster_id", F.lower("text").alias("text"))
+    found = keep(vectors.embed(texts, "text", letters, new_path(spark, "embedded")).join(clusters.select("bid_id", "cluster_id"), "cluster_id"), "vectors")
+    asked = found.groupBy("bid_id").agg(F.min("cluster_id").alias("anchor_id"))
+    base = found.select("bid_id", F.col("cluster_id").alias("anchor_id"), F.col("vector").alias("anchor")).join(asked.select("anchor_id"), "anchor_id")
+    similar = found.join(base, "bid_id").select("anchor_id", "cluster_id", F.round(V.cosine(F.col("anchor"), F.col("vector")), 4).alias("similarity"))
+    return V.suggestions(clusters, asked, similar, ["bid_id"]).select("anchor_id", "cluster_id", "status", "similarity", "is_suggested", "place")

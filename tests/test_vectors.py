@@ -79,3 +79,26 @@ def test_embed_asks_once_and_retries(spark):
     other = vectors.embed(rows, "t", lambda texts: [[1.0]] * len(texts), f"{folder}/cache", model="second")
     assert {r.id: r.vector for r in other.collect()}[6] == [1.0]
     assert vectors.embed(rows.limit(0), "t", provider, f"{folder}/new").isEmpty()
+
+
+def test_threshold_join_equals_all_pairs(spark):
+    r = random.Random(4)
+    words = ["pumpe", "Ventil 20", "rohr", "kabel 3x1,5", "펌프 조립", "😀😀", "motor", "11"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 6))) for _ in range(150)] + ["", "", None, "a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    anchors = rows.where("id % 7 = 0 OR id > 148")
+    for least in (0.55, 0.9):
+        want = {(x.anchor_id, x.id): x.similarity for x in similarity.lexical(rows, anchors, "id", "t", least).collect()}
+        got = similarity.lexical_above(rows, anchors, "id", "t", least).collect()
+        assert {(x.anchor_id, x.id): x.similarity for x in got} == want and len(got) == len(want)
+    pairs = similarity.reachable(rows, anchors, "t", 0.9).count()
+    assert pairs < 0.1 * len(set(texts)) * anchors.select("t").distinct().count()
+    assert similarity.lexical_above(rows.limit(0), anchors, "id", "t").isEmpty()
+
+
+def test_suggestions(spark):
+    clusters = spark.createDataFrame([("b", c, n, s) for c, n, s in [("1", "z", "pending"), ("2", "y", "rejected"), ("3", "x", None), ("4", "w", "held"), ("5", "v", "pending"), ("6", "u", "pending"), ("7", None, "pending")]] + [("other", "8", "q", "pending")], "bid string, cluster_id string, representative_name string, status string")
+    similar = spark.createDataFrame([("1", c, s) for c, s in [("2", 0.99), ("3", 0.6), ("4", 0.6), ("5", 0.7), ("6", 0.56), ("1", 1.0)]], "anchor_id string, cluster_id string, similarity double")
+    asked = spark.createDataFrame([("1",), ("8",)], "anchor_id string")
+    got = similarity.suggestions(clusters, asked, similar, ["bid"]).orderBy("place").collect()
+    assert [(x.cluster_id, x.is_suggested) for x in got] == [("5", True), ("4", True), ("3", True), ("2", False), ("6", False), ("7", False)]
