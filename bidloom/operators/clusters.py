@@ -176,6 +176,43 @@ def move_items(member_rows: DataFrame, moves: DataFrame) -> tuple[DataFrame, Dat
     return now, member_rows.select("cluster_id").distinct().join(now.select("cluster_id").distinct(), "cluster_id", "left_anti")
 
 
+def create_from_items(member_rows: DataFrame, items: DataFrame, requests: DataFrame, other: str = "기타") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusters, members, emptied) after clusters are made by hand. requests: a row for each item, with cluster_id, bid_id, name, category,
+    place (the order of the requests), item_place (the order in a request) and item_id.
+
+    A cluster's representative is its first item; its category is the one that was given, else that of most of its items (ties: seen first),
+    else `other`. Items leave all other clusters; one that several requests name is the last one's, but counts for the category of each.
+    """
+    counted = items.select("item_id", F.nullif("category", F.lit("")).alias("own")).where("own IS NOT NULL").join(requests.select("cluster_id", "item_id", "item_place"), "item_id")
+    common = counted.groupBy("cluster_id", "own").agg(F.count("*").alias("n"), F.min("item_place").alias("seen")).groupBy("cluster_id").agg(F.min_by("own", F.struct(-F.col("n"), "seen")).alias("own"))
+    heads = requests.groupBy("cluster_id").agg(*[F.max(c).alias(c) for c in ("bid_id", "name", "category")], F.min_by("item_id", "item_place").alias("representative_item_id"))
+    category = F.coalesce(F.nullif("category", F.lit("")), "own", F.lit(other))
+    made = heads.join(common, "cluster_id", "left").withColumns({"category": category, "status": F.lit("pending"), "similarity_summary": F.concat(F.lit("수동 생성 ("), category, F.lit(")"))}).drop("own")
+    own = requests.groupBy("item_id").agg(F.max_by("cluster_id", "place").alias("cluster_id"))
+    first = made.select("cluster_id", F.col("representative_item_id").alias("item_id"), F.lit("representative").alias("first"))
+    rows = own.join(first, ["cluster_id", "item_id"], "left").select("cluster_id", "item_id", F.coalesce("first", F.lit("duplicate")).alias("role"), F.lit(1.0).alias("similarity_score"))
+    now = member_rows.join(own.select("item_id"), "item_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+    emptied = member_rows.select("cluster_id").distinct().join(now.select("cluster_id").distinct(), "cluster_id", "left_anti")
+    return made, now, emptied
+
+
+def exclude_items(member_rows: DataFrame, items: DataFrame, excluded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, items) after items (item_id) leave their clusters: they are unmatched and have no catalog item."""
+    which = excluded.select("item_id").distinct()
+    marked = items.join(which.withColumn("~out", F.lit(True)), "item_id", "left")
+    out = F.coalesce("~out", F.lit(False))
+    now = marked.withColumns({"catalog_item_id": F.when(~out, F.col("catalog_item_id")), "match_status": F.when(out, "unmatched").otherwise(F.col("match_status"))}).drop("~out")
+    return member_rows.join(which, "item_id", "left_anti"), now
+
+
+def delete_clusters(clusters: DataFrame, member_rows: DataFrame, gone: DataFrame, history: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(clusters, members, history, catalog) without the clusters in gone (cluster_id). Accepted ones (catalog_item_id) release their catalog items."""
+    which = gone.select("cluster_id").distinct()
+    accepted = clusters.where("status = 'accepted'").select("cluster_id", "catalog_item_id")
+    left, prices = release(accepted, accepted.join(which, "cluster_id", "left_semi"), history, catalog)
+    return clusters.join(which, "cluster_id", "left_anti"), member_rows.join(which, "cluster_id", "left_anti"), prices, left
+
+
 def set_status(clusters: DataFrame, which: Column, status: str) -> DataFrame:
     """Reject, hold, reopen: a new status for the clusters that `which` names."""
     return clusters.withColumn("status", F.when(which, status).otherwise(F.col("status")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.functions import scalars as S
+
 
 def latest(log: DataFrame, key: list[str], version: str) -> DataFrame:
     """The last row of each key; keys whose last row is a deletion (is_deleted_row) are absent."""
@@ -52,10 +54,23 @@ def nego_items(requests: DataFrame) -> DataFrame:
     return requests.select("item_id", "submission_id", F.col("label").alias("name"), F.lit("조정").alias("category"), amount.alias("amount"), amount.alias("unit_price"), F.lit(1.0).alias("quantity"), F.lit(99999).alias("sort_order"), F.lit(True).alias("is_nego"), F.lit(False).alias("is_header"))
 
 
+NUMBERS = ("quantity", "unit_price", "unit_price_orig", "amount")
+
+
 def insert_items(extracted: DataFrame) -> DataFrame:
-    """Items of extraction results (submission_id, items array) with their place as sort_order; the path falls back to parent_path."""
+    """Items of extraction results (submission_id, items array) with their place as sort_order. The path falls back to parent_path, texts in
+    numeric columns become numbers (null where they hold none), marks of indentation leave the names, a category header is a header, the
+    depth is 0 and the currency KRW where none is given. Columns that the results lack stay absent."""
     rows = extracted.select("submission_id", F.posexplode("items").alias("sort_order", "i")).select("submission_id", "sort_order", "i.*")
-    return rows.withColumn("path", F.coalesce(F.nullif("path", F.lit("")), F.col("parent_path"))) if "parent_path" in rows.columns else rows
+    kinds = dict(rows.dtypes)
+    new = {c: S.clean_number(F.col(c)) for c in NUMBERS if kinds.get(c) == "string"}
+    new |= {"name_raw": S.strip_indent(F.coalesce("name_raw", F.lit("")))} if "name_raw" in kinds else {}
+    new |= {"path": F.coalesce(F.nullif("path", F.lit("")), "parent_path", F.lit(""))} if {"path", "parent_path"} <= kinds.keys() else {}
+    new |= {"is_header": F.coalesce("is_category_header", F.lit(False))} if "is_category_header" in kinds else {}
+    new |= {"is_nego": F.coalesce("is_nego", F.lit(False))} if "is_nego" in kinds else {}
+    new |= {"depth": F.coalesce("depth", F.lit(0))} if "depth" in kinds else {}
+    new |= {"unit_price_currency": F.coalesce("unit_price_currency_in_source", F.lit("KRW"))} if "unit_price_currency_in_source" in kinds else {}
+    return rows.withColumns(new) if new else rows
 
 
 def set_flag(rows: DataFrame, which: DataFrame, key: str, column: str, value: bool | None = None) -> DataFrame:

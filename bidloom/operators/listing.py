@@ -70,6 +70,40 @@ def domain_impact(bids: DataFrame, submissions: DataFrame, history: DataFrame) -
     return joined.groupBy("domain").agg(F.count("*").alias("n_bids"), F.count_distinct("project_id").alias("n_projects"), F.coalesce(F.sum("s"), F.lit(0)).alias("n_submissions"), F.coalesce(F.sum("h"), F.lit(0)).alias("n_prices"))
 
 
+def domain_removal(domains: DataFrame, bids: DataFrame, submissions: DataFrame, categories: DataFrame, catalog: DataFrame) -> DataFrame:
+    """What a domain's change would touch: its bids, their submissions, its active categories and their active catalog items. Domains without any show zeros."""
+    per_bid = submissions.groupBy("bid_id").agg(F.count("*").alias("n"))
+    of_bids = bids.join(per_bid, "bid_id", "left").groupBy("domain").agg(F.count("*").alias("n_bids"), F.sum("n").alias("n_submissions"))
+    active = categories.where("is_active").groupBy("domain").agg(F.count("*").alias("n_categories"))
+    per_category = catalog.where("is_active").groupBy("category_id").agg(F.count("*").alias("n"))
+    of_items = categories.join(per_category, "category_id").groupBy("domain").agg(F.sum("n").alias("n_items"))
+    rows = domains.select("domain").join(of_bids, "domain", "left").join(active, "domain", "left").join(of_items, "domain", "left")
+    return rows.fillna(0, ["n_bids", "n_submissions", "n_categories", "n_items"])
+
+
+def chosen(rows: DataFrame, shared: dict[str, str] | None = None, **wanted: object) -> DataFrame:
+    """rows whose columns have the wanted values; None wants nothing of a column. shared: values that a column may have besides, as ALL for every domain."""
+    for column, value in wanted.items():
+        if value is not None:
+            also = (shared or {}).get(column)
+            rows = rows.where(F.col(column) == value if also is None else F.col(column).isin(value, also))
+    return rows
+
+
+def catalog_search(catalog: DataFrame, categories: DataFrame, search: str | None = None, active: bool = True, **wanted: object) -> DataFrame:
+    """Catalog items with their category's name and parent, whose name or an alias holds the search; active ones alone unless asked otherwise."""
+    rows = chosen(catalog, is_active=True if active else None, **wanted)
+    if search:
+        rows = rows.where(contains("name", search) | contains(F.to_json("aliases"), search))
+    return rows.join(categories.select("category_id", "category_name", "parent_id"), "category_id", "left")
+
+
+def cluster_listing(clusters: DataFrame, member_rows: DataFrame, status: str | None = None, bid_id: object = None) -> DataFrame:
+    """Clusters that have members, with how many; of a status and a bid if asked."""
+    counts = member_rows.groupBy("cluster_id").agg(F.count("*").alias("member_count"))
+    return chosen(clusters, status=status, bid_id=bid_id).join(counts, "cluster_id")
+
+
 def status_histogram(rows: DataFrame, by: list[str], column: str, values: list[str]) -> DataFrame:
     """Rows of each status, zero where there are none, and their total."""
     counts = [F.count_if(F.col(column) == v).alias(f"n_{v}") for v in values]
