@@ -7,8 +7,9 @@ Index. Vectors are scaled to length one. A bounded sample of them gives centres
 nearest centre. A query visits the cells of its nearest centres first. With `exact`, it then visits each other cell that could hold a
 better one: by the triangle inequality of angles a cell's vectors are no nearer than the angle to its centre less the widest angle in it.
 
-Null and zero vectors, and those with an infinite or undefined part, are in no cell and like nothing. Vectors have one length. Rows with
-equal ids each count, a row is never compared to rows of its own id. Cells of any size are cut into blocks, which the queries visit one by one.
+Null and zero vectors, and those with an infinite or undefined part, are in no cell and like nothing. Vectors have one length. Of
+rows with equal ids the greatest vector counts. Equal vectors are one row of the index with their least ids, and are asked for once, so copies
+cost no comparisons. Cells of any size are cut into blocks, which the queries visit one by one.
 """
 
 from __future__ import annotations
@@ -76,9 +77,10 @@ def _unit(vector: Column) -> Column:
 
 @dataclass
 class CellIndex:
-    rows: DataFrame  # id, unit, cell, block: a kept table
+    rows: DataFrame  # ids, unit, cell, block: a kept table
     blocks: DataFrame  # cell, n_blocks: CELLS rows at most
     centres: Broadcast  # (centres, widest angle of each cell)
+    most: int  # ids that are kept of equal vectors
 
 
 def _angles(units: pd.Series, centres: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
@@ -87,14 +89,16 @@ def _angles(units: pd.Series, centres: np.ndarray) -> Iterator[tuple[slice, np.n
         yield part, np.arccos(np.clip(np.stack(units.iloc[part].to_numpy()) @ centres.T, -1, 1))
 
 
-def cell_index(vectors: DataFrame, id: str, vector: str, cells: int | None = None, fit_rows: int = 100_000) -> CellIndex:
-    """The index of vectors. cells: the square root of their number by default, CELLS at most. The centres are fitted on about fit_rows vectors."""
+def cell_index(vectors: DataFrame, id: str, vector: str, cells: int | None = None, fit_rows: int = 100_000, most: int = 16) -> CellIndex:
+    """The index of vectors, for up to most - 1 neighbours. cells: the square root of their number by default, CELLS at most. The centres are fitted on about fit_rows vectors."""
     spark = vectors.sparkSession
-    rows = keep(vectors.select(F.col(id).alias("id"), _unit(F.col(vector)).alias("unit")).where("unit IS NOT NULL"), "units")
+    one = vectors.select(F.col(id).alias("id"), _unit(F.col(vector)).alias("unit")).where("unit IS NOT NULL").groupBy("id").agg(F.max("unit").alias("unit"))
+    least = one.withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy("id"))).where(F.col("rank") <= most)
+    rows = keep(least.groupBy("unit").agg(F.array_sort(F.collect_list("id")).alias("ids")), "units")
     n = rows.count()
     if n == 0:
         empty = rows.withColumns({"cell": F.lit(0), "block": F.lit(0)})
-        return CellIndex(empty, empty.select("cell", F.lit(1).alias("n_blocks")), spark.sparkContext.broadcast((np.zeros((0, 0)), np.zeros(0))))
+        return CellIndex(empty, empty.select("cell", F.lit(1).alias("n_blocks")), spark.sparkContext.broadcast((np.zeros((0, 0)), np.zeros(0))), most)
     wanted = min(CELLS, cells or max(2, int(n**0.5)))
     sample = rows.sample(min(1.0, fit_rows / n), seed=7).select(array_to_vector("unit").alias("features"))
     fitted = KMeans(k=max(2, wanted), distanceMeasure="cosine", maxIter=10, seed=7).fit(sample if n > fit_rows else rows.select(array_to_vector("unit").alias("features")))
@@ -106,21 +110,25 @@ def cell_index(vectors: DataFrame, id: str, vector: str, cells: int | None = Non
         best = [(a.argmin(1), a.min(1)) for _, a in _angles(units, sent.value)]
         return pd.DataFrame({"cell": np.concatenate([b for b, _ in best]), "angle": np.concatenate([a for _, a in best])}) if best else pd.DataFrame({"cell": [], "angle": []})
 
-    placed = keep(rows.withColumn("p", place("unit")).select("id", "unit", "p.cell", "p.angle"), "cells")
+    placed = keep(rows.withColumn("p", place("unit")).select("ids", "unit", "p.cell", "p.angle"), "cells")
     sizes = placed.groupBy("cell").agg(F.max("angle").alias("widest"), F.count("*").alias("n")).collect()  # a row for each cell
     widest = np.full(len(centres), -np.inf)  # no angle is wide enough to reach an empty cell
     for r in sizes:
         widest[r.cell] = r.widest
     blocks = spark.createDataFrame([(r.cell, -(-r.n // BLOCK)) for r in sizes], "cell int, n_blocks int")
-    ready = placed.join(F.broadcast(blocks), "cell").select("id", "unit", "cell", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int").alias("block"))
-    return CellIndex(ready, blocks, spark.sparkContext.broadcast((centres, widest)))
+    ready = placed.join(F.broadcast(blocks), "cell").select("ids", "unit", "cell", F.pmod(F.xxhash64("unit"), F.col("n_blocks")).cast("int").alias("block"))
+    return CellIndex(ready, blocks, spark.sparkContext.broadcast((centres, widest)), most)
 
 
 def search(index: CellIndex, anchors: DataFrame, id: str, vector: str, k: int = 3, least: float = 0.55, probes: int = 8, exact: bool = True) -> DataFrame:
     """(anchor_id, place, other, similarity): the k vectors of the index most like each anchor's, at or above `least`, ties by the least id.
     Anchors visit the cells of their `probes` nearest centres; with exact also all others that could change the result."""
-    sent = index.centres
-    asked = keep(anchors.select(F.col(id).alias("anchor_id"), _unit(F.col(vector)).alias("anchor")).where("anchor IS NOT NULL"), "anchors")
+    if k >= index.most:
+        raise ValueError(f"the index is made for {index.most - 1} neighbours at most")
+    sent, n = index.centres, k + 1  # one may be the anchor itself
+    each = anchors.select(F.col(id).alias("anchor_id"), _unit(F.col(vector)).alias("anchor")).where("anchor IS NOT NULL").groupBy("anchor_id").agg(F.max("anchor").alias("anchor"))
+    each = keep(each, "anchors")
+    asked = keep(each.groupBy("anchor").agg(F.min("anchor_id").alias("head")), "asked")
 
     @F.pandas_udf("array<int>")
     def cells(units: pd.Series, floor: pd.Series, later: pd.Series) -> pd.Series:
@@ -134,18 +142,20 @@ def search(index: CellIndex, anchors: DataFrame, id: str, vector: str, k: int =
         return pd.Series(out if len(centres) else [[] for _ in units], dtype=object)
 
     def best(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("place", F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("similarity"), "other"))).where(F.col("place") <= k)
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("similarity"), "other"))).where(F.col("place") <= n)
 
     def visit(rows: DataFrame, floor: Column, later: bool) -> DataFrame:
-        visits = rows.select("anchor_id", "anchor", F.explode(cells("anchor", floor, F.lit(later))).alias("cell")).join(F.broadcast(index.blocks), "cell")
+        visits = rows.select("head", "anchor", F.explode(cells("anchor", floor, F.lit(later))).alias("cell")).join(F.broadcast(index.blocks), "cell")
         visits = keep(visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks"), "visits")
-        pairs = index.rows.join(bounded(visits), ["cell", "block"]).where(F.col("id") != F.col("anchor_id"))
-        scored = pairs.select("anchor_id", F.col("id").alias("other"), F.round(dot(F.col("anchor"), F.col("unit")), 4).alias("similarity")).where(F.col("similarity") >= least)
-        return keep(best(scored), "nearest")
+        pairs = index.rows.join(bounded(visits), ["cell", "block"])
+        scored = pairs.select("head", "ids", F.round(dot(F.col("anchor"), F.col("unit")), 4).alias("similarity")).where(F.col("similarity") >= least)
+        return keep(best(scored.select("head", F.explode(F.slice("ids", 1, n)).alias("other"), "similarity")), "nearest")
 
     found = visit(asked, F.lit(least), False)
     if exact:
-        reached = found.where(F.col("place") == k).select("anchor_id", F.max("similarity").over(Window.partitionBy("anchor_id")).alias("kth")).distinct()
+        reached = found.where(F.col("place") == n).select("head", F.col("similarity").alias("kth"))
         floor = F.greatest(F.coalesce("kth", F.lit(least)), F.lit(least)) - 1e-4  # similarities are rounded to four places
-        found = best(found.unionByName(visit(asked.join(reached, "anchor_id", "left"), floor, True)).drop("place"))
-    return found.select("anchor_id", "place", "other", "similarity")
+        found = best(found.unionByName(visit(asked.join(reached, "head", "left"), floor, True)).drop("place"))
+    rows = each.join(asked, "anchor").select("anchor_id", "head").join(found.select("head", "other", "similarity"), "head").where(F.col("other") != F.col("anchor_id"))
+    place = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("similarity"), "other"))
+    return rows.withColumn("place", place).where(F.col("place") <= k).select("anchor_id", "place", "other", "similarity")

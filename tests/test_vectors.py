@@ -3,6 +3,7 @@
 import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from bidloom.operators import similarity, vectors
@@ -52,7 +53,14 @@ def test_index_edges(spark):
     kinds = "id long, v array<float>, place int, other long"
     rows = spark.createDataFrame([(1, None, 0, 0), (2, [0.0, 0.0], 0, 0), (3, [1.0, 0.0], 0, 0), (3, [1.0, 0.1], 0, 0), (4, [1.0, 0.0], 0, 0), (5, [float("nan"), 1.0], 0, 0), (6, [float("inf"), 1.0], 0, 0)], kinds)
     got = sorted((r.anchor_id, r.place, r.other) for r in vectors.search(vectors.cell_index(rows, "id", "v"), rows.where("id < 3 OR id > 3"), "id", "v").collect())
-    assert got == [(4, 1, 3), (4, 2, 3)]
+    assert got == [(4, 1, 3)]
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)] + [(50, [2.0, 1.0])], "id long, v array<double>")
+    copies = vectors.cell_index(same, "id", "v")
+    assert copies.rows.count() == 2
+    got = sorted((r.anchor_id, r.place, r.other) for r in vectors.search(copies, same.where("id IN (1, 40, 50)"), "id", "v", 3).collect())
+    assert got == [(1, 1, 0), (1, 2, 2), (1, 3, 3), (40, 1, 0), (40, 2, 1), (40, 3, 2), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
+    with pytest.raises(ValueError):
+        vectors.search(copies, same, "id", "v", 16)
     empty = vectors.cell_index(rows.limit(0), "id", "v")
     assert vectors.search(empty, rows, "id", "v").isEmpty() and vectors.search(vectors.cell_index(rows, "id", "v"), rows.limit(0), "id", "v").isEmpty()
 
