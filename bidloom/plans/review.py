@@ -274,7 +274,7 @@ def rename_clusters(spark, d):
 @query("", """WITH s AS (SELECT CONCAT('size-', p_size) AS file, p_partkey AS row, p_type AS v, p_size % 2 = 0 AS grouped FROM part) SELECT file, grouped, CAST(CASE WHEN grouped THEN sum(1) ELSE 0 END AS BIGINT) AS n_lines FROM s GROUP BY 1, 2""")
 def sheet_chunks(spark, d):
     """Sheets with a grouping column in chunks, and those without one."""
-    parts = table(spark, d, "part").select(F.concat(F.lit("size-"), F.col("p_size").cast("string")).alias("file"), F.lit("s").alias("sheet"), (F.col("p_partkey") + 1).alias("row"), "p_size", "p_type", "p_name")
+    parts = table(spark, d, "part").select(F.concat(F.lit("size-"), F.col("p_size").cast("string")).alias("file"), F.lit("s").alias("sheet"), (F.col("p_partkey") + 2).alias("row"), "p_size", "p_type", "p_name")  # keys begin with 0, the heading is row 1
     heads = parts.select("file", "sheet", "p_size").distinct().select("file", "sheet", F.lit(1).cast("bigint").alias("row"), "p_size", F.when(F.col("p_size") % 2 == 0, "중분류").otherwise("type").alias("p_type"), F.lit("품명").alias("p_name"))
     cells = parts.unionByName(heads).select("file", "sheet", "row", F.posexplode(F.array("p_type", "p_name")).alias("col", "value"))
     chunks, asked = X.sheet_chunks(cells)
