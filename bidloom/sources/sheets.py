@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from bidloom.functions import scalars as S
-from bidloom.operators.extract import SHEET, header_row
+from bidloom.operators.extract import SHEET
 from bidloom.session import ship
 from bidloom.sources.office import LIMIT, Workbook
 
@@ -124,15 +124,15 @@ def register_sheets(spark: SparkSession) -> None:
 
 def header_preview(cells: DataFrame, top: int = 6, rows: int = 4) -> DataFrame:
     """The row that is most likely the header of each sheet (`header_row`), its columns that hold something, and the rows below it in these columns."""
-    shown = cells.withColumn("value", F.coalesce("value", F.lit("")))
-    head = header_row(cells, top).select(*SHEET, "header_row")
-    near = shown.join(head, SHEET).where((F.col("row") >= F.col("header_row")) & (F.col("row") <= F.col("header_row") + rows))
-    lines = near.groupBy(*SHEET, "header_row", "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "value")))).alias("line"))
-    named = lines.where("row = header_row").select(*SHEET, F.map_keys(F.map_filter("line", lambda _, v: S.strip(v) != "")).alias("cols"), F.col("line").alias("heads"))
-    body = lines.where("row > header_row").join(named.select(*SHEET, "cols"), SHEET)
-    body = body.select(*SHEET, F.struct("row", F.transform("cols", lambda c: F.coalesce(F.col("line")[c], F.lit(""))).alias("cells")).alias("r")).groupBy(*SHEET).agg(F.array_sort(F.collect_list("r"))["cells"].alias("preview"))
-    done = head.join(named, SHEET).join(body, SHEET, "left")
-    return done.select(*SHEET, "header_row", F.transform("cols", lambda c: F.struct(c.alias("col"), F.col("heads")[c].alias("value"))).alias("columns"), F.coalesce("preview", F.array().cast("array<array<string>>")).alias("preview"))
+    # only rows that can be shown are gathered, a sheet's in one list: no join, and nothing of many sheets is sent to the driver
+    near = cells.withColumn("value", F.coalesce("value", F.lit(""))).where(F.col("row") <= top + rows).where(" AND ".join(f"`{c}` IS NOT NULL" for c in SHEET))
+    lines = near.groupBy(*SHEET, "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "value")))).alias("line"), F.count_if(S.strip(F.col("value")) != "").alias("n"))
+    best = F.min(F.when((F.col("row") <= top) & (F.col("n") > 0), F.struct((-F.col("n")).alias("n"), "row")))
+    sheets = lines.groupBy(*SHEET).agg(best["row"].alias("header_row"), F.map_from_entries(F.collect_list(F.struct("row", "line"))).alias("all")).where("header_row IS NOT NULL")
+    sheets = sheets.withColumn("heads", F.col("all")[F.col("header_row")]).withColumn("cols", F.map_keys(F.map_filter("heads", lambda _, v: S.strip(v) != "")))
+    body = F.filter(F.array_sort(F.map_keys("all")), lambda r: (r > F.col("header_row")) & (r <= F.col("header_row") + rows))
+    preview = F.transform(body, lambda r: F.transform("cols", lambda c: F.coalesce(F.col("all")[r][c], F.lit(""))))
+    return sheets.select(*SHEET, "header_row", F.transform("cols", lambda c: F.struct(c.alias("col"), F.col("heads")[c].alias("value"))).alias("columns"), preview.alias("preview"))
 
 
 def workbook_lines(cells: DataFrame) -> DataFrame:
