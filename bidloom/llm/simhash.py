@@ -206,7 +206,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs less all but one document of each component: the one with the smallest id; of several rows with that id the one whose columns have the smallest hash."""
-    found = near_duplicates(docs, id, text, carry=docs.columns, **how)
-    first = found.where(F.col(id).eqNullSafe(F.col("component_id"))).select("*", F.xxhash64(*docs.columns).alias("~row"))
-    least = first.groupBy("class_fingerprint").agg(F.min("~row").alias("~row"))
-    return first.join(least, ["class_fingerprint", "~row"], "left_semi").dropDuplicates(["class_fingerprint"]).select(*docs.columns)
+    # whole rows are read once more and shuffled once; all that is decided is decided on ids and hashes
+    hashed = docs.withColumn("~row", F.xxhash64(*docs.columns))
+    found = near_duplicates(hashed, id, text, carry=["~row"], **how)
+    first = found.where(F.col(id).eqNullSafe(F.col("component_id"))).select("class_fingerprint", F.col("~row").alias("~first"), F.col(id).alias("~id"))
+    least = first.groupBy("class_fingerprint").agg(F.min(F.struct("~first", "~id")).alias("x")).select("x.*")
+    same = (F.col("~row") == F.col("~first")) & ((F.col(id) == F.col("~id")) | (F.col(id).isNull() & F.col("~id").isNull()))
+    return hashed.join(least, same, "left_semi").dropDuplicates(["~row", id]).select(*docs.columns)
