@@ -26,6 +26,8 @@ from bidloom.session import ship
 ANSWERS = "submission_id string, n_chunks int, chunk int, at timestamp, answer string, error string"
 EVENTS = "submission_id string, seq long, kind string, chunk int, attempt int, answer string, status string, n_done int, n_failed int, n_chunks int"
 
+NAMES = [c.split()[0] for c in EVENTS.split(", ")]
+
 
 class Progress:
     """One submission's state and the events that an answer, or time, makes of it."""
@@ -77,13 +79,16 @@ def _advance(retries: int, patience_ms: int):
             latest = state.getCurrentWatermarkMs()
         else:
             for frame in frames:
-                for r in frame.sort_values(["at", "chunk"]).itertuples(index=False):
-                    rows += own.answer(int(r.n_chunks), int(r.chunk), r.answer, bool(r.is_document))
-                latest = max(latest, int(frame["at"].max().value // 1_000_000))
+                # most submissions have a few rows: sorting lists costs them less than sorting a frame; no time comes last
+                at = frame["at"].to_numpy("datetime64[ns]").astype("int64").tolist()
+                answers = zip(at, frame["chunk"].tolist(), frame["n_chunks"].tolist(), frame["answer"].tolist(), frame["is_document"].tolist(), strict=True)
+                for _, chunk, n, text, good in sorted(answers, key=lambda r: (r[0] < -(2**62), *r[:2])):
+                    rows += own.answer(int(n), int(chunk), text, bool(good))
+                latest = max(latest, max(at) // 1_000_000)
         state.update((json.dumps(own.s),))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + patience_ms)
         if rows:
-            yield pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split()[0] for c in EVENTS.split(", ")]).astype({"chunk": "Int32", "attempt": "Int32"})
+            yield pd.DataFrame({c: pd.array(v, "Int32") if c in ("chunk", "attempt") else v for c, v in zip(NAMES, zip(*[(key[0], *r) for r in rows], strict=True), strict=True)})
 
     return run
 
