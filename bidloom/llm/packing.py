@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidloom.llm.common import keep
+from bidloom.llm.common import give_back, keep
 from bidloom.llm.tokens import Encoder
 from bidloom.session import ship
 
@@ -145,6 +145,8 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 1, ca
                     crc.append(zlib.crc32(part))
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in carry), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=[*carry, *added])
+        del encode
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -18,7 +18,16 @@ from bidloom.llm.queries import tokenizer_path
 from bidloom.session import table
 
 
+def _short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Documents go to Python by so many rows at most: Spark's default of 10,000 whole texts would lie in JVM and Python buffers at once. Set for
+    the session, since a stage's frame runs after the stage's function returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.toxicity(docs, model).where("score < 0.5").select(*docs.columns)
 
@@ -29,14 +38,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return decontaminate.clean(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), carry=["doc_id"])
 
 

@@ -1,5 +1,8 @@
 """The stages of the pipeline, each on the rows that its predecessor kept."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from bidloom.llm import toxicity
 from bidloom.llm.common import keep
@@ -33,3 +36,15 @@ def test_stages(spark):
 
 def test_run(spark):
     assert P.run(spark, D).count() > 0
+
+
+def test_python_gets_short_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        P.drop_near_duplicates(spark, table(spark, D, "documents").limit(3), D)
+        rows = spark.range(5_000, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert rows.agg(F.max("n")).first()[0] <= 1_000
+    finally:
+        spark.conf.set(name, before)
