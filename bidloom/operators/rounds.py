@@ -3,66 +3,203 @@
 A bid's items are sorted by name and cut into chunks of `size`. Chunk by chunk, what was carried so far and the chunk's items are asked about
 in windows of `size` at most: first which of them belong to the bid's clusters so far (a call for each page of `size` clusters), then
 which of the others form new clusters; the rest is carried to the next chunk. So equal things that stand far apart by name meet in a
-window or in a cluster. All bids advance together: a round is one window of every bid that has one, so a round's calls run side by side,
-and there are as many rounds as the bid with the most windows has. A round's results are tables in the shared folder; a window, a page
-and a call are never larger than `size`. Carried rows are numbered by sums over their windows, never by a sort of a whole bid.
+window or in a cluster. Each window of a bid depends on those before it, so a bid's windows are asked one after the other by one task, which
+reads its rows in order; bids run side by side. The task holds a chunk, what is carried, and of each cluster its name and eight members' names; members
+go out as they are found. What is carried is asked about again with each chunk, so calls, not memory, bound how much of it there can be. A window,
+a page and a call are never larger than `size`. A round is a window of its bid, counted from 1.
 
 A form call that still fails after its retries fails its bid, which then has no clusters and whose items are all left; an assign call that
 fails assigns nothing. Answers are JSON, in fences or not. Ids that don't exist are ignored; a cluster needs two items and two vendors.
-Null names count as empty. An empty table gives empty results. Items of equal names follow by id.
+Null names count as empty. An empty table gives empty results. Items of equal names follow by id. A null bid is no bid.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bidloom.functions import scalars as S
-from bidloom.operators import extract, scan
-from bidloom.session import bounded
-from bidloom.stages import keep, new_path
+from bidloom.operators import scan
+from bidloom.session import ship
+from bidloom.stages import keep
 
 SIZE = 90
-_FORMED = "struct<clusters:array<struct<representative_name:string,all_item_ids:array<string>,similarity_score:double,similarity_summary:string>>>"
-_ADDED = "struct<additions:array<struct<item_id:string,cluster_id:string,confidence:double,reason:string>>>"
+RETRIES = 2
+_WHITE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 
-def _field(name: str, c: Column) -> Column:
-    return F.concat(F.lit(f" | {name}="), F.coalesce(c.cast("string"), F.lit("")))
+def _strip(text: str) -> str:
+    return re.sub(f"\\A{_WHITE}|{_WHITE}\\Z", "", text)
 
 
-def _by_vendor(rows: Column, line: Callable[[Column], Column]) -> Column:
+def _field(name: str, value) -> str:
+    return f" | {name}={'' if value is None else value}"
+
+
+def _vendors(rows: list) -> list:
+    return list(dict.fromkeys(r["vendor_id"] for r in rows))
+
+
+def _by_vendor(rows: list, line: Callable) -> str:
     """Blocks of lines for each vendor, as first seen."""
-    vendors = F.array_distinct(F.transform(rows, lambda r: r["vendor_id"]))
-    return F.array_join(F.transform(vendors, lambda v: F.concat(F.lit("### "), v.cast("string"), F.lit("\n"), F.array_join(F.transform(F.filter(rows, lambda r: r["vendor_id"] == v), line), "\n"), F.lit("\n"))), "\n")
+    return "\n".join(f"### {v}\n" + "\n".join(line(r) for r in rows if r["vendor_id"] == v and r["item_id"] is not None) + "\n" for v in _vendors(rows) if v is not None)
 
 
 # Headings and field names of the texts that a provider is shown.
-def form_text(rows: Column) -> Column:
-    """Items by vendor, and all of them once more by name. rows: at most a window of structs."""
-
-    def line(r: Column) -> Column:
-        return F.concat(F.lit("  - id="), r["item_id"], _field("품목명", r["name"]), _field("카테고리", r["category"]), _field("단위", r["unit"]), _field("단가", r["unit_price"]), _field("규격", F.substring(r["spec"], 1, 60)))
+def _form_text(rows: list) -> str:
+    def line(r) -> str:
+        return f"  - id={r['item_id']}{_field('품목명', r['name'])}{_field('카테고리', r['category'])}{_field('단위', r['unit'])}{_field('단가', r['unit_price'])}{_field('규격', (r['spec'] or '')[:60])}"
 
-    named = F.array_sort(F.transform(F.filter(rows, lambda r: r["name"] != ""), lambda r: F.struct(F.lower(r["name"]).alias("f"), r["item_id"].alias("i"), r["name"].alias("n"), r["vendor_id"].alias("v"))))
-    again = F.array_join(F.transform(named, lambda r: F.concat(F.lit("  - "), r["n"], F.lit("  ["), r["v"].cast("string"), F.lit("] (id="), r["i"], F.lit(")"))), "\n")
-    n_vendors = F.size(F.array_distinct(F.transform(rows, lambda r: r["vendor_id"])))
-    return F.concat(F.lit("## 신규 입찰 품목 ("), F.size(rows), F.lit("개 / "), n_vendors, F.lit("개 업체)\n\n"), _by_vendor(rows, line), F.lit("\n## 전체 품목\n"), again, F.lit("\n"))
+    named = sorted((r for r in rows if r["name"] != "" and r["item_id"] is not None and r["vendor_id"] is not None), key=lambda r: (r["name"].lower(), r["item_id"], r["name"]))
+    again = "\n".join(f"  - {r['name']}  [{r['vendor_id']}] (id={r['item_id']})" for r in named)
+    return f"## 신규 입찰 품목 ({len(rows)}개 / {len(_vendors(rows))}개 업체)\n\n{_by_vendor(rows, line)}\n## 전체 품목\n{again}\n"
 
 
-def assign_text(clusters: Column, rows: Column) -> Column:
-    """A page of clusters with up to eight members' names, and a window of items by vendor."""
-    known = F.array_join(F.transform(clusters, lambda c: F.concat(F.lit("  - cluster_id="), c["cluster_id"], _field("대표명", c["name"]), F.lit(" | 멤버: "), F.array_join(c["names"], " | "))), "\n")
-    items = _by_vendor(rows, lambda r: F.concat(F.lit("  - id="), r["item_id"], _field("품목명", r["name"]), _field("카테고리", r["category"])))
-    return F.concat(F.lit("## 기존 클러스터 ("), F.size(clusters), F.lit("개)\n"), known, F.lit("\n\n## 미분류 품목 ("), F.size(rows), F.lit("개)\n"), items)
+def form_text(rows: Column) -> Column:
+    """Items by vendor, and all of them once more by name. rows: at most a window of structs."""
+    ship(SparkSession.active())
+    return F.udf(lambda window: _form_text(window), "string")(rows)
 
 
-def _ask(texts: DataFrame, task: str, provider: Callable[[str, str], str], schema: str) -> DataFrame:
-    answered = extract.ask_provider(texts, lambda t: provider(task, t))
-    doc = F.from_json(extract.clean_json(F.col("answer")), schema, {"mode": "PERMISSIVE"})
-    return answered.withColumn("doc", F.when(extract.clean_json(F.col("answer")).startswith("{"), doc)).drop("text", "answer")
+def _assign_text(clusters: list, rows: list) -> str:
+    """A page of clusters with up to eight members' names, and a window of items by vendor."""
+    known = "\n".join(f"  - cluster_id={c['cluster_id']}{_field('대표명', c['name'])} | 멤버: {' | '.join(c['names'])}" for c in clusters)
+    items = _by_vendor(rows, lambda r: f"  - id={r['item_id']}{_field('품목명', r['name'])}{_field('카테고리', r['category'])}")
+    return f"## 기존 클러스터 ({len(clusters)}개)\n{known}\n\n## 미분류 품목 ({len(rows)}개)\n{items}"
+
+
+def _ask(provider: Callable[[str, str], str], task: str, text: str) -> dict | None:
+    """A provider's answer as a document; none if it fails after all retries or gives no document."""
+    for _ in range(RETRIES + 1):
+        try:
+            answer = provider(task, text)
+            break
+        except Exception:  # a provider may fail in any way
+            answer = None
+    if answer is None:
+        return None
+    answer = re.sub(r"\s*```\Z", "", re.sub(r"\A```[a-zA-Z]*\s*", "", _strip(answer)))
+    try:
+        doc = json.JSONDecoder().raw_decode(answer)[0]
+    except ValueError:
+        return None
+    return doc if isinstance(doc, dict) else None
+
+
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _objects(doc: dict | None, name: str) -> list[tuple[int, dict]] | None:
+    """The objects of a list, with their places in it; none if there is no list."""
+    found = (doc or {}).get(name)
+    return [(k, x) for k, x in enumerate(found) if isinstance(x, dict)] if isinstance(found, list) else None
+
+
+def _hangul(text: str) -> bool:
+    return re.search("[가-힣]", text) is not None
+
+
+def _representative(given: str, rows: list) -> str:
+    """The given name if it is in Hangul, else the shortest of the members' and it, those in Hangul first."""
+    given = given or rows[0]["name"]
+    return given if _hangul(given) else min([(not _hangul(r["name"]), len(r["name"]), k, r["name"]) for k, r in enumerate(rows)] + [(True, len(given), len(rows), given)])[3]
+
+
+class _Bid:
+    """One bid's clusters and what it carries."""
+
+    def __init__(self, head: str, provider: Callable[[str, str], str], size: int):
+        self.head, self.provider, self.size = head, provider, size
+        self.clusters, self.carry, self.turn, self.failed = {}, [], 0, False
+
+    def chunk(self, fresh: list) -> Iterator[dict]:
+        both, self.carry = self.carry + fresh, []
+        for k in range(0, len(both), self.size):
+            yield from self._window(both[k : k + self.size])
+            if self.failed:
+                self.carry = []
+                return
+
+    def _member(self, c: dict, item: str) -> dict:
+        first = item == c["item_id"]
+        return {"kind": "member", "cluster_id": c["cluster_id"], "item_id": item, "role": "representative" if first else "duplicate", "score": 1.0 if first else c["score"], "round": self.turn}
+
+    def _window(self, pool: list) -> Iterator[dict]:
+        self.turn += 1
+        known, said = list(self.clusters.values()), set()
+        for k in range(0, len(known), self.size):
+            doc = _ask(self.provider, "assign", _assign_text(known[k : k + self.size], pool))
+            said |= {(_text(x.get("item_id")), _text(x.get("cluster_id"))) for _, x in _objects(doc, "additions") or []}
+        to: dict[str, list[dict]] = {}
+        for item, cluster in sorted((i, c) for i, c in said if i is not None and c in self.clusters):
+            to.setdefault(item, []).append(self.clusters[cluster])
+        for r in pool:
+            for c in to.get(r["item_id"], []):
+                c["names"] += [r["name"]] * (len(c["names"]) < 8)
+                yield self._member(c, r["item_id"])
+        rest = [r for r in pool if r["item_id"] not in to]
+        taken = set()
+        if len(rest) >= 2:
+            found = _objects(_ask(self.provider, "form", _form_text(rest)), "clusters")
+            if found is None:
+                self.failed = True
+                return
+            own = {r["item_id"]: r for r in rest if r["item_id"] is not None}
+            for k, x in found:
+                ids = x.get("all_item_ids")
+                rows = [own[i] for i in dict.fromkeys(map(_text, ids if isinstance(ids, list) else [])) if i in own]
+                if len(rows) < 2 or len({r["vendor_id"] for r in rows} - {None}) < 2:
+                    continue
+                score = x.get("similarity_score")
+                score = float(score) if isinstance(score, (int, float)) and not isinstance(score, bool) else 0.8
+                name = _representative(_strip(_text(x.get("representative_name")) or ""), rows)
+                c = {"cluster_id": f"{self.head}:{self.turn}:{k}", "name": name, "item_id": rows[0]["item_id"], "score": score, "names": [r["name"] for r in rows[:8]]}
+                self.clusters[c["cluster_id"]] = c
+                taken |= {r["item_id"] for r in rows}
+                yield {"kind": "cluster", "cluster_id": c["cluster_id"], "name": name, "item_id": c["item_id"], "score": score, "summary": _text(x.get("similarity_summary")) or "", "round": self.turn}
+                yield from (self._member(c, r["item_id"]) for r in rows)
+        self.carry += [r for r in rest if r["item_id"] not in taken]
+
+
+_ADDED = [("kind", "string"), ("cluster_id", "string"), ("name", "string"), ("item_id", "string"), ("role", "string"), ("score", "double"), ("summary", "string"), ("round", "int")]
+
+
+def _run(batches: Iterator[pa.RecordBatch], by: list[str], provider: Callable[[str, str], str], size: int) -> Iterator[pa.RecordBatch]:
+    """batches: rows in order of bid and place."""
+    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    bid, key, fresh, out, schema = None, None, [], [], None
+
+    def finish() -> Iterator[dict]:
+        if bid is not None:
+            if not bid.failed:
+                yield from bid.chunk(fresh) if fresh else ()
+            yield from [{"kind": "failed"}] if bid.failed else ({"kind": "left", "item_id": r["item_id"]} for r in bid.carry)
+
+    for batch in batches:
+        schema = schema or pa.schema([*(pa.field(c, batch.schema.field(c).type) for c in by), *(pa.field(n, kinds[t]) for n, t in _ADDED)])
+        for r in batch.to_pylist():
+            now = tuple(r[c] for c in by)
+            if now != key:
+                out += [dict(zip(by, key, strict=True)) | x for x in finish()] if bid else []
+                bid, key, fresh = _Bid(r["head"], provider, size), now, []
+            if bid.failed:
+                continue
+            fresh.append(r)
+            if len(fresh) == size:
+                out += [dict(zip(by, key, strict=True)) | x for x in bid.chunk(fresh)]
+                fresh = []
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+    out += [dict(zip(by, key, strict=True)) | x for x in finish()] if bid else []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def _listed(pool: DataFrame, by: list[str]) -> DataFrame:
@@ -70,39 +207,6 @@ def _listed(pool: DataFrame, by: list[str]) -> DataFrame:
     return pool.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
-def _assign(pool: DataFrame, clusters: DataFrame, member_rows: DataFrame, by: list[str], provider, size: int) -> DataFrame:
-    """Additions (by, cluster_id, item_id) to the clusters so far."""
-    first = F.row_number().over(Window.partitionBy("cluster_id").orderBy("round", "nth"))
-    names = member_rows.withColumn("_k", first).where("_k <= 8").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("_k", "member_name")))["member_name"].alias("names"))
-    shown = clusters.join(names, "cluster_id").withColumn("page", F.floor(F.col("ordinal") / size))
-    pages = shown.groupBy(*by, "page").agg(F.array_sort(F.collect_list(F.struct("ordinal", "cluster_id", "name", "names"))).alias("clusters"))
-    texts = pages.join(_listed(pool, by), by).select(*by, "page", assign_text(F.col("clusters"), F.col("rows")).alias("text"))
-    said = _ask(texts, "assign", provider, _ADDED).select(*by, F.explode("doc.additions").alias("a")).select(*by, "a.cluster_id", "a.item_id").distinct()
-    return said.join(clusters.select(*by, "cluster_id"), [*by, "cluster_id"], "left_semi").join(pool.select(*by, "item_id"), [*by, "item_id"], "left_semi")
-
-
-def _form(rest: DataFrame, by: list[str], provider) -> tuple[DataFrame, DataFrame]:
-    """(rows of clusters that hold: by, k, score, given, nth and what is known of the item; bids whose call failed)."""
-    lists = _listed(rest, by).where(F.size("rows") >= 2)
-    answers = keep(_ask(lists.select(*by, form_text(F.col("rows")).alias("text")), "form", provider, _FORMED), "formed")
-    failed = answers.where("doc IS NULL OR doc.clusters IS NULL").select(*by)
-    found = answers.select(*by, F.posexplode("doc.clusters").alias("k", "c")).select(*by, "k", "c", F.posexplode("c.all_item_ids").alias("nth", "item_id"))
-    found = found.select(*by, "k", "item_id", "nth", F.coalesce("c.similarity_score", F.lit(0.8)).alias("score"), S.strip(F.coalesce("c.representative_name", F.lit(""))).alias("given"), F.coalesce("c.similarity_summary", F.lit("")).alias("summary"))
-    found = found.groupBy(*by, "k", "item_id", "score", "given", "summary").agg(F.min("nth").alias("nth")).join(rest.select(*by, "item_id", "vendor_id", "name"), [*by, "item_id"])
-    whole = Window.partitionBy(*by, "k")
-    held = found.withColumns({"_n": F.count("*").over(whole), "_lo": F.min("vendor_id").over(whole), "_hi": F.max("vendor_id").over(whole)}).where("_n >= 2 AND _lo <> _hi")
-    return held.drop("_n", "_lo", "_hi"), failed
-
-
-def _representative(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Name and first item of each formed cluster: the given name if it is in Hangul, else the shortest of the members' and it, those in Hangul first."""
-    plain = F.struct((~S.is_hangul(F.col("name"))).alias("h"), F.length("name").alias("l"), "nth", "name")
-    one = rows.groupBy(*by, "k", "score", "given", "summary").agg(F.min_by("item_id", "nth").alias("representative_item_id"), F.min_by("name", "nth").alias("first_name"), F.min(plain).alias("p"))
-    given = F.when(F.col("given") != "", F.col("given")).otherwise(F.col("first_name"))
-    own = F.struct((~S.is_hangul(given)).alias("h"), F.length(given).alias("l"), F.lit(1 << 30).alias("nth"), given.alias("name"))
-    return one.select(*by, "k", "score", "summary", "representative_item_id", F.when(S.is_hangul(given), given).otherwise(F.least("p", own)["name"]).alias("name"))
-
-
 def cluster_in_rounds(items: DataFrame, by: list[str], provider: Callable[[str, str], str], size: int = SIZE, run: str = "") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(clusters, members, left, failed) of the items of each `by`.
 
@@ -116,62 +220,17 @@ def cluster_in_rounds(items: DataFrame, by: list[str], provider: Callable[[str,
     for c in ("category", "unit", "unit_price", "spec"):
         if c not in types:
             items = items.withColumn(c, F.lit(None).cast("string"))
-    rows = items.select(*by, F.col("item_id").cast("string").alias("item_id"), "vendor_id", F.coalesce("name", F.lit("")).alias("name"), "category", "unit", F.col("unit_price").cast("string").alias("unit_price"), "spec")
-    rows = scan.number(rows.withColumn("_folded", F.lower("name")), by, ["_folded", "item_id"], name="place").drop("_folded").withColumn("chunk", F.floor(F.col("place") / size))
-    path = new_path(spark, "chunks")
-    rows.repartition("chunk").write.partitionBy("chunk").parquet(path)
-    rows = spark.read.schema(rows.schema).parquet(path)
-    last = rows.agg(F.max("chunk")).first()[0]
-    base = rows.drop("chunk", "place")
-    carry = base.withColumns({"window": F.lit(0).cast("long"), "at": F.lit(0).cast("long")}).limit(0)
-    ids = [F.col(c).cast("string") for c in by]
-    clusters = rows.select(*by, F.lit("").alias("cluster_id"), "name", F.lit("").alias("representative_item_id"), F.lit(0.0).alias("score"), F.lit("").alias("summary"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("round")).limit(0)
-    member_rows = rows.select(*by, F.lit("").alias("cluster_id"), "item_id", F.col("name").alias("member_name"), F.lit(0).alias("nth"), F.lit(0).alias("round")).limit(0)
-    failed = keep(rows.select(*by).limit(0), "failed")
-    turn, any_cluster = 0, False
-    for chunk in range(-1 if last is None else last + 1):
-        counts = carry.groupBy(*by, "window").agg(F.count("*").alias("n"))
-        before = counts.withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("window").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        rank = F.row_number().over(Window.partitionBy(*by, "window").orderBy("at")) - 1
-        held = carry.withColumn("_r", rank).join(before, [*by, "window"]).withColumn("place", F.col("offset") + F.col("_r")).select(*by, *[c for c in base.columns if c not in by], "place")
-        total = counts.groupBy(*by).agg(F.sum("n").alias("n"))
-        fresh = rows.where(F.col("chunk") == chunk).withColumn("place", F.col("place") % size).join(bounded(total), by, "left").withColumn("place", F.col("place") + F.coalesce("n", F.lit(0)))
-        both = held.unionByName(fresh.select(held.columns))
-        # bids without a new chunk are done: what they carry stays where it is
-        live = fresh.select(*by).distinct()
-        both = keep(both.join(live, by, "left_semi").join(failed, by, "left_anti").withColumn("window", F.floor(F.col("place") / size)), "round")
-        done = keep(carry.join(live, by, "left_anti"), "left")
-        left = [done]
-        for window in range((both.agg(F.max("window")).first()[0] if not both.isEmpty() else -1) + 1):
-            turn += 1
-            pool = both.where(F.col("window") == window).join(failed, by, "left_anti").drop("window")
-            rest = pool
-            if any_cluster:
-                added = keep(_assign(pool, clusters, member_rows, by, provider, size), "added")
-                rest = keep(pool.join(added.select(*by, "item_id").distinct(), [*by, "item_id"], "left_anti"), "rest")
-                more = added.join(pool.select(*by, "item_id", "name", "place"), [*by, "item_id"])
-                member_rows = member_rows.unionByName(more.select(*by, "cluster_id", "item_id", F.col("name").alias("member_name"), F.col("place").cast("int").alias("nth"), F.lit(turn).alias("round")))
-            formed, bad = _form(rest, by, provider)
-            formed = keep(formed, "clusters")
-            so_far = clusters.groupBy(*by).agg((F.max("ordinal") + 1).alias("_c"))
-            ranked = _representative(formed, by).join(so_far, by, "left").withColumn("ordinal", F.coalesce("_c", F.lit(0)) + F.row_number().over(Window.partitionBy(*by).orderBy("k")) - 1)
-            new = keep(ranked.select(*by, "k", F.concat_ws(":", *([F.lit(run)] if run else []), *ids, F.lit(str(turn)), F.col("k").cast("string")).alias("cluster_id"), "name", "representative_item_id", "score", "summary", "ordinal", F.lit(turn).alias("round")), "new")
-            clusters = clusters.unionByName(new.drop("k"))
-            member_rows = member_rows.unionByName(formed.join(new.select(*by, "k", "cluster_id"), [*by, "k"]).select(*by, "cluster_id", "item_id", F.col("name").alias("member_name"), "nth", F.lit(turn).alias("round")))
-            if not bad.isEmpty():
-                failed = keep(failed.unionByName(bad), "failed")
-            left.append(rest.join(formed.select(*by, "item_id").distinct(), [*by, "item_id"], "left_anti").select(*[c for c in base.columns], F.lit(window).cast("long").alias("window"), F.col("place").cast("long").alias("at")))
-            any_cluster = any_cluster or not new.isEmpty()
-            if turn % 4 == 0:
-                clusters, member_rows = keep(clusters, "all-clusters"), keep(member_rows, "all-members")
-        carry = left[0].select(*base.columns, "window", "at")
-        for part in left[1:]:
-            carry = carry.unionByName(part)
-        carry = keep(carry, "carry")
-    clusters, member_rows = clusters.join(failed, by, "left_anti"), member_rows.join(failed, by, "left_anti")
-    leaders = clusters.select("cluster_id", "representative_item_id", "score")
-    is_rep = F.col("item_id") == F.col("representative_item_id")
-    stored = member_rows.join(leaders, "cluster_id").select("cluster_id", "item_id", F.when(is_rep, "representative").otherwise("duplicate").alias("role"), F.when(is_rep, F.lit(1.0)).otherwise(F.col("score")).alias("similarity_score"), "round").dropDuplicates(["cluster_id", "item_id"])
-    lost = rows.select(*by, "item_id").join(failed.distinct(), by, "left_semi")
-    left = carry.select(*by, "item_id").join(failed, by, "left_anti").unionByName(lost)
-    return clusters.drop("ordinal"), stored, left, failed.distinct()
+    ship(spark)
+    rows = items.dropna(subset=by).select(*by, F.col("item_id").cast("string").alias("item_id"), F.col("vendor_id").cast("string").alias("vendor_id"), F.coalesce("name", F.lit("")).alias("name"), *[F.col(c).cast("string").alias(c) for c in ("category", "unit", "unit_price", "spec")])
+    rows = scan.number(rows.withColumn("_folded", F.lower("name")), by, ["_folded", "item_id"], name="place").drop("_folded")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    head = F.concat_ws(":", *([F.lit(run)] if run else []), *[F.col(c).cast("string") for c in by])
+    schema = T.StructType([*(rows.schema[c] for c in by), *T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in _ADDED)).fields])
+    done = rows.withColumn("head", head).repartition(parts, *by).sortWithinPartitions(*by, "place").mapInArrow(lambda b: _run(b, by, provider, size), schema)
+    done = keep(done, "rounds")
+    failed = done.where("kind = 'failed'").select(*by)
+    held = done.join(failed, by, "left_anti")
+    clusters = held.where("kind = 'cluster'").select(*by, "cluster_id", "name", F.col("item_id").alias("representative_item_id"), "score", "summary", "round")
+    members = held.where("kind = 'member'").select("cluster_id", "item_id", "role", F.col("score").alias("similarity_score"), "round").dropDuplicates(["cluster_id", "item_id"])
+    lost = items.join(failed, by, "left_semi").select(*by, F.col("item_id").cast("string").alias("item_id"))
+    return clusters, members, held.where("kind = 'left'").select(*by, "item_id").unionByName(lost), failed
