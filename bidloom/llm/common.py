@@ -31,6 +31,16 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, whose task returns what it freed once it has given its last batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def map_documents(
     docs: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]],
@@ -55,7 +65,7 @@ def map_documents(
                 new = work(batch)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(new[n] for n in names)], names=[*carry, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: list[str], most: int = 200_000) -> DataFrame:

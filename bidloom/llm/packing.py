@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidloom.llm.common import give_back, keep
+from bidloom.llm.common import give_back, giving_back, keep
 from bidloom.llm.tokens import Encoder
 from bidloom.session import ship
 
@@ -103,7 +103,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, near: float = 0.97, fan_in
     now = pieces.select(F.col("length").cast("long").alias("fill"), F.array(F.struct(*pieces.columns, F.lit(0).cast("long").alias("offset"))).alias("members"))
     done, width, left = [], None, 0
     while True:
-        packed = keep(now.mapInArrow(lambda b: _round(b, capacity, full, task_items), schema), "bins")
+        packed = keep(now.mapInArrow(giving_back(lambda b: _round(b, capacity, full, task_items)), schema), "bins")
         under = packed.where(F.col("fill") < full)
         n = under.count()
         least = max(1, math.ceil(n / task_items))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.llm import scan
-from bidloom.llm.common import components, join_skewed, keep, map_documents, without
+from bidloom.llm.common import components, giving_back, join_skewed, keep, map_documents, without
 from bidloom.session import ship
 
 SEED = 42
@@ -186,9 +186,9 @@ def link(prints: DataFrame, column: str = "fingerprint", segments: int = 32, mos
     """(a, b) links among distinct fingerprints that connect what the links of `most` bits connect."""
     ship(prints.sparkSession)
     reach = most // 2
-    cells = prints.select(column).distinct().mapInArrow(lambda b: _cell_rows(b, segments, reach), "cell long, node long")
+    cells = prints.select(column).distinct().mapInArrow(giving_back(lambda b: _cell_rows(b, segments, reach)), "cell long, node long")
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(lambda b: _link_cells(b, segments, most), "a long, b long")
+    return dealt.mapInArrow(giving_back(lambda b: _link_cells(b, segments, most)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, segments: int = 32, most: int = 3, carry: list[str] | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.llm import scan
-from bidloom.llm.common import is_small, keep, map_documents
+from bidloom.llm.common import giving_back, is_small, keep, map_documents
 from bidloom.session import ship
 
 WORD_BITS, HEAD_BITS, HEAD_BYTES = 20, 18, 6
@@ -207,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     once = keep(hashes.groupBy("h", "n").agg(F.min(F.struct(id, "toxic", "fold")).alias("x")).select("x.*"), "once")
     learned = texts.join(F.broadcast(once) if is_small(once, 1_000_000) else once, id)
     model = Model()
-    counts = learned.where("fold < 4").select(text, "toxic").mapInArrow(lambda b: _count(b, text), "place long, other long, toxic long")
+    counts = learned.where("fold < 4").select(text, "toxic").mapInArrow(giving_back(lambda b: _count(b, text)), "place long, other long, toxic long")
     rows = counts.groupBy("place").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
     size = (1 << WORD_BITS) + (1 << HEAD_BITS) + 1
     table = np.zeros((2, size))
@@ -222,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     model.odds = Odds(table[1, : 1 << WORD_BITS].astype(np.float32), table[0, : 1 << WORD_BITS].astype(np.float32), head.astype(np.float32), float(base))
     sent = spark.sparkContext.broadcast(model.odds)
     held = learned.where("fold = 4")
-    parts = held.mapInArrow(lambda b: _calm_sums(b, sent.value, text), "k long, x double")
+    parts = held.mapInArrow(giving_back(lambda b: _calm_sums(b, sent.value, text)), "k long, x double")
     sums = parts.groupBy("k").agg(F.sum("x").alias("x")).toPandas()
     if len(sums):
         model.rate, model.size = _extreme_value(sums.sort_values("k")["x"].to_numpy())
@@ -230,7 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     if total > fit_rows:
         held = held.where(F.pmod(F.xxhash64(id), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
     sent = spark.sparkContext.broadcast(model)
-    feats = held.mapInArrow(lambda b: _fit_rows(b, sent.value, text), "toxic int, a double, b double, c double").toPandas()
+    feats = held.mapInArrow(giving_back(lambda b: _fit_rows(b, sent.value, text)), "toxic int, a double, b double, c double").toPandas()
     x = feats[["a", "b", "c"]].to_numpy(float)
     if len(x) and 0 < feats["toxic"].sum() < len(x):
         model.weights = _logistic(x, feats["toxic"].to_numpy(float))

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from bidloom.llm import toxicity
+from bidloom.llm import common, simhash, toxicity
 from bidloom.llm.common import keep
 from bidloom.session import table
 from tests.llm.test_operators import brute_components, brute_hits, brute_lines, brute_print
@@ -48,3 +48,20 @@ def test_python_gets_short_batches(spark):
         assert rows.agg(F.max("n")).first()[0] <= 1_000
     finally:
         spark.conf.set(name, before)
+
+
+def test_tasks_give_back_what_they_freed(spark, monkeypatch):
+    docs, tasks = table(spark, D, "documents"), []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, work, schema: tasks.append(work) or real(self, work, schema))
+    model = toxicity.learn(docs, table(spark, D, "labels"))
+    toxicity.toxicity(docs.select("doc_id", "text"), model)
+    simhash.link(spark.createDataFrame([(1,)], "fingerprint long"))
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b", None]})
+    assert [b.num_rows for b in tasks[3](iter([batch, batch]))] == [2, 2] and done == [1]
+    for k, task in enumerate(tasks):
+        list(task(iter([])))
+        assert len(done) == k + 2
+    assert len(tasks) == 6
