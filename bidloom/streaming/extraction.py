@@ -6,6 +6,10 @@ often it arrives), `retry` (a chunk that failed and is to be asked again) and `s
 is done once every chunk is done or has failed for good, failed if all have, and failed if nothing arrives for `patience` of event time. What
 arrives later is ignored; its state is dropped after another `patience`, so state holds the submissions of that time only.
 
+Submissions are dealt to `BUCKETS` groups by their ids. A group has one state, that of its submissions, and is one call of Python, so a call's cost
+is borne by many submissions. A group's answers of one batch are in memory at a time, whose texts are kept only if they are documents. A
+checkpoint belongs to one number of groups.
+
 The file sink commits each batch once, so a stream that is stopped and started again with its checkpoint neither loses nor repeats events.
 """
 
@@ -13,6 +17,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,13 +34,16 @@ EVENTS = "submission_id string, seq long, kind string, chunk int, attempt int, a
 
 NAMES = [c.split()[0] for c in EVENTS.split(", ")]
 
+#: Groups of submissions. Changing it makes checkpoints unreadable.
+BUCKETS = 1024
+
 
 class Progress:
     """One submission's state and the events that an answer, or time, makes of it."""
 
-    def __init__(self, kept: str | None, retries: int):
+    def __init__(self, kept: str | dict | None, retries: int):
         fresh = {"n": 0, "done": [], "failed": [], "tries": {}, "status": "", "seq": 0}
-        self.s, self.retries = json.loads(kept) if kept else fresh, retries
+        self.s, self.retries = (json.loads(kept) if isinstance(kept, str) else kept) or fresh, retries
 
     @property
     def final(self) -> bool:
@@ -69,26 +78,35 @@ class Progress:
 
 def _advance(retries: int, patience_ms: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = Progress(state.get[0] if state.exists else None, retries)
-        rows, latest = [], 0
-        if state.hasTimedOut:
-            if own.final:
-                state.remove()
-                return
-            rows += own.expire()
-            latest = state.getCurrentWatermarkMs()
-        else:
+        # of each submission what its Progress keeps, and the time at which it has waited long enough
+        held = json.loads(state.get[0]) if state.exists else {}
+        now = state.getCurrentWatermarkMs()
+        rows, answers, heard = [], [], set()
+        if not state.hasTimedOut:
             for frame in frames:
-                # most submissions have a few rows: sorting lists costs them less than sorting a frame; no time comes last
                 at = frame["at"].to_numpy("datetime64[ns]").astype("int64").tolist()
-                answers = zip(at, frame["chunk"].tolist(), frame["n_chunks"].tolist(), frame["answer"].tolist(), frame["is_document"].tolist(), strict=True)
-                for _, chunk, n, text, good in sorted(answers, key=lambda r: (r[0] < -(2**62), *r[:2])):
-                    rows += own.answer(int(n), int(chunk), text, bool(good))
-                latest = max(latest, max(at) // 1_000_000)
-        state.update((json.dumps(own.s),))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + patience_ms)
+                answers += zip(frame["submission_id"].tolist(), at, frame["chunk"].tolist(), frame["n_chunks"].tolist(), frame["answer"].tolist(), frame["is_document"].tolist(), strict=True)
+        # no time comes last
+        answers.sort(key=lambda r: (r[0], r[1] < -(2**62), r[1], r[2]))
+        for submission, own_answers in groupby(answers, key=itemgetter(0)):
+            own, latest = Progress(held[submission][0] if submission in held else None, retries), now
+            for _, at, chunk, n, text, good in own_answers:
+                rows += [(submission, *r) for r in own.answer(int(n), int(chunk), text, bool(good))]
+                latest = max(latest, at // 1_000_000)
+            held[submission] = (own.s, latest + patience_ms)
+            heard.add(submission)
+        for submission in [s for s, (_, until) in held.items() if until < now and s not in heard]:
+            own = Progress(held.pop(submission)[0], retries)
+            if not own.final:
+                rows += [(submission, *r) for r in own.expire()]
+                held[submission] = (own.s, now + patience_ms)
+        if held:
+            state.update((json.dumps(held, separators=(",", ":")),))
+            state.setTimeoutTimestamp(min(until for _, until in held.values()))
+        else:
+            state.remove()
         if rows:
-            yield pd.DataFrame({c: pd.array(v, "Int32") if c in ("chunk", "attempt") else v for c, v in zip(NAMES, zip(*[(key[0], *r) for r in rows], strict=True), strict=True)})
+            yield pd.DataFrame({c: pd.array(v, "Int32") if c in ("chunk", "attempt") else v for c, v in zip(NAMES, zip(*rows, strict=True), strict=True)})
 
     return run
 
@@ -97,9 +115,12 @@ def progress(answers: DataFrame, retries: int = 2, patience: str = "10 minutes",
     """Events of a stream of answers. retries: how often a chunk may fail and be asked again. delay: how late an answer may arrive."""
     ship(answers.sparkSession)
     patience_ms = answers.sparkSession.range(1).select((F.expr(f"timestamp_seconds(0) + interval {patience}").cast("double") * 1000).cast("long")).first()[0]
-    marked = answers.withColumn("is_document", is_document(F.col("answer"), F.col("error"))).withWatermark("at", delay)
-    named = marked.select("submission_id", "n_chunks", "chunk", "at", "answer", "is_document").where("submission_id IS NOT NULL AND chunk IS NOT NULL AND n_chunks IS NOT NULL")
-    return named.groupBy("submission_id").applyInPandasWithState(_advance(retries, patience_ms), EVENTS, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    named = answers.withWatermark("at", delay).where("submission_id IS NOT NULL AND chunk IS NOT NULL AND n_chunks IS NOT NULL")
+    # answers are parsed where they are dealt to: a folder of one file is one task
+    dealt = named.withColumn("bucket", F.pmod(F.xxhash64("submission_id"), F.lit(BUCKETS)).cast("int")).repartition("bucket")
+    marked = dealt.withColumn("is_document", is_document(F.col("answer"), F.col("error"))).withColumn("answer", F.when(F.col("is_document"), F.col("answer")))
+    rows = marked.select("bucket", "submission_id", "n_chunks", "chunk", "at", "answer", "is_document")
+    return rows.groupBy("bucket").applyInPandasWithState(_advance(retries, patience_ms), EVENTS, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def is_document(answer: Column, error: Column) -> Column:
