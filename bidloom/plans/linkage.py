@@ -152,11 +152,11 @@ def match_input(spark, d):
 def clustering_reruns(spark, d):
     """Three runs over a bid: a third of the bids reject what the first finds, half of those also what the second finds."""
     m = BidModel(spark, d)
-    rows = m.members_all.withColumn("vendor_id", F.col("l_suppkey"))
+    rows = keep(m.members_all.select("item_id", "bid_id", "name", F.col("l_suppkey").alias("vendor_id"), "seq"), "items")
     found, members = rows.select("bid_id", F.lit("").alias("cluster_id"), "name", F.lit("").alias("status")).limit(0), rows.select(F.lit("").alias("cluster_id"), "item_id").limit(0)
     for reject in ("bid_id % 3 = 0", "bid_id % 6 = 0", "false"):
         found, members, _ = C.run_clustering(rows, found, members, ["bid_id"])
-        found, members = keep(C.set_status(found, F.expr(f"status = 'pending' AND {reject}"), "rejected"), "clusters"), keep(members, "members")
+        found = keep(C.set_status(found, F.expr(f"status = 'pending' AND {reject}"), "rejected"), "clusters")
     return members.groupBy("cluster_id").agg(F.count("*").alias("n_members")).join(found.select("cluster_id", "status"), "cluster_id")
 
 
