@@ -13,6 +13,7 @@ from bidloom.operators import lifecycle as L
 from bidloom.operators import matching as M
 from bidloom.plans.queries import _LIVE, _MEMBERS, _OTHERS, _PIVOT, _UNIT, _catalog, _live, _members, _units, query
 from bidloom.session import table
+from bidloom.stages import keep
 
 _OPEN = "open AS (SELECT m.*, l.vendor_id AS live_vendor, l.seq FROM members m JOIN live l ON m.item_id = l.item_id WHERE status IN ('accepted', 'pending', 'held'))"
 
@@ -163,16 +164,20 @@ def match_confirm(spark, d):
 # Clustering as a job
 
 
+def _clustered(spark, d):
+    """(items, their clusters) with what a run asks for: lines meet their orders and parts once."""
+    rows = keep(BidModel(spark, d).members_all.select("item_id", "bid_id", "name", "l_suppkey", "l_linenumber", F.col("l_suppkey").alias("vendor_id"), "seq"), "items")
+    return rows, keep(BidModel.clusters_of(rows).select("cluster_id", "bid_id", "name", "status"), "clusters")
+
+
 @query("clusters", f"""--with {_MEMBERS}, kept AS (SELECT * FROM clusters WHERE status IN ('accepted', 'rejected')), taken AS (SELECT item_id FROM members WHERE status = 'accepted'),
   free AS (SELECT * FROM named WHERE NOT is_header AND item_id NOT IN (SELECT item_id FROM taken)),
   p AS (SELECT bid_id, replace(lower(name), ' ', '') AS key, count(*) AS n, count(DISTINCT l_suppkey) AS v FROM free GROUP BY 1, 2)
   SELECT concat_ws(':', bid_id, key) AS cluster_id, n AS n_members, n - 1 AS n_duplicates FROM p WHERE n >= 2 AND v >= 2""")
 def clustering_run(spark, d):
     """The clusters that a full run forms anew: pending and held ones go, accepted ones keep their items."""
-    m = BidModel(spark, d)
-    rows = m.members_all.withColumn("vendor_id", F.col("l_suppkey"))
-    members = _members(spark, d).select("cluster_id", "item_id")
-    found, now, _ = C.run_clustering(rows, m.clusters.select("cluster_id", "bid_id", "name", "status"), members, ["bid_id"])
+    rows, clusters = _clustered(spark, d)
+    found, now, _ = C.run_clustering(rows, clusters, C.members(clusters, rows).select("cluster_id", "item_id"), ["bid_id"])
     made = found.where("status = 'pending'").select("cluster_id")
     return now.where("role IS NOT NULL").join(made, "cluster_id").groupBy("cluster_id").agg(F.count("*").alias("n_members"), F.count_if(F.col("role") == "duplicate").alias("n_duplicates"))
 
@@ -181,10 +186,8 @@ def clustering_run(spark, d):
   SELECT item_id, k.cluster_id FROM named n JOIN known k ON k.bid_id = n.bid_id AND k.key = replace(lower(n.name), ' ', '') WHERE NOT is_header AND item_id NOT IN (SELECT item_id FROM half)""")
 def refine_unmatched(spark, d):
     """Items of line 1 are taken out of their clusters; a run that keeps the clusters puts them back."""
-    m = BidModel(spark, d)
-    rows = m.members_all.withColumn("vendor_id", F.col("l_suppkey"))
-    half = _members(spark, d).where("l_linenumber <> 1").select("cluster_id", "item_id")
-    found = m.clusters.select("cluster_id", "bid_id", "name", "status")
+    rows, found = _clustered(spark, d)
+    half = C.members(found, rows).where("l_linenumber <> 1").select("cluster_id", "item_id")
     _, now, _ = C.run_clustering(rows, found, half, ["bid_id"], keep_open=True)
     return now.where("role IS NOT NULL").join(found.select("cluster_id"), "cluster_id", "left_semi").select("item_id", "cluster_id")
 
